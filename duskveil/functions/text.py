@@ -36,8 +36,11 @@ def chars(text: Column) -> Column:
 
 
 def fold(char: Column) -> Column:
-    """Case folding of one character (upper then lower also joins ß/SS and ſ/s)."""
-    return F.when(char == "ı", char).otherwise(F.lower(F.upper(char)))
+    """Case folding of one character (upper then lower also joins ß/SS and ſ/s).
+
+    The empty concat keeps Catalyst from reducing lower(upper(x)) to lower(x).
+    """
+    return F.when(char == "ı", char).otherwise(F.lower(F.concat(F.upper(char), F.lit(""))))
 
 
 def fold_text(text: Column) -> Column:
@@ -92,18 +95,25 @@ def plain_text(value: Column, data_type: T.DataType) -> Column:
     return F.when(scientific, positional).otherwise(text)
 
 
+def spelled_number(text: Column) -> Column:
+    """The number a text spells (infinite if out of range), else null."""
+    clean = F.regexp_replace(text, r"[\s_]", "")
+    return F.when(text.rlike(NUMBER_TEXT), clean.try_cast("double"))
+
+
+def finite(number: Column) -> Column:
+    return F.when(F.abs(number) < float("inf"), number)
+
+
 def number_in(text: Column) -> Column:
     """The finite number a text spells, else null."""
-    clean = F.regexp_replace(text, r"[\s_]", "")
-    value = F.when(text.rlike(NUMBER_TEXT), clean.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    return finite(spelled_number(text))
 
 
 def chart_number(value: Column, data_type: T.DataType) -> Column:
     """Number behind a cell for plotting; ranges give their midpoint."""
     if isinstance(data_type, T.NumericType):
-        number = value.cast("double")
-        return F.when(F.abs(number) < float("inf"), number)
+        return finite(value.cast("double"))
     if not isinstance(data_type, T.StringType):
         return F.lit(None).cast("double")
     cell = F.replace(F.regexp_replace(value, r"\A\s+|\s+\z", ""), F.lit(","), F.lit("."))
@@ -117,4 +127,4 @@ def chart_number(value: Column, data_type: T.DataType) -> Column:
     number = F.when(cell.rlike(CHART_NUMBER), cell.try_cast("double")).when(
         dashed.rlike(CHART_RANGE), (low + high) / 2
     )
-    return F.when(F.abs(number) < float("inf"), number)
+    return finite(number)

@@ -76,24 +76,14 @@ def _agrees(char: Column, other: Column) -> Column:
     return F.coalesce((other == text.STAR) | (text.fold(char) == text.fold(other)), F.lit(False))
 
 
-def _tail_hits(own: Column, before: Column, after: Column, count: int) -> Column:
-    """For offsets 1..count from the right: does a neighbour agree there?
+def _tail_hits(own: Column, before: Column, after: Column) -> Column:
+    """For each of the last characters, last one first: does a neighbour agree there?"""
 
-    The arguments are the last characters of each text, last one first.
-    """
-
-    def hit(offset: Column) -> Column:
-        spot = offset - 1
-        char = F.get(own, spot)
+    def hit(char: Column, spot: Column) -> Column:
         near = _agrees(char, F.get(before, spot)) | _agrees(char, F.get(after, spot))
         return char.rlike(r"\A[\p{L}\p{N}]\z") & near
 
-    return F.transform(
-        F.when(F.size(own) > 0, F.sequence(F.lit(1), F.size(own))).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda n: F.coalesce(hit(n), F.lit(False)),
-    )
+    return F.transform(own, hit)
 
 
 def _tail(value: Column, count: int) -> Column:
@@ -112,7 +102,6 @@ def _beside_tails(
                 _tail(F.col(f"__t{i}"), count),
                 F.col(f"__before.p{i}"),
                 F.col(f"__after.p{i}"),
-                count,
             )
             for i in range(len(columns))
         }
@@ -230,7 +219,7 @@ def mask_cyclic(
         above, below = F.col(f"__before.p{i}"), F.col(f"__after.p{i}")
         on = F.lit(count >= 1)
 
-        def shown(char: Column, place: Column, above=above, below=below, on=on) -> Column:
+        def shown(char: Column, place: Column) -> Column:
             same = F.coalesce(F.get(above, place) == char, F.lit(False)) | F.coalesce(
                 F.get(below, place) == char, F.lit(False)
             )

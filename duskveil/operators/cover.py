@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskveil.functions import text
-from duskveil.functions.names import ref, replace_columns, require, text_names
+from duskveil.functions.names import ref, replace_columns, require
 from duskveil.operators.context import columns_beside, put_beside
 from duskveil.operators.masks import mask_share
 from duskveil.plans.joins import lookup_join
@@ -70,27 +70,20 @@ def _cell(number: Column, l: int) -> Column:
 def _lonely_cells(cells: list, l: int) -> dict[str, list[int]]:
     """Cells of one number that has no other number in reach, per column."""
     lonely: dict[str, list[int]] = {}
-    by_column: dict[str, list] = {}
-    for row in cells:
-        by_column.setdefault(row["name"], []).append(row)
-    for name, found in by_column.items():
-        found.sort(key=lambda r: r["low"])
+    for name in {row["name"] for row in cells}:
+        found = sorted((r for r in cells if r["name"] == name), key=lambda r: r["low"])
         reach = [float(l) * 10.0 ** max((r["cell"] >> 40) - 2, 0) for r in found]
-        # the nearest number of every digit count, on both sides
-        lasts: dict[int, float] = {}
         hit = [r["n"] > 1 for r in found]
-        for order in (range(len(found)), range(len(found) - 1, -1, -1)):
-            lasts = {}
-            upward = order.step > 0 if isinstance(order, range) else True
-            for i in order:
-                row = found[i]
-                if not hit[i]:
-                    here = row["low"]
-                    hit[i] = any(
-                        abs(here - other) <= reach[i] or abs(here - other) <= other_reach
-                        for other_reach, other in lasts.items()
-                    )
-                lasts[reach[i]] = row["high"] if upward else row["low"]
+        for upward in (True, False):
+            # nearest number so far of every reach; cells are visited in value order
+            nearest: dict[float, float] = {}
+            spots = range(len(found)) if upward else reversed(range(len(found)))
+            for i in spots:
+                here = found[i]["low"]
+                hit[i] = hit[i] or any(
+                    abs(here - other) <= max(reach[i], theirs) for theirs, other in nearest.items()
+                )
+                nearest[reach[i]] = found[i]["high" if upward else "low"]
         lonely[name] = [r["cell"] for r, h in zip(found, hit) if not h]
     return lonely
 
@@ -109,43 +102,54 @@ def mask_near_numbers(
     texts = _as_text(df, columns)
     if l < 0:
         return texts
-    numbers = {c: text.number_in(ref(c)) for c in columns}
+    spots = dict(enumerate(columns))
+    # one column per step: an expression used more than once is then computed once
+    read = texts.withColumns({f"__r{i}": text.spelled_number(ref(c)) for i, c in spots.items()})
+    read = read.withColumns({f"__x{i}": text.finite(F.col(f"__r{i}")) for i in spots})
+    helpers = [f"__{p}{i}" for p in "rx" for i in spots]
     if l == 0:
-        return _mask_equal_numbers(texts, numbers, row_key)
-    cells = texts.select(
+        return _mask_equal_numbers(read, columns, row_key).drop(*helpers)
+    celled = read.withColumns({f"__c{i}": _cell(F.col(f"__x{i}"), l) for i in spots})
+    numbers = celled.select(
         F.inline(
-            F.array(*[F.struct(F.lit(c).alias("name"), n.alias("x")) for c, n in numbers.items()])
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("name"),
+                        F.col(f"__c{i}").alias("cell"),
+                        F.col(f"__x{i}").alias("x"),
+                    )
+                    for i, c in spots.items()
+                ]
+            )
         )
     ).where("x is not null")
-    grid = (
-        cells.groupBy("name", _cell(F.col("x"), l).alias("cell"))
-        .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-        .collect()
+    grid = numbers.groupBy("name", "cell").agg(
+        F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")
     )
-    lonely = _lonely_cells(grid, l)
+    lonely = _lonely_cells(grid.collect(), l)
     masked = {}
-    for c, number in numbers.items():
-        hidden = number.isNotNull()
+    for i, c in spots.items():
+        hidden = F.col(f"__x{i}").isNotNull()
         if lonely.get(c):
-            spared = ",".join(f"{cell}L" for cell in lonely[c])
-            hidden = hidden & ~F.array_contains(F.expr(f"array({spared})"), _cell(number, l))
+            hidden = hidden & ~F.col(f"__c{i}").isin(lonely[c])
         masked[c] = F.when(hidden, text.stars(F.length(ref(c)))).otherwise(ref(c))
-    return replace_columns(texts, masked)
+    return replace_columns(celled, masked).drop(*helpers, *[f"__c{i}" for i in spots])
 
 
-def _mask_equal_numbers(texts: DataFrame, numbers: dict[str, Column], row_key) -> DataFrame:
+def _mask_equal_numbers(
+    read: DataFrame, columns: Sequence[str], row_key: Sequence[str]
+) -> DataFrame:
     if not row_key:
         raise ValueError("row_key is needed when l is 0")
-    columns = texts.columns
-    for c, number in numbers.items():
-        keyed = texts.withColumn("__x", number)
-        counts = keyed.where("__x is not null").groupBy("__x").agg(F.count("*").alias("__n"))
+    for i, c in enumerate(columns):
+        number = f"__x{i}"
+        counts = read.where(ref(number).isNotNull()).groupBy(number).agg(F.count("*").alias("__n"))
         counts = counts.withColumn("__copies", F.col("__n"))
-        texts = replace_columns(
-            lookup_join(keyed, counts, ["__x"], "__n", row_key),
-            {c: F.when(F.col("__copies") > 1, text.stars(F.length(ref(c)))).otherwise(ref(c))},
-        ).select(*[ref(n) for n in columns])
-    return texts
+        shown = F.when(F.col("__copies") > 1, text.stars(F.length(ref(c)))).otherwise(ref(c))
+        joined = lookup_join(read, counts, [number], "__n", row_key)
+        read = replace_columns(joined, {c: shown}).drop("__copies")
+    return read
 
 
 def _cover_lengths(l: int, limit: int) -> list[int]:
@@ -189,13 +193,14 @@ def _covered(df: DataFrame, columns: Sequence[str], l: int, side: str, short: di
     """One pass from one side: each column after covering its edge."""
     seen = _rare_characters(df, columns, l, side)
     lengths = F.expr("array(" + ",".join(map(str, _cover_lengths(l, l))) + ")")
-    out = {}
-    for c in columns:
+    sizes = {}
+    for i, c in enumerate(columns):
         # a character triggers unless it occurs once at its place and no star is there
-        rare = [[] if star else chars for star, chars in (seen.get((c, n), (False, [])) for n in range(l))]
+        found = [seen.get((c, at), (False, [])) for at in range(l)]
+        rare = [[] if star else characters for star, characters in found]
         spared = F.from_json(F.lit(json.dumps(rare)), "array<array<string>>")
 
-        def cover(char: Column, at: Column, c=c, spared=spared) -> Column:
+        def cover(char: Column, at: Column) -> Column:
             calls = (
                 (char != " ")
                 & (char != text.STAR)
@@ -204,12 +209,16 @@ def _covered(df: DataFrame, columns: Sequence[str], l: int, side: str, short: di
             size = F.when(short[c], at + 1).otherwise(F.get(lengths, at))
             return F.when(calls, size).otherwise(0)
 
-        size = F.coalesce(F.array_max(F.transform(_edge(c, l, side), cover)), F.lit(0))
+        covers = F.array_max(F.transform(_edge(c, l, side), cover))
+        sizes[f"__size{i}"] = F.coalesce(covers, F.lit(0))
+    out = {}
+    for i, c in enumerate(columns):
+        size = F.col(f"__size{i}")
         if side == "right":
             out[c] = F.concat(F.left(ref(c), F.length(ref(c)) - size), text.stars(size))
         else:
             out[c] = F.concat(text.stars(size), F.substr(ref(c), size + 1))
-    return replace_columns(df, out)
+    return replace_columns(df.withColumns(sizes), out).drop(*sizes)
 
 
 def cover_positions(df: DataFrame, columns: Sequence[str], l: int) -> DataFrame:
@@ -237,11 +246,9 @@ def spread_masks(
     require(df, *columns, *order_by)
     if l <= 0:
         return _as_text(df, columns)
-    reach = l + 1
     payload = {}
     for i in range(len(columns)):
         value = F.col(f"__t{i}")
-        # what rows beside may ask for: both ends and, for texts of any length, all stars
         payload[f"p{i}"] = F.struct(
             F.length(value).alias("size"),
             F.transform(text.chars(value), lambda ch: ch == text.STAR).alias("stars"),
@@ -252,7 +259,7 @@ def spread_masks(
         size = F.length(value)
         sides = [F.col(f"__before.p{i}"), F.col(f"__after.p{i}")]
 
-        def near(place: Column, sides=sides, size=size) -> Column:
+        def near(place: Column) -> Column:
             hit = F.lit(False)
             for side in sides:
                 for at in (place, side["size"] - size + place):
@@ -263,7 +270,7 @@ def spread_masks(
                         )
             return hit
 
-        def shown(char: Column, place: Column, near=near, size=size) -> Column:
+        def shown(char: Column, place: Column) -> Column:
             edge = (place + 1 <= l) | (size - place <= l)
             return F.when(
                 edge & char.rlike(r"\A[\p{L}\p{N}]\z") & near(place), F.lit(text.STAR)
