@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duskveil.functions.names import numeric_names, ref, replace_columns, require
 from duskveil.functions.text import chart_number
-from duskveil.plans.ordering import exact_quantiles
+from duskveil.plans.ordering import exact_quantiles, ordered_counts
 
 #: Label of a missing category, bins of a histogram.
 MISSING_LABEL = "N/A"
@@ -60,27 +60,22 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
 
 def _boxes(numbers: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 times the box, and outliers."""
-    box = exact_quantiles(numbers, groups, "x", QUARTILES)
+    counts = ordered_counts(numbers, groups, "x")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    fenced = box.withColumn("floor", F.col("q1") - reach).withColumn("roof", F.col("q3") + reach)
-    counted = numbers.dropna(subset=[*groups, "x"]).groupBy(*groups, "x").agg(F.count("*").alias("m"))
-    inside = (F.col("x") >= F.col("floor")) & (F.col("x") <= F.col("roof"))
-    if groups:
-        placed = counted.join(fenced.select(*groups, "floor", "roof"), list(groups))
-    else:
-        fence = fenced.select(F.struct("floor", "roof")).scalar()
-        placed = counted.withColumns({"floor": fence["floor"], "roof": fence["roof"]})
-    edges = placed.groupBy(*groups).agg(
-        F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("m"))).alias("outliers"),
+    boxes = exact_quantiles(counts, groups, "x", QUARTILES).withColumns(
+        {"floor": F.col("q1") - reach, "roof": F.col("q3") + reach}
+    )
+    inside = F.col("x").between(F.col("floor"), F.col("roof"))
+    # one box per group; few groups make this a broadcast
+    return (
+        counts.join(boxes, list(groups))
+        .groupBy(*groups, "n", *QUARTILES)
+        .agg(
+            F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
+            F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
+            F.sum(F.when(inside, 0).otherwise(F.col("times"))).alias("outliers"),
+        )
     )
-    figures = ["n", *QUARTILES]
-    marks = ["whisker_low", "whisker_high", "outliers"]
-    if groups:
-        return fenced.join(edges, list(groups)).select(*groups, *figures, *marks)
-    edge = edges.select(F.struct(*marks)).scalar()
-    return fenced.select(*figures, *[edge[m].alias(m) for m in marks])
 
 
 def box_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

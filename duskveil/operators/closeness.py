@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from duskveil.functions.names import ref, replace_columns, require
 from duskveil.functions.text import SUPPRESSED
 from duskveil.plans.joins import lookup_join
+from duskveil.plans.scratch import stash
 
 
 def _usable(name: str, exclude: str | None) -> Column:
@@ -39,23 +40,41 @@ def total_variation(p: DataFrame, q: DataFrame) -> DataFrame:
     return both.agg((F.coalesce(F.sum(gap), F.lit(0.0)) / 2).alias("tvd"))
 
 
-def class_distances(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
-    """Quasi-identifiers, class size ``n`` and distance ``tvd`` to the whole table.
+def class_value_counts(
+    df: DataFrame, quasi: Sequence[str], sensitive: str, exclude: str | None
+) -> DataFrame:
+    """``__g0`` …, ``__s``, ``__n``: rows per class and sensitive value, written once.
 
-    Classes with a null key are left out; a class without usable values has
-    distance 0.5. Only values present in a class are looked at: their excess
-    over the table's share adds up to the distance. All steps start from the
-    (class, value) counts, and both lookups cut a frequent class or value in
-    slices.
+    Every check starts from these counts, so the table itself is read once.
     """
     require(df, *quasi, sensitive)
     if not quasi:
         raise ValueError("quasi-identifiers must not be empty")
-    keys = [f"__g{i}" for i in range(len(quasi))]
-    pairs = df.select(
-        *[ref(q).alias(g) for q, g in zip(quasi, keys)], _usable(sensitive, SUPPRESSED).alias("__s")
-    ).groupBy(*keys, "__s").agg(F.count("*").alias("__n"))
+    keys = class_keys(quasi)
+    return stash(
+        df.select(
+            *[ref(q).alias(g) for q, g in zip(quasi, keys)],
+            _usable(sensitive, exclude).alias("__s"),
+        )
+        .groupBy(*keys, "__s")
+        .agg(F.count("*").alias("__n"))
+    )
+
+
+def class_keys(quasi: Sequence[str]) -> list[str]:
+    return [f"__g{i}" for i in range(len(quasi))]
 
+
+def class_distances(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
+    """Quasi-identifiers, class size ``n`` and distance ``tvd`` to the whole table.
+
+    Classes with a null key are left out; a class without usable values has
+    distance 0.5. Only values present in a class are looked at: their excess
+    over the table's share adds up to the distance. Both lookups cut a
+    frequent class or value in slices.
+    """
+    keys = class_keys(quasi)
+    pairs = class_value_counts(df, quasi, sensitive, SUPPRESSED)
     used = pairs.where("__s is not null")
     shares = used.groupBy("__s").agg(
         F.sum("__n").alias("__everywhere"), F.count("*").alias("__w")

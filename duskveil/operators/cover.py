@@ -254,9 +254,9 @@ def spread_masks(
             F.transform(text.chars(value), lambda ch: ch == text.STAR).alias("stars"),
         )
     rows = columns_beside(df, columns, order_by, payload)
+    rows = rows.withColumns({f"__s{i}": F.length(f"__t{i}") for i in range(len(columns))})
     for i in range(len(columns)):
-        value = F.col(f"__t{i}")
-        size = F.length(value)
+        value, size = F.col(f"__t{i}"), F.col(f"__s{i}")
         sides = [F.col(f"__before.p{i}"), F.col(f"__after.p{i}")]
 
         def near(place: Column) -> Column:
@@ -270,13 +270,22 @@ def spread_masks(
                         )
             return hit
 
-        def shown(char: Column, place: Column) -> Column:
-            edge = (place + 1 <= l) | (size - place <= l)
-            return F.when(
-                edge & char.rlike(r"\A[\p{L}\p{N}]\z") & near(place), F.lit(text.STAR)
-            ).otherwise(char)
+        def edge(part: Column, start: Column) -> Column:
+            def shown(char: Column, place: Column) -> Column:
+                hidden = char.rlike(r"\A[\p{L}\p{N}]\z") & near(place + start)
+                return F.when(hidden, F.lit(text.STAR)).otherwise(char)
+
+            return F.array_join(F.transform(text.chars(part), shown), "")
 
-        rows = rows.withColumn(f"__m{i}", F.array_join(F.transform(text.chars(value), shown), ""))
+        # only both ends can change: the middle of a long text is copied as it is
+        head = F.least(F.lit(l), size)
+        tail = F.least(F.lit(l), size - head)
+        masked = F.concat(
+            edge(F.left(value, head), F.lit(0)),
+            F.substr(value, head + 1, size - head - tail),
+            edge(F.right(value, tail), size - tail),
+        )
+        rows = rows.withColumn(f"__m{i}", masked)
     return put_beside(df, rows, columns, order_by)
 
 

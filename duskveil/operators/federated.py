@@ -6,13 +6,40 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskveil.functions.names import ref, replace_columns, require
 from duskveil.operators.shape import expand_dates, feature_columns, numeric_columns
 
-MODEL = "client int, intercept double, coefficients map<string,double>"
+_MODEL = "client int, intercept double, coefficients map<string,double>"
+
+
+def _chosen_clients(
+    df: DataFrame, group: str, features: dict[str, Column], order_by: Sequence[str], clients: int
+) -> DataFrame:
+    """``client``, ``__group``, ``rows`` and feature ``means`` of the first groups.
+
+    One aggregate over the table, then a top-k: at most ``clients`` rows, which
+    is the bound of what the caller broadcasts.
+    """
+    seen = (
+        df.where(ref(group).isNotNull())
+        .groupBy(ref(group).alias("__group"))
+        .agg(
+            F.min(F.struct(*[ref(c) for c in order_by])).alias("__first"),
+            F.count("*").alias("rows"),
+            F.array(*[F.avg(c) for c in features.values()]).alias("means"),
+        )
+    )
+    listed = F.array_sort(F.collect_list(F.struct("__first", "__group", "rows", "means")))
+    return (
+        seen.orderBy("__first")
+        .limit(clients)
+        .agg(listed.alias("all"))
+        .select(F.posexplode("all").alias("spot", "c"))
+        .select((F.col("spot") + 1).alias("client"), "c.__group", "c.rows", "c.means")
+    )
 
 
 def client_rows(
@@ -23,46 +50,61 @@ def client_rows(
     clients: int = 4,
     date_pair: tuple[str, str] | None = None,
 ) -> tuple[DataFrame, list[str]]:
-    """Feature rows of the first ``clients`` groups in ``order_by``, target last.
+    """Feature rows of the first ``clients`` groups in ``order_by``, target last,
+    and the feature names.
 
     Adds ``client`` (1, 2, … by first appearance) and ``rows``. The group
     stays a feature if it is numeric. Missing values are not filled here:
     ``fit_clients`` takes them at the mean of the client.
     """
+    rows, names = _client_rows(df, group, target, order_by, clients, date_pair)
+    return rows.drop("means"), names
+
+
+def _client_rows(
+    df: DataFrame,
+    group: str,
+    target: str,
+    order_by: Sequence[str],
+    clients: int,
+    date_pair: tuple[str, str] | None,
+) -> tuple[DataFrame, list[str]]:
     require(df, group, target, *order_by)
     features = feature_columns(df, date_pair)
-    names = [n for n in features if n != target]
     if target not in features:
         raise ValueError(f"target column {target!r} is not numeric")
-    seen = df.where(ref(group).isNotNull()).groupBy(ref(group).alias("__group")).agg(
-        F.min(F.struct(*[ref(c) for c in order_by])).alias("__first"), F.count("*").alias("rows")
-    )
-    # a top-k of `clients` rows: the bound of what is broadcast
-    chosen = seen.orderBy("__first").limit(clients)
-    at = F.array_sort(F.collect_list(F.struct("__first", "__group", "rows")))
-    chosen = chosen.agg(at.alias("all")).select(F.posexplode("all").alias("client", "c")).select(
-        (F.col("client") + 1).alias("client"), "c.__group", "c.rows"
+    names = [n for n in features if n != target]
+    ordered = {n: features[n] for n in [*names, target]}
+    chosen = _chosen_clients(df, group, ordered, order_by, clients)
+    rows = df.select(ref(group).alias("__mine"), *[c.alias(n) for n, c in ordered.items()]).join(
+        F.broadcast(chosen), F.col("__mine") == F.col("__group")
     )
-    rows = df.select(
-        ref(group).alias("__mine"), *[features[n].alias(n) for n in [*names, target]]
-    ).join(F.broadcast(chosen), F.col("__mine") == F.col("__group"))
-    return rows.select("client", "rows", *[ref(n) for n in [*names, target]]), names
+    return rows.select("client", "rows", "means", *[ref(n) for n in ordered]), names
 
 
 def fit_clients(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """One ridge model (alpha 1, standardised features) per ``client``.
 
-    Two aggregates: the means per client, then the sums of products of the
-    deviations from them. Only one row of p² numbers per client reaches the
-    solver. A feature or client without any value is left out.
+    Missing values count as the mean of the client; a feature or a client
+    without any value is left out.
+    """
+    names = [*features, target]
+    means = rows.groupBy("client").agg(F.array(*[F.avg(ref(c)) for c in names]).alias("means"))
+    joined = rows.join(F.broadcast(means), "client")  # one row per client
+    return _fit(joined, features, target)
+
+
+def _fit(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
+    """Models from rows that carry the ``means`` of their client.
+
+    One aggregate sums the products of the deviations from the means; only one
+    row of p² numbers per client reaches the solver.
     """
     names = [*features, target]
     p = len(features)
-    means = rows.groupBy("client").agg(
-        F.count("*").alias("n"), F.array(*[F.avg(ref(c)) for c in names]).alias("means")
-    )
-    centred = rows.join(F.broadcast(means.select("client", "means")), "client").select(
+    centred = rows.select(
         "client",
+        "means",
         *[
             F.coalesce(ref(c) - F.get("means", F.lit(i)), F.lit(0.0)).alias(f"d{i}")
             for i, c in enumerate(names)
@@ -71,8 +113,8 @@ def fit_clients(rows: DataFrame, features: Sequence[str], target: str) -> DataFr
     products = [
         F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i in range(p + 1) for j in range(i, p + 1)
     ]
-    sums = centred.groupBy("client").agg(F.array(*products).alias("products")).join(
-        F.broadcast(means), "client"
+    sums = centred.groupBy("client", "means").agg(
+        F.count("*").alias("n"), F.array(*products).alias("products")
     )
     labels = list(features)
 
@@ -104,7 +146,7 @@ def fit_clients(rows: DataFrame, features: Sequence[str], target: str) -> DataFr
                 )
             yield pd.DataFrame(out, columns=["client", "intercept", "coefficients"])
 
-    return sums.select("client", "n", "means", "products").mapInPandas(solve, MODEL)
+    return sums.select("client", "n", "means", "products").mapInPandas(solve, _MODEL)
 
 
 def average_models(models: DataFrame) -> DataFrame:
@@ -156,9 +198,9 @@ def fit_average(
     clients: int = 4,
     date_pair: tuple[str, str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """The local models and their average."""
-    rows, features = client_rows(df, group, target, order_by, clients, date_pair)
-    models = fit_clients(rows, features, target)
+    """The local models and their average, from two scans of the table."""
+    rows, features = _client_rows(df, group, target, order_by, clients, date_pair)
+    models = _fit(rows, features, target)
     return models, average_models(models)
 
 

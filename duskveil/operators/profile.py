@@ -57,7 +57,6 @@ def column_profile(df: DataFrame) -> DataFrame:
     standard deviation of numbers, rounded half to even to 2 digits."""
     wide = [F.count("*").alias("rows")]
     for i, c in enumerate(df.columns):
-        wide.append(F.count(_as_text(df, c)).alias(f"n{i}"))
         if is_numeric(df, c):
             number = ref(c).cast("double")
             number = F.when(~F.isnan(number), number)
@@ -68,22 +67,30 @@ def column_profile(df: DataFrame) -> DataFrame:
             F.struct(
                 F.lit(c).alias("column_name"),
                 F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                (F.col("rows") - F.col(f"n{i}")).alias("missing"),
-                F.col(f"n{i}").alias("non_null"),
+                F.col("rows"),
                 (F.bround(f"m{i}", 2) if is_numeric(df, c) else none).alias("mean"),
                 (F.bround(f"s{i}", 2) if is_numeric(df, c) else none).alias("std"),
             )
             for i, c in enumerate(df.columns)
         ]
     )
-    distinct = _value_counts(df).groupBy("column_name").agg(F.count("*").alias("distinct"))
+    # the same counts as in top_values: one shuffle serves both in a report
+    values = _value_counts(df).groupBy("column_name").agg(
+        F.count("*").alias("distinct"), F.sum("n").alias("known")
+    )
+    known = F.coalesce("known", F.lit(0))
     return (
         df.agg(*wide)
         .select(F.inline(lines))
-        .join(distinct, "column_name", "left")
+        .join(values, "column_name", "left")
         .select(
-            "column_name", "dtype", "missing", "non_null",
-            F.coalesce("distinct", F.lit(0)).alias("distinct"), "mean", "std",
+            "column_name",
+            "dtype",
+            (F.col("rows") - known).alias("missing"),
+            known.alias("non_null"),
+            F.coalesce("distinct", F.lit(0)).alias("distinct"),
+            "mean",
+            "std",
         )
     )
 

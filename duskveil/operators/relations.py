@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from duskveil.functions.names import numeric_names, ref, require
 from duskveil.operators.federated import apply_model, fit_average
 from duskveil.operators.shape import numeric_columns
+from duskveil.plans.scratch import stash
 
 #: a column whose spread is this small a part of its sum of squares is constant
 _FLAT = 1e-12
@@ -31,7 +32,11 @@ def _known(df: DataFrame, name: str) -> Column:
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per set of present columns: ``present``, ``n``, ``sums`` and ``products``
-    of the deviations from the column means (products as a flat p × p array)."""
+    of the deviations from the column means (products as a flat p × p array).
+
+    Two scans, one for the means and one for the sums; the small result is
+    written, so whatever is derived from it never reads the table again.
+    """
     p = len(columns)
     values = df.select(*[_known(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
     middle = values.agg(F.struct(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)])).scalar()
@@ -40,7 +45,7 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.array(*[F.when(F.col(f"d{i}").isNotNull(), F.lit(i)) for i in range(p)])
     )
     spots = {(i, j): F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i in range(p) for j in range(i, p)}
-    return (
+    return stash(
         centred.withColumn("present", present)
         .groupBy("present")
         .agg(
@@ -164,19 +169,29 @@ def _named_list(columns: Sequence[str], spots: Column) -> Column:
     return F.array_join(F.transform(spots, lambda s: _named(columns, s)), ", ")
 
 
+def _numbers(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
+    names = list(columns or numeric_names(df))
+    if not names:
+        raise ValueError("no numeric columns")
+    require(df, *names)
+    return names
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column_a, column_b, corr)``: pairwise-complete Pearson, undefined as 0."""
-    columns = list(columns or numeric_names(df))
-    require(df, *columns)
+    names = _numbers(df, columns)
+    return _matrix(moments(df, names), names)
+
+
+def _matrix(table: DataFrame, columns: list[str]) -> DataFrame:
     p = len(columns)
-    table = moments(df, columns)
     alone = _subsets(table, p, 1).select(
         F.get("members", F.lit(0)).alias("a"),
         F.get("members", F.lit(0)).alias("b"),
         F.when(_varies(0), 1.0).alias("value"),
     )
     known = _both_ways(_pair_correlations(table, p)).drop("n").unionByName(alone)
-    grid = df.sparkSession.range(p).select(
+    grid = table.sparkSession.range(p).select(
         F.col("id").cast("int").alias("a"),
         F.explode(F.sequence(F.lit(0), F.lit(p - 1))).alias("b"),
     )
@@ -190,24 +205,28 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
 def r2_on_all_others(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(target, features, r2)``: least squares of each column on all others,
     rounded to 4 digits. A table with a missing value anywhere gives no rows."""
-    columns = list(columns or numeric_names(df))
-    require(df, *columns)
+    names = _numbers(df, columns)
+    return _r2(moments(df, names), names)
+
+
+def _r2(table: DataFrame, columns: list[str]) -> DataFrame:
     p = len(columns)
-    table = moments(df, columns)
     # one pattern, and it has every column
     whole = table.agg(
         F.count("*").alias("patterns"),
         F.min(F.size("present")).alias("least"),
         *[F.first(c).alias(c) for c in ("present", "n", "sums", "products")],
-    ).where(f"patterns = 1 and least = {p}")
+    ).where(f"patterns = 1 and least = {p} and {p} > 1")
     complete = whole.select(
         F.col("present").alias("members"),
         "n",
         *[F.get("sums", F.lit(a)).alias(f"s{a}") for a in range(p)],
-        *[F.get("products", F.lit(a * p + b)).alias(f"q{a}_{b}") for a in range(p) for b in range(a, p)],
+        *[
+            F.get("products", F.lit(a * p + b)).alias(f"q{a}_{b}")
+            for a in range(p)
+            for b in range(a, p)
+        ],
     )
-    if p < 2:
-        return df.sparkSession.createDataFrame([], "target string, features string, r2 double")
     # a constant target is met exactly by the intercept
     return _fits(complete, p).select(
         _named(columns, F.col("target")).alias("target"),
@@ -239,15 +258,17 @@ def top_relationships(
     Two-predictor models need columns without missing values. Ties keep the
     column order, correlations first.
     """
-    columns = list(columns or numeric_names(df))
-    require(df, *columns)
-    p = len(columns)
-    table = moments(df, columns)
+    names = _numbers(df, columns)
+    return _top(moments(df, names), names, rows)
+
+
+def _top(table: DataFrame, columns: list[str], rows: int) -> DataFrame:
     total = table.agg(F.sum("n")).scalar()
     shown = F.round("value", 3)
+    usable = (F.col("metric") == "corr") | (F.col("n") == total)
     return (
-        _relations(table, p, 2)
-        .where(F.col("value").isNotNull() & ((F.col("metric") == "corr") | (F.col("n") == total)))
+        _relations(table, len(columns), 2)
+        .where(F.col("value").isNotNull() & usable)
         .orderBy(F.abs(shown).desc(), "target", F.size("predictors"), "predictors")
         .limit(rows)
         .select(
@@ -264,14 +285,13 @@ def search_relationships(
 ) -> DataFrame:
     """``(target, predictors, metric, value)`` for every target and 1 to
     ``predictors`` predictors on their complete rows, strongest first."""
-    columns = list(columns or numeric_names(df))
-    require(df, *columns)
-    found = _relations(moments(df, columns), len(columns), predictors)
+    names = _numbers(df, columns)
+    found = _relations(moments(df, names), len(names), predictors)
     return found.orderBy(
         F.abs("value").desc_nulls_last(), "target", F.size("predictors"), "predictors"
     ).select(
-        _named(columns, F.col("target")).alias("target"),
-        _named_list(columns, F.col("predictors")).alias("predictors"),
+        _named(names, F.col("target")).alias("target"),
+        _named_list(names, F.col("predictors")).alias("predictors"),
         "metric",
         "value",
     )
@@ -291,9 +311,8 @@ def analyse(
     table = numeric_columns(df)
     require(table, group, target, *order_by)
     _, model = fit_average(table, group, target, order_by, clients)
+    names = table.columns
+    sums = moments(table, names)
     return Analysis(
-        apply_model(table, model, target),
-        correlation_matrix(table),
-        r2_on_all_others(table),
-        top_relationships(table),
+        apply_model(table, model, target), _matrix(sums, names), _r2(sums, names), _top(sums, names, 10)
     )

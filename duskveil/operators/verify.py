@@ -10,14 +10,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskveil.functions.names import ref, require
+from duskveil.operators.closeness import class_keys, class_value_counts
 from duskveil.operators.shape import tidy_names
 
 
+def _counts(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
+    return class_value_counts(df, quasi, sensitive, exclude=None)
+
+
+def _k_ok(sizes: DataFrame, k: int) -> DataFrame:
+    return sizes.agg(F.coalesce(F.min("n") >= k, F.lit(False)).alias("k_ok"))
+
+
+def _l_ok(variety: DataFrame, l: int) -> DataFrame:
+    return variety.agg(F.coalesce(F.bool_and(F.col("n") >= l), F.lit(True)).alias("l_ok"))
+
+
+def _t_ok(distances: DataFrame, t: float) -> DataFrame:
+    return distances.agg(
+        F.coalesce(F.bool_and(F.col("distance") <= t), F.lit(True)).alias("t_ok")
+    )
+
+
 def check_k(df: DataFrame, quasi: Sequence[str], k: int) -> DataFrame:
     """``k_ok``: the smallest class has at least ``k`` rows; false if there is none."""
     require(df, *quasi)
-    sizes = df.dropna(subset=list(quasi)).groupBy(*[ref(q) for q in quasi]).count()
-    return sizes.agg(F.coalesce(F.min("count") >= k, F.lit(False)).alias("k_ok"))
+    known = df.dropna(subset=list(quasi))
+    return _k_ok(known.groupBy(*[ref(q) for q in quasi]).agg(F.count("*").alias("n")), k)
 
 
 def check_l(df: DataFrame, quasi: Sequence[str], sensitive: str, l: int) -> DataFrame:
@@ -28,7 +47,7 @@ def check_l(df: DataFrame, quasi: Sequence[str], sensitive: str, l: int) -> Data
         .groupBy(*[ref(q) for q in quasi])
         .agg(F.countDistinct(ref(sensitive)).alias("n"))
     )
-    return variety.agg(F.coalesce(F.bool_and(F.col("n") >= l), F.lit(True)).alias("l_ok"))
+    return _l_ok(variety, l)
 
 
 def frequency_distances(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
@@ -36,17 +55,23 @@ def frequency_distances(df: DataFrame, quasi: Sequence[str], sensitive: str) ->
     between the list of value frequencies of the class and that of the table.
 
     This compares how even the two lists are, not which values they hold; it
-    is not the distance that suppression uses. Equal frequencies are kept as
-    runs: a list over n rows has at most sqrt(2 n) of them, so the table's
-    runs go to every task and no class is ever listed value by value.
+    is not the distance that suppression uses.
+    """
+    measured = _list_distances(_counts(df, quasi, sensitive), class_keys(quasi))
+    return measured.withColumnsRenamed(dict(zip(class_keys(quasi), quasi)))
+
+
+def _list_distances(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Distance per class from the (class, value) counts.
+
+    Equal frequencies are kept as runs: a list over n rows has at most
+    sqrt(2 n) of them, so the table's runs go to every task and no class is
+    ever listed value by value.
     """
-    require(df, *quasi, sensitive)
-    keys = [f"__g{i}" for i in range(len(quasi))]
-    rows = df.select(*[ref(q).alias(g) for q, g in zip(quasi, keys)], ref(sensitive).alias("__s"))
     runs = (
-        rows.where("__s is not null")
+        pairs.where("__s is not null")
         .groupBy("__s")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("__n").alias("n"))
         .groupBy("n")
         .agg(F.count("*").alias("times"))
         .orderBy(F.desc("n"))
@@ -55,12 +80,12 @@ def frequency_distances(df: DataFrame, quasi: Sequence[str], sensitive: str) ->
     excess = _excess_over(runs["n"].to_numpy(float), runs["times"].to_numpy("int64"))
     values = float(runs["times"].sum())
 
+    # the null value counts as frequency 0: it keeps a class without values
+    known = F.when(F.col("__s").isNotNull(), F.col("__n")).otherwise(0)
     counted = (
-        rows.dropna(subset=keys)
-        .groupBy(*keys, "__s")
-        .agg(F.count("__s").alias("n"))  # 0 for the null value: keeps the class
-        .groupBy(*keys, "n")
-        .agg(F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("times"))
+        pairs.dropna(subset=keys)
+        .groupBy(*keys, known.alias("n"))
+        .agg(F.count("__s").alias("times"))
     )
     inside = Window.partitionBy(*keys)
     above = inside.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
@@ -72,9 +97,7 @@ def frequency_distances(df: DataFrame, quasi: Sequence[str], sensitive: str) ->
         "gap", excess(share, F.col("start"), F.col("start") + F.col("times"))
     )
     distance = (F.lit(1.0) + F.sum("gap")) / F.lit(values or None)
-    return measured.groupBy(*keys).agg(distance.alias("distance")).select(
-        *[F.col(g).alias(q) for q, g in zip(quasi, keys)], "distance"
-    )
+    return measured.groupBy(*keys).agg(distance.alias("distance"))
 
 
 def _excess_over(counts: np.ndarray, times: np.ndarray):
@@ -108,10 +131,7 @@ def _excess_over(counts: np.ndarray, times: np.ndarray):
 
 def check_t(df: DataFrame, quasi: Sequence[str], sensitive: str, t: float) -> DataFrame:
     """``t_ok``: no class is farther than ``t`` by ``frequency_distances``."""
-    distances = frequency_distances(df, quasi, sensitive)
-    return distances.agg(
-        F.coalesce(F.bool_and(F.col("distance") <= t), F.lit(True)).alias("t_ok")
-    )
+    return _t_ok(frequency_distances(df, quasi, sensitive), t)
 
 
 def verify_release(
@@ -122,15 +142,21 @@ def verify_release(
     l: int = 3,
     t: float = 0.2,
 ) -> DataFrame:
-    """One row ``(k_ok, l_ok, t_ok)``; column names are trimmed and lower-cased first."""
+    """One row ``(k_ok, l_ok, t_ok)``; column names are trimmed and lower-cased first.
+
+    All three checks read one table of (class, value) counts.
+    """
     tidy = tidy_names(df)
-    keys = [q.strip().lower() for q in quasi if q.strip().lower() in tidy.columns]
-    if not keys:
+    names = [q.strip().lower() for q in quasi if q.strip().lower() in tidy.columns]
+    if not names:
         raise ValueError("no valid quasi-identifier column")
     value = sensitive.strip().lower()
     require(tidy, value)
+    keys = class_keys(names)
+    pairs = _counts(tidy, names, value)
+    classes = pairs.dropna(subset=keys).groupBy(*keys)
     return df.sparkSession.range(1).select(
-        check_k(tidy, keys, k).scalar().alias("k_ok"),
-        check_l(tidy, keys, value, l).scalar().alias("l_ok"),
-        check_t(tidy, keys, value, t).scalar().alias("t_ok"),
+        _k_ok(classes.agg(F.sum("__n").alias("n")), k).scalar().alias("k_ok"),
+        _l_ok(classes.agg(F.count("__s").alias("n")), l).scalar().alias("l_ok"),
+        _t_ok(_list_distances(pairs, keys), t).scalar().alias("t_ok"),
     )

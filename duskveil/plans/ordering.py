@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,53 +94,56 @@ def with_neighbours(
     )
 
 
+def ordered_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Each known value of each known group with its row count ``times``, in order."""
+    known = df.dropna(subset=[value, *groups])
+    counted = known.groupBy(*[ref(g) for g in groups], ref(value)).agg(
+        F.count("*").alias("times")
+    )
+    return freeze_order(counted, [*[ref(g).asc() for g in groups], ref(value).asc()])
+
+
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]
+    counts: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Interpolated quantiles per group, one column per entry of ``probs``.
+    """Interpolated quantiles per group of ``ordered_counts``, one column per
+    entry of ``probs``, and the number of rows ``n``.
 
-    Equal values are counted first; the counted values are put in order and
-    the two order statistics around each rank are picked by cumulative count,
-    so no task ever holds a whole group. Null values and null groups drop out.
+    The two order statistics around each rank are picked by cumulative count.
+    A running sum stays inside one partition of the order and starts from the
+    sums of the earlier ones, so no task ever holds a whole group.
     """
-    known = df.dropna(subset=[value, *groups])
-    counted = known.groupBy(*[ref(g) for g in groups], ref(value).alias("__v")).agg(
-        F.count("*").alias("__n")
-    )
-    frozen = freeze_order(counted, [*[ref(g).asc() for g in groups], F.col("__v").asc()])
     keys = [ref(g) for g in groups]
-    carried = frozen.groupBy(*keys, PART).agg(F.sum("__n").alias("__s"))
+    carried = counts.groupBy(*keys, PART).agg(F.sum("times").alias("__s"))
     by_group = Window.partitionBy(*keys) if groups else Window.partitionBy(F.lit(0))
     earlier = by_group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
-    carried = carried.withColumn(
-        "__base", F.coalesce(F.sum("__s").over(earlier), F.lit(0))
-    ).withColumn("__total", F.sum("__s").over(by_group)).drop("__s")
+    carried = carried.withColumns(
+        {
+            "__base": F.coalesce(F.sum("__s").over(earlier), F.lit(0)),
+            "__total": F.sum("__s").over(by_group),
+        }
+    ).drop("__s")
     running = (
         Window.partitionBy(*keys, PART)
-        .orderBy("__v")
+        .orderBy(SPOT)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     placed = (
-        frozen.withColumn("__to", F.sum("__n").over(running))
+        counts.withColumn("__to", F.sum("times").over(running))
         .join(carried, [*groups, PART])
         .withColumn("__to", F.col("__to") + F.col("__base"))
-        .withColumn("__from", F.col("__to") - F.col("__n"))
+        .withColumn("__from", F.col("__to") - F.col("times"))
     )
     picks = []
     for name, prob in probs.items():
         rank = (F.col("__total") - 1) * F.lit(float(prob))
         for side, spot in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
             held = (F.col("__from") <= spot) & (spot < F.col("__to"))
-            picks.append(F.max(F.when(held, F.col("__v").cast("double"))).alias(f"{name}_{side}"))
+            picks.append(F.max(F.when(held, ref(value).cast("double"))).alias(f"{name}_{side}"))
     picked = placed.groupBy(*keys).agg(F.max("__total").alias("n"), *picks)
     out = []
     for name, prob in probs.items():
         rank = (F.col("n") - 1) * F.lit(float(prob))
-        part = rank - F.floor(rank)
         low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        out.append((low + (high - low) * part).alias(name))
+        out.append((low + (high - low) * (rank - F.floor(rank))).alias(name))
     return picked.select(*keys, F.col("n"), *out)
-
-
-def bounded_sum(terms: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)

@@ -89,18 +89,20 @@ def cover_ctes(source: str, prefix: str, key: str, l: int) -> str:
 
 
 def spread_sql(source: str, key: str, l: int) -> str:
+    """(key, v): the characters are lists here, long texts need quick access by place."""
+
     def near(side: str) -> str:
-        right = f"(length({side}) - (length(v) - i))"
+        right = f"(length({side}) - (length(c) - i))"
         return (
-            f"coalesce(contains({side}[greatest(i - 1, 1):i + 1], '*'), false)"
-            f" OR coalesce(contains({side}[greatest({right} - 1, 1):greatest({right} + 1, 0)], '*'), false)"
+            f"coalesce(list_contains({side}[greatest(i - 1, 1):i + 1], '*'), false)"
+            f" OR coalesce(list_contains({side}[greatest({right} - 1, 1):greatest({right} + 1, 0)], '*'), false)"
         )
 
-    return f"""SELECT {key}, array_to_string([CASE WHEN regexp_matches(v[i], {ALNUM})
-            AND (i <= {l} OR length(v) - i < {l}) AND ({near('b')} OR {near('a')})
-            THEN '*' ELSE v[i] END for i in range(1, length(v) + 1)], '') AS v
-        FROM (SELECT {key}, v, lag(v) OVER w AS b, lead(v) OVER w AS a FROM ({source})
-              WINDOW w AS (ORDER BY {key}))"""
+    return f"""SELECT {key}, array_to_string([CASE WHEN (i <= {l} OR length(c) - i < {l})
+            AND regexp_matches(c[i], {ALNUM}) AND ({near('b')} OR {near('a')})
+            THEN '*' ELSE c[i] END for i in range(1, length(c) + 1)], '') AS v
+        FROM (SELECT {key}, c, lag(c) OVER w AS b, lead(c) OVER w AS a FROM
+              (SELECT {key}, string_split(v, '') AS c FROM ({source})) WINDOW w AS (ORDER BY {key}))"""
 
 
 def columns_sql(table: str, key: str, column: str, l: int, prefix: str, number: bool) -> str:
