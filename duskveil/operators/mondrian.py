@@ -76,61 +76,70 @@ def _coded(df: DataFrame, quasi: Sequence[str], key: Sequence[str]) -> DataFrame
     return narrow
 
 
-def _next_level(state: DataFrame, dims: int, scales: list[float], k: int, local_rows: int,
-                level: int) -> tuple[DataFrame, bool]:
+def _next_level(
+    state: DataFrame, dims: int, scales: list[float], k: int, local_rows: int, level: int
+) -> tuple[DataFrame, bool]:
     """Cut every open class once; classes small enough leave for the local step."""
     opened = state.where(F.col("__state") == "open")
-    stats = [F.count("*").alias("n")]
+    stats = [F.count("*").alias("__n")]
     for i in range(dims):
         code = F.col(f"__c{i}")
         stats += [
-            ((F.max(code) - F.min(code)) / scales[i]).alias(f"w{i}"),
-            F.percentile_approx(code, 0.5, _MEDIAN_ACCURACY).alias(f"m{i}"),
+            ((F.max(code) - F.min(code)) / scales[i]).alias(f"__w{i}"),
+            F.percentile_approx(code, 0.5, _MEDIAN_ACCURACY).alias(f"__m{i}"),
         ]
     classes = stash(opened.groupBy("__class").agg(*stats))
-    big = classes.where(F.col("n") > local_rows)
-    left = opened.select("__class", *[f"__c{i}" for i in range(dims)]).join(
-        F.broadcast(big.select("__class", *[f"m{i}" for i in range(dims)])), "__class"
+    big = classes.where(F.col("__n") > local_rows)
+    lower = opened.select("__class", *[f"__c{i}" for i in range(dims)]).join(
+        F.broadcast(big.select("__class", *[f"__m{i}" for i in range(dims)])), "__class"
     )
-    counts = left.groupBy("__class").agg(
-        *[F.count_if(F.col(f"__c{i}") <= F.col(f"m{i}")).alias(f"l{i}") for i in range(dims)]
+    sizes = lower.groupBy("__class").agg(
+        *[
+            F.count_if(F.col(f"__c{i}") <= F.col(f"__m{i}")).alias(f"__l{i}")
+            for i in range(dims)
+        ]
     )
     options = []
     for i in range(dims):
-        fits = (F.col(f"l{i}") >= k) & (F.col("n") - F.col(f"l{i}") >= k)
+        left = F.col(f"__l{i}")
         option = F.struct(
-            F.col(f"w{i}").alias("width"), F.lit(-i).alias("dim"), F.col(f"m{i}").alias("cut")
+            F.col(f"__w{i}").alias("width"),
+            F.lit(-i).alias("dim"),
+            F.col(f"__m{i}").alias("cut"),
+        )
+        options.append(F.when((left >= k) & (F.col("__n") - left >= k), option))
+    # null __best: no cut leaves k rows on both sides
+    best = options[0] if dims == 1 else F.array_max(F.array(*options))
+    plan = stash(
+        classes.join(sizes, "__class", "left").select(
+            F.col("__class").alias("__old"),
+            (F.col("__n") <= local_rows).alias("__small"),
+            best.alias("__best"),
+            F.monotonically_increasing_id().alias("__id"),
         )
-        options.append(F.when(fits, option))
-    chosen = classes.join(counts, "__class", "left").select(
-        "__class",
-        F.when(F.col("n") <= local_rows, F.lit("local")).alias("verdict"),
-        F.array_max(F.array(*options)).alias("best"),
-        F.monotonically_increasing_id().alias("id"),
     )
-    plan = stash(chosen)
-    more = not plan.where("verdict is null and best is not null").isEmpty()
+    more = not plan.where("not __small and __best is not null").isEmpty()
     moved = state.join(
-        F.broadcast(plan.withColumn("__opened", F.lit("open"))),
-        (state["__class"] == plan["__class"]) & (state["__state"] == "open"),
+        F.broadcast(plan),
+        (F.col("__class") == F.col("__old")) & (F.col("__state") == "open"),
         "left",
-    ).drop(plan["__class"])
-    cut = F.col("verdict").isNull() & F.col("best").isNotNull()
-    code = F.coalesce(
-        *[F.when(F.col("best.dim") == -i, F.col(f"__c{i}")) for i in range(dims)]
     )
-    child = (
-        F.lit(level * (1 << 45)) + F.col("id") * 2 + F.when(code <= F.col("best.cut"), 0).otherwise(1)
+    cut = ~F.col("__small") & F.col("__best").isNotNull()
+    code = F.coalesce(
+        *[F.when(F.col("__best.dim") == -i, F.col(f"__c{i}")) for i in range(dims)]
     )
-    moved = moved.withColumn(
-        "__class", F.when(cut, child).otherwise(F.col("__class"))
-    ).withColumn(
-        "__state",
-        F.when(F.col("id").isNull(), F.col("__state"))
-        .when(cut, F.lit("open"))
-        .otherwise(F.coalesce("verdict", F.lit("done"))),
+    side = F.when(code <= F.col("__best.cut"), 0).otherwise(1)
+    child = F.lit(level * (1 << 45)) + F.col("__id") * 2 + side
+    moved = moved.withColumns(
+        {
+            "__class": F.when(cut, child).otherwise(F.col("__class")),
+            "__state": F.when(F.col("__old").isNull(), F.col("__state"))
+            .when(cut, F.lit("open"))
+            .when(F.col("__small"), F.lit("local"))
+            .otherwise(F.lit("done")),
+        }
     )
-    return moved.drop("verdict", "best", "id", "__opened"), more
+    return moved.drop("__old", "__small", "__best", "__id"), more
 
 
 def _finish_locally(dims: int, scales: list[float], k: int, key: Sequence[str]):
