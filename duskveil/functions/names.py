@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,3 +48,8 @@ def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     kept = [new[n].alias(n) if n in new else ref(n) for n in df.columns]
     added = [c.alias(n) for n, c in new.items() if n not in df.columns]
     return df.select(*kept, *added)
+
+
+def literal_array(values: Sequence, element: str) -> Column:
+    """A constant array as one folded expression, however long it is."""
+    return F.from_json(F.lit(json.dumps(list(values))), f"array<{element}>")

@@ -14,20 +14,14 @@ from pyspark.sql import functions as F
 from duskveil.functions import text
 from duskveil.functions.names import ref, require
 from duskveil.plans.joins import lookup_join
-from duskveil.plans.ordering import with_neighbours
+from duskveil.plans.ordering import PART, SPOT, Frozen, freeze_order, neighbours
 
 # bits of one word of a mask; a longer mask takes several words
 _WORD = 60
 
 
-def columns_beside(
-    df: DataFrame,
-    columns: Sequence[str],
-    order_by: Sequence[str],
-    payload: dict[str, Column],
-    cyclic: bool = False,
-) -> DataFrame:
-    """``order_by``, the columns as text (``__t0`` …) and the adjacent payloads."""
+def freeze_columns(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> Frozen:
+    """``order_by`` as ``__k0`` … and the columns as text ``__t0`` …, written in order."""
     require(df, *columns, *order_by)
     narrow = df.select(
         *[ref(c).alias(f"__k{i}") for i, c in enumerate(order_by)],
@@ -36,9 +30,7 @@ def columns_beside(
             for i, c in enumerate(columns)
         ],
     )
-    order = [F.col(f"__k{i}").asc() for i in range(len(order_by))]
-    boxed = [c.alias(n) for n, c in payload.items()]
-    return with_neighbours(narrow, order, boxed, cyclic)
+    return freeze_order(narrow, [F.col(f"__k{i}").asc() for i in range(len(order_by))])
 
 
 def put_beside(
@@ -90,20 +82,14 @@ def _tail(value: Column, count: int) -> Column:
     return F.reverse(text.chars(F.right(value, F.lit(count))))
 
 
-def _beside_tails(
-    df: DataFrame, columns: Sequence[str], count: int, order_by: Sequence[str]
-) -> DataFrame:
+def _beside_tails(frozen: Frozen, columns: Sequence[str], count: int) -> DataFrame:
     """Adds ``__h0`` …: which of the last ``count`` characters agree with a neighbour."""
-    payload = {f"p{i}": _tail(F.col(f"__t{i}"), count) for i in range(len(columns))}
-    rows = columns_beside(df, columns, order_by, payload)
+    tails = {f"p{i}": _tail(F.col(f"__t{i}"), count) for i in range(len(columns))}
+    rows = neighbours(frozen, [c.alias(n) for n, c in tails.items()])
     return rows.withColumns(
         {
-            f"__h{i}": _tail_hits(
-                _tail(F.col(f"__t{i}"), count),
-                F.col(f"__before.p{i}"),
-                F.col(f"__after.p{i}"),
-            )
-            for i in range(len(columns))
+            f"__h{i}": _tail_hits(tail, F.col(f"__before.p{i}"), F.col(f"__after.p{i}"))
+            for i, tail in enumerate(tails.values())
         }
     ).drop("__before", "__after")
 
@@ -114,7 +100,7 @@ def mask_adjacent(
     """Hide each of the last ``count`` characters that a neighbour shares there."""
     if count <= 0:
         return df
-    rows = _beside_tails(df, columns, count, order_by)
+    rows = _beside_tails(freeze_columns(df, columns, order_by), columns, count)
     for i in range(len(columns)):
         value, hits = F.col(f"__t{i}"), F.col(f"__h{i}")
         tail = F.zip_with(
@@ -137,16 +123,19 @@ def mask_adjacent_consistently(
     """
     if count <= 0:
         return df
-    rows = _beside_tails(df, columns, count, order_by)
+    frozen = freeze_columns(df, columns, order_by)
+    marked = _beside_tails(frozen, columns, count)
+    rows = frozen.df.drop(PART, SPOT)
     keys = [c for c in rows.columns if c.startswith("__k")]
     words = [range(at, min(at + _WORD, count)) for at in range(0, count, _WORD)]
     spot = F.struct(*[F.col(k) for k in keys])
     for i in range(len(columns)):
-        hits = F.col(f"__h{i}")
         packed = {
-            f"__w{j}": bit_word(hits, word.start, len(word)) for j, word in enumerate(words)
+            f"__w{j}": bit_word(F.col(f"__h{i}"), word.start, len(word))
+            for j, word in enumerate(words)
         }
-        keyed = rows.withColumn("__fold", text.fold_text(F.col(f"__t{i}")))
+        fold = text.fold_text(F.col(f"__t{i}"))
+        keyed = marked.withColumn("__fold", fold)
         per_size = (
             keyed.where(F.col("__fold").isNotNull())
             .withColumns(packed)
@@ -167,7 +156,9 @@ def mask_adjacent_consistently(
             ).alias("__masks"),
         )
         combined = combined.withColumn(f"__m{i}", _rebuilt()).select("__fold", "__n", f"__m{i}")
-        rows = lookup_join(keyed, combined, ["__fold"], "__n", keys).drop("__fold")
+        rows = lookup_join(
+            rows.withColumn("__fold", fold), combined, ["__fold"], "__n", keys
+        ).drop("__fold")
     return put_beside(df, rows, columns, order_by)
 
 
@@ -213,8 +204,8 @@ def mask_cyclic(
     The first and last row are neighbours. ``count`` only switches the mask on.
     Trailing white space is dropped.
     """
-    payload = {f"p{i}": text.chars(F.col(f"__t{i}")) for i in range(len(columns))}
-    rows = columns_beside(df, columns, order_by, payload, cyclic=True)
+    payload = [text.chars(F.col(f"__t{i}")).alias(f"p{i}") for i in range(len(columns))]
+    rows = neighbours(freeze_columns(df, columns, order_by), payload, cyclic=True)
     for i in range(len(columns)):
         above, below = F.col(f"__before.p{i}"), F.col(f"__after.p{i}")
         on = F.lit(count >= 1)

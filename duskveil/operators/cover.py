@@ -9,7 +9,6 @@ grid and by the alphabet, not by the data.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 
@@ -17,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskveil.functions import text
-from duskveil.functions.names import ref, replace_columns, require
-from duskveil.operators.context import columns_beside, put_beside
+from duskveil.functions.names import literal_array, ref, replace_columns, require
+from duskveil.operators.context import freeze_columns, put_beside
 from duskveil.operators.masks import mask_share
 from duskveil.plans.joins import lookup_join
+from duskveil.plans.ordering import Frozen, neighbours
 from duskveil.plans.release import ReleaseInfo
 
 
@@ -42,15 +42,11 @@ def _power_steps() -> list[float]:
 _STEPS = _power_steps()
 
 
-def _literal_doubles(values: Sequence[float]) -> Column:
-    return F.expr("array(" + ",".join(f"double('{v!r}')" for v in values) + ")")
-
-
 def int_digits(number: Column) -> Column:
     """Digits of the integer part, at least 1."""
     size = F.abs(number)
     guess = F.floor(F.log10(F.greatest(size, F.lit(1.0)))).cast("int")
-    steps = _literal_doubles(_STEPS)
+    steps = literal_array(_STEPS, "double")
     above = F.coalesce(size >= F.get(steps, guess), F.lit(False))
     below = F.coalesce((guess > 0) & (size < F.get(steps, guess - 1)), F.lit(False))
     return guess + F.when(above, 2).when(below, 0).otherwise(1)
@@ -192,13 +188,13 @@ def _rare_characters(df: DataFrame, columns: Sequence[str], l: int, side: str):
 def _covered(df: DataFrame, columns: Sequence[str], l: int, side: str, short: dict[str, Column]):
     """One pass from one side: each column after covering its edge."""
     seen = _rare_characters(df, columns, l, side)
-    lengths = F.expr("array(" + ",".join(map(str, _cover_lengths(l, l))) + ")")
+    lengths = literal_array(_cover_lengths(l, l), "int")
     sizes = {}
     for i, c in enumerate(columns):
         # a character triggers unless it occurs once at its place and no star is there
         found = [seen.get((c, at), (False, [])) for at in range(l)]
         rare = [[] if star else characters for star, characters in found]
-        spared = F.from_json(F.lit(json.dumps(rare)), "array<array<string>>")
+        spared = literal_array(rare, "array<string>")
 
         def cover(char: Column, at: Column) -> Column:
             calls = (
@@ -243,19 +239,24 @@ def spread_masks(
 ) -> DataFrame:
     """Hide letters and digits near either end when an adjacent row has a star
     at most one place away, counted from the left or from the right."""
-    require(df, *columns, *order_by)
     if l <= 0:
         return _as_text(df, columns)
-    payload = {}
-    for i in range(len(columns)):
+    spread = _spread(freeze_columns(df, columns, order_by), len(columns), l)
+    return put_beside(df, spread, columns, order_by)
+
+
+def _spread(frozen: Frozen, width: int, l: int) -> DataFrame:
+    """Adds ``__m0`` … for the texts ``__t0`` … of ``width`` columns."""
+    payload = []
+    for i in range(width):
         value = F.col(f"__t{i}")
-        payload[f"p{i}"] = F.struct(
-            F.length(value).alias("size"),
-            F.transform(text.chars(value), lambda ch: ch == text.STAR).alias("stars"),
+        hidden = F.transform(text.chars(value), lambda ch: ch == text.STAR)
+        payload.append(
+            F.struct(F.length(value).alias("size"), hidden.alias("stars")).alias(f"p{i}")
         )
-    rows = columns_beside(df, columns, order_by, payload)
-    rows = rows.withColumns({f"__s{i}": F.length(f"__t{i}") for i in range(len(columns))})
-    for i in range(len(columns)):
+    rows = neighbours(frozen, payload)
+    rows = rows.withColumns({f"__s{i}": F.length(f"__t{i}") for i in range(width)})
+    for i in range(width):
         value, size = F.col(f"__t{i}"), F.col(f"__s{i}")
         sides = [F.col(f"__before.p{i}"), F.col(f"__after.p{i}")]
 
@@ -286,15 +287,24 @@ def spread_masks(
             edge(F.right(value, tail), size - tail),
         )
         rows = rows.withColumn(f"__m{i}", masked)
-    return put_beside(df, rows, columns, order_by)
+    return rows
 
 
 def cover_columns(
     df: DataFrame, columns: Sequence[str], l: int, order_by: Sequence[str]
 ) -> DataFrame:
-    """Near numbers, then positional cover, then adjacent spread, per column."""
-    numbers = mask_near_numbers(df, columns, l, order_by)
-    return spread_masks(cover_positions(numbers, columns, l), columns, l, order_by)
+    """Near numbers, then positional cover, then adjacent spread, per column.
+
+    The key and the columns are written in order first; all three steps work
+    on that narrow table, and the other columns move once, in the join back.
+    """
+    if l <= 0:
+        return mask_near_numbers(df, columns, l, order_by)
+    frozen = freeze_columns(df, columns, order_by)
+    texts = [f"__t{i}" for i in range(len(columns))]
+    covered = cover_positions(mask_near_numbers(frozen.df, texts, l), texts, l)
+    spread = _spread(frozen.with_df(covered), len(columns), l)
+    return put_beside(df, spread, columns, order_by)
 
 
 def ldiversity_mask(

@@ -3,78 +3,88 @@
 The rows are range-partitioned by Spark on the whole sort key (a unique key
 last, so one frequent value cannot fill a partition), sorted inside each
 partition and written with their position. Everything after that needs only
-one small row per partition.
+one small row per partition. Write narrow tables before anything costly is
+computed: Spark reads the input of a range partitioning twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskveil.functions.names import ref
+from duskveil.functions.names import literal_array, ref
 from duskveil.plans.scratch import stash
 
 PART = "__part"
 SPOT = "__spot"
 NUMBER = "__number"
 _MARK = "__mark"
+_SPOT_BITS = 33
 
 
 def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def freeze_order(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Write ``df`` in order, adding its partition and its place in there."""
-    ranged = df.repartitionByRange(partitions_of(df), *order).sortWithinPartitions(*order)
-    written = stash(ranged.withColumn(_MARK, F.monotonically_increasing_id()))
-    # monotonically_increasing_id: partition in the upper bits, row in the lower 33
-    return (
-        written.withColumn(PART, F.shiftright(_MARK, 33).cast("int"))
-        .withColumn(SPOT, F.col(_MARK).bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop(_MARK)
-    )
-
-
 @dataclass(frozen=True)
-class Numbered:
-    """A table with the 1-based row number in ``__number``, and its row count."""
+class Frozen:
+    """A written table in order: ``__part`` and ``__spot`` place each row, and
+    ``sizes`` holds the row count of every partition."""
 
     df: DataFrame
-    rows: int
+    sizes: tuple[int, ...]
+
+    @property
+    def rows(self) -> int:
+        return sum(self.sizes)
+
+    def at_part(self, values: Sequence[int]) -> Column:
+        """The entry of ``values`` that belongs to the partition of the row."""
+        return F.get(literal_array(list(values), "bigint"), F.col(PART))
+
+    def with_df(self, df: DataFrame) -> "Frozen":
+        return Frozen(df, self.sizes)
 
 
-def number_rows(df: DataFrame, order: Sequence[Column]) -> Numbered:
-    """Dense row numbers 1..n over a total order (last sort column unique)."""
+def freeze_order(df: DataFrame, order: Sequence[Column]) -> Frozen:
+    """Write ``df`` in the given total order (its last column unique)."""
+    parts = partitions_of(df)
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # monotonically_increasing_id: partition in the upper bits, row in the lower 33
+    written = stash(ranged.withColumn(_MARK, F.monotonically_increasing_id()))
+    part = F.shiftright(_MARK, _SPOT_BITS).cast("int")
+    counted = written.groupBy(part.alias(PART)).agg(F.count("*").alias("n")).collect()
+    sizes = {r[PART]: r["n"] for r in counted}  # one small row per partition
+    placed = written.withColumns(
+        {PART: part, SPOT: F.col(_MARK).bitwiseAND(F.lit((1 << _SPOT_BITS) - 1))}
+    ).drop(_MARK)
+    return Frozen(placed, tuple(sizes.get(i, 0) for i in range(parts)))
+
+
+def number_rows(df: DataFrame, order: Sequence[Column]) -> Frozen:
+    """Dense row numbers 1..n in ``__number`` over a total order."""
     frozen = freeze_order(df, order)
-    sizes = {r[PART]: r["n"] for r in frozen.groupBy(PART).agg(F.count("*").alias("n")).collect()}
-    starts, total = [], 0
-    for part in range(partitions_of(df)):
-        starts.append(total)
-        total += sizes.get(part, 0)
-    lookup = F.expr("array(" + ",".join(f"{s}L" for s in starts) + ")")
-    number = F.element_at(lookup, F.col(PART) + 1) + F.col(SPOT) + 1
-    return Numbered(frozen.withColumn(NUMBER, number).drop(PART, SPOT), total)
-
-
-def with_neighbours(
-    df: DataFrame,
-    order: Sequence[Column],
-    payload: Sequence[Column],
-    cyclic: bool = False,
-) -> DataFrame:
+    starts = [0, *accumulate(frozen.sizes)][:-1]
+    number = frozen.at_part(starts) + F.col(SPOT) + 1
+    return frozen.with_df(frozen.df.withColumn(NUMBER, number).drop(PART, SPOT))
+
+
+def neighbours(frozen: Frozen, payload: Sequence[Column], cyclic: bool = False) -> DataFrame:
     """Add ``__before`` and ``__after``: the payload struct of the adjacent rows.
 
     The first and last row of each partition travel in a table of one row per
     partition. With ``cyclic`` the last row precedes the first.
     """
-    frozen = freeze_order(df, order)
-    box = F.struct(*payload)
-    ends = frozen.groupBy(PART).agg(
-        F.min_by(box, SPOT).alias("first"), F.max_by(box, SPOT).alias("last")
+    boxed = frozen.df.withColumn("__box", F.struct(*payload))
+    last_spot = frozen.at_part([n - 1 for n in frozen.sizes])
+    ends = (
+        boxed.where((F.col(SPOT) == 0) | (F.col(SPOT) == last_spot))
+        .groupBy(PART)
+        .agg(F.min_by("__box", SPOT).alias("first"), F.max_by("__box", SPOT).alias("last"))
     )
     across = Window.orderBy(PART)  # one row per partition
     whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -82,15 +92,22 @@ def with_neighbours(
     if cyclic:
         before = F.coalesce(before, F.last("last").over(whole))
         after = F.coalesce(after, F.first("first").over(whole))
-    ends = ends.select(PART, before.alias("__edge_before"), after.alias("__edge_after"))
+    ends = ends.select(
+        F.col(PART).alias("__edge"), before.alias("__edge_before"), after.alias("__edge_after")
+    )
     inside = Window.partitionBy(PART).orderBy(SPOT)
     return (
-        frozen.withColumn("__before", F.lag(box).over(inside))
-        .withColumn("__after", F.lead(box).over(inside))
-        .join(F.broadcast(ends), PART, "left")
-        .withColumn("__before", F.coalesce("__before", "__edge_before"))
-        .withColumn("__after", F.coalesce("__after", "__edge_after"))
-        .drop(PART, SPOT, "__edge_before", "__edge_after")
+        boxed.withColumns(
+            {"__before": F.lag("__box").over(inside), "__after": F.lead("__box").over(inside)}
+        )
+        .join(F.broadcast(ends), F.col(PART) == F.col("__edge"), "left")
+        .withColumns(
+            {
+                "__before": F.coalesce("__before", "__edge_before"),
+                "__after": F.coalesce("__after", "__edge_after"),
+            }
+        )
+        .drop(PART, SPOT, "__box", "__edge", "__edge_before", "__edge_after")
     )
 
 
@@ -100,7 +117,7 @@ def ordered_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFram
     counted = known.groupBy(*[ref(g) for g in groups], ref(value)).agg(
         F.count("*").alias("times")
     )
-    return freeze_order(counted, [*[ref(g).asc() for g in groups], ref(value).asc()])
+    return freeze_order(counted, [*[ref(g).asc() for g in groups], ref(value).asc()]).df
 
 
 def exact_quantiles(

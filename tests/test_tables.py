@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from duskveil.operators import charts, masks, profile, shape
 from duskveil.plans.joins import lookup_join
-from duskveil.plans.ordering import NUMBER, exact_quantiles, number_rows, ordered_counts, with_neighbours
+from duskveil.plans.ordering import NUMBER, exact_quantiles, freeze_order, neighbours, number_rows, ordered_counts
 from duskveil.plans.release import ReleaseInfo
 from duskveil.plans.scratch import scratch_root, stash
 from duskveil.sources import arrays, catalogue, tables
@@ -142,13 +142,13 @@ def test_row_numbers_and_neighbours(spark, partitions, count):
     numbered = number_rows(df, order)
     assert numbered.rows == 400
     assert numbered.df.where(F.col(NUMBER) != F.col("id") + 1).count() == 0
-    beside = with_neighbours(df, order, [F.col("id").alias("v")])
+    beside = neighbours(freeze_order(df, order), [F.col("id").alias("v")])
     wrong = beside.where(
         (F.coalesce(F.col("__before.v"), F.lit(-1)) != F.col("id") - 1)
         | (F.coalesce(F.col("__after.v"), F.lit(400)) != F.col("id") + 1)
     )
     assert wrong.count() == 0 and beside.count() == 400
-    ring = with_neighbours(df, order, [F.col("id").alias("v")], cyclic=True)
+    ring = neighbours(freeze_order(df, order), [F.col("id").alias("v")], cyclic=True)
     assert ring.where("id = 0").first()["__before"].v == 399
     assert ring.where("id = 399").first()["__after"].v == 0
 
