@@ -247,47 +247,47 @@ def spread_masks(
 
 def _spread(frozen: Frozen, width: int, l: int) -> DataFrame:
     """Adds ``__m0`` … for the texts ``__t0`` … of ``width`` columns."""
-    payload = []
-    for i in range(width):
-        value = F.col(f"__t{i}")
-        hidden = F.transform(text.chars(value), lambda ch: ch == text.STAR)
-        payload.append(
-            F.struct(F.length(value).alias("size"), hidden.alias("stars")).alias(f"p{i}")
-        )
-    rows = neighbours(frozen, payload)
-    rows = rows.withColumns({f"__s{i}": F.length(f"__t{i}") for i in range(width)})
-    for i in range(width):
-        value, size = F.col(f"__t{i}"), F.col(f"__s{i}")
-        sides = [F.col(f"__before.p{i}"), F.col(f"__after.p{i}")]
-
-        def near(place: Column) -> Column:
-            hit = F.lit(False)
-            for side in sides:
-                for at in (place, side["size"] - size + place):
-                    for step in (-1, 0, 1):
-                        spot = at + step
-                        hit = hit | F.coalesce(
-                            F.when(spot >= 0, F.get(side["stars"], spot)), F.lit(False)
-                        )
-            return hit
-
-        def edge(part: Column, start: Column) -> Column:
-            def shown(char: Column, place: Column) -> Column:
-                hidden = char.rlike(r"\A[\p{L}\p{N}]\z") & near(place + start)
-                return F.when(hidden, F.lit(text.STAR)).otherwise(char)
-
-            return F.array_join(F.transform(text.chars(part), shown), "")
+    stars = {
+        f"__s{i}": F.expr(f"transform(split(__t{i}, ''), ch -> ch = '{text.STAR}')")
+        for i in range(width)
+    }
+    starred = frozen.df.withColumns(stars)
+    # near[p + 1]: is there a star at most one place from p, for p from -1 to the length
+    payload = [
+        F.expr(
+            f"""named_struct('size', length(__t{i}), 'near', transform(sequence(-1, length(__t{i})), p ->
+                coalesce(get(__s{i}, p - 1), false) or coalesce(get(__s{i}, p), false)
+                or coalesce(get(__s{i}, p + 1), false)))"""
+        ).alias(f"p{i}")
+        for i in range(width)
+    ]
+    rows = neighbours(frozen.with_df(starred), payload).drop(*stars)
+    rows = rows.withColumns({f"__n{i}": F.length(f"__t{i}") for i in range(width)})
+
+    def beside(i: int, place: str) -> str:
+        """A star next to ``place`` in a row beside, counted from the left or the right."""
+        tests = []
+        for row in (f"__before.p{i}", f"__after.p{i}"):
+            for at in (place, f"{row}.size - __n{i} + {place}"):
+                tests.append(f"coalesce(get({row}.near, {at} + 1), false)")
+        return " or ".join(tests)
+
+    def edge(i: int, part: str, start: str) -> str:
+        return rf"""array_join(transform(split({part}, ''), (ch, p) -> case
+            when ch rlike r'\A[\p{{L}}\p{{N}}]\z' and ({beside(i, f"({start} + p)")})
+            then '{text.STAR}' else ch end), '')"""
 
+    masked = {}
+    for i in range(width):
+        value, size = f"__t{i}", f"__n{i}"
+        head, tail = f"least({l}, {size})", f"least({l}, {size} - least({l}, {size}))"
         # only both ends can change: the middle of a long text is copied as it is
-        head = F.least(F.lit(l), size)
-        tail = F.least(F.lit(l), size - head)
-        masked = F.concat(
-            edge(F.left(value, head), F.lit(0)),
-            F.substr(value, head + 1, size - head - tail),
-            edge(F.right(value, tail), size - tail),
+        masked[f"__m{i}"] = F.expr(
+            f"""concat({edge(i, f"left({value}, {head})", "0")},
+                substr({value}, {head} + 1, {size} - {head} - {tail}),
+                {edge(i, f"right({value}, {tail})", f"{size} - {tail}")})"""
         )
-        rows = rows.withColumn(f"__m{i}", masked)
-    return rows
+    return rows.withColumns(masked)
 
 
 def cover_columns(

@@ -31,7 +31,8 @@ _MEDIAN_ACCURACY = 10_000
 
 
 def _seconds(moment: Column) -> Column:
-    return F.unix_micros(moment.cast("timestamp")).cast("double") / 1e6
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", epoch, moment.cast("timestamp_ntz")).cast("double")
 
 
 def _coded(df: DataFrame, quasi: Sequence[str], key: Sequence[str]) -> DataFrame:
