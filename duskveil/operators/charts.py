@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from duskveil.functions.names import numeric_names, ref, replace_columns, require
 from duskveil.functions.text import chart_number
-from duskveil.plans.ordering import exact_quantiles, ordered_counts
+from duskveil.plans.joins import lookup_join
+from duskveil.plans.ordering import PART, SPOT, exact_quantiles, ordered_counts
 
 #: Label of a missing category, bins of a histogram.
 MISSING_LABEL = "N/A"
@@ -66,9 +67,9 @@ def _boxes(numbers: DataFrame, groups: Sequence[str]) -> DataFrame:
         {"floor": F.col("q1") - reach, "roof": F.col("q3") + reach}
     )
     inside = F.col("x").between(F.col("floor"), F.col("roof"))
-    # one box per group; few groups make this a broadcast
+    fenced = boxes.withColumn("__weight", F.col("n"))
     return (
-        counts.join(boxes, list(groups))
+        lookup_join(counts.drop(PART, SPOT), fenced, groups, "__weight", [*groups, "x"])
         .groupBy(*groups, "n", *QUARTILES)
         .agg(
             F.min(F.when(inside, F.col("x"))).alias("whisker_low"),

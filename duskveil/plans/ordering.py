@@ -76,41 +76,57 @@ def number_rows(df: DataFrame, order: Sequence[Column]) -> Frozen:
 def neighbours(frozen: Frozen, payload: Sequence[Column], cyclic: bool = False) -> DataFrame:
     """Add ``__before`` and ``__after``: the payload struct of the adjacent rows.
 
-    The first and last row of each partition travel in a table of one row per
-    partition. With ``cyclic`` the last row precedes the first.
+    The first and last row of each partition are copied into the partitions
+    beside it, so every row finds its neighbours inside its own; the copies,
+    two per partition, are dropped again. With ``cyclic`` the last row of the
+    table precedes the first.
     """
-    boxed = frozen.df.withColumn("__box", F.struct(*payload))
+    before, after = _parts_beside(frozen.sizes, cyclic)
     last_spot = frozen.at_part([n - 1 for n in frozen.sizes])
-    ends = (
-        boxed.where((F.col(SPOT) == 0) | (F.col(SPOT) == last_spot))
-        .groupBy(PART)
-        .agg(F.min_by("__box", SPOT).alias("first"), F.max_by("__box", SPOT).alias("last"))
-    )
-    across = Window.orderBy(PART)  # one row per partition
-    whole = across.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before, after = F.lag("last").over(across), F.lead("first").over(across)
-    if cyclic:
-        before = F.coalesce(before, F.last("last").over(whole))
-        after = F.coalesce(after, F.first("first").over(whole))
-    ends = ends.select(
-        F.col(PART).alias("__edge"), before.alias("__edge_before"), after.alias("__edge_after")
+    beyond = frozen.at_part([frozen.sizes[p] for p in before])  # one past the last row there
+    placed = F.array_compact(
+        F.array(
+            _place(F.col(PART), F.col(SPOT), False),
+            F.when(
+                (F.col(SPOT) == last_spot) & (frozen.at_part(after) >= 0),
+                _place(frozen.at_part(after), F.lit(-1), True),
+            ),
+            F.when(
+                (F.col(SPOT) == 0) & (frozen.at_part(before) >= 0),
+                _place(frozen.at_part(before), beyond, True),
+            ),
+        )
     )
+    rest = [ref(c) for c in frozen.df.columns if c not in (PART, SPOT)]
+    copied = frozen.df.select(*rest, F.inline(placed)).withColumn("__box", F.struct(*payload))
     inside = Window.partitionBy(PART).orderBy(SPOT)
     return (
-        boxed.withColumns(
+        copied.withColumns(
             {"__before": F.lag("__box").over(inside), "__after": F.lead("__box").over(inside)}
         )
-        .join(F.broadcast(ends), F.col(PART) == F.col("__edge"), "left")
-        .withColumns(
-            {
-                "__before": F.coalesce("__before", "__edge_before"),
-                "__after": F.coalesce("__after", "__edge_after"),
-            }
-        )
-        .drop(PART, SPOT, "__box", "__edge", "__edge_before", "__edge_after")
+        .where(~F.col("__copy"))
+        .drop(PART, SPOT, "__copy", "__box")
+    )
+
+
+def _place(part: Column, spot: Column, copy: bool) -> Column:
+    return F.struct(
+        part.cast("int").alias(PART), spot.cast("bigint").alias(SPOT), F.lit(copy).alias("__copy")
     )
 
 
+def _parts_beside(sizes: Sequence[int], cyclic: bool) -> tuple[list[int], list[int]]:
+    """For each partition the filled one before and after it, -1 if there is none."""
+    filled = [p for p, n in enumerate(sizes) if n]
+    before, after = [-1] * len(sizes), [-1] * len(sizes)
+    for spot, part in enumerate(filled):
+        if spot > 0 or cyclic:
+            before[part] = filled[spot - 1]
+        if spot + 1 < len(filled) or cyclic:
+            after[part] = filled[(spot + 1) % len(filled)]
+    return before, after
+
+
 def ordered_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Each known value of each known group with its row count ``times``, in order."""
     known = df.dropna(subset=[value, *groups])

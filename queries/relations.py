@@ -1,6 +1,6 @@
 """Correlations, R² and the strongest relationships."""
 
-from itertools import combinations
+from itertools import combinations, permutations
 
 from pyspark.sql import functions as F
 
@@ -123,6 +123,46 @@ def search_relationships_missing(spark, sf_dir):
     return found.withColumn("value", F.round("value", 7))
 
 
-@query("search_relationships_three")
+EIGHT = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *NUMBERS]
+
+
+def _determinant(spots: tuple[int, ...]) -> str:
+    """Determinant of the correlations of some columns, written out by permutations."""
+    terms = []
+    for order in permutations(range(len(spots))):
+        swaps = sum(order[i] > order[j] for i in range(len(order)) for j in range(i + 1, len(order)))
+        cells = [
+            f"c{min(spots[i], spots[j])}_{max(spots[i], spots[j])}" for i, j in enumerate(order) if i != j
+        ]
+        terms.append(("-" if swaps % 2 else "+") + "*".join(["1.0::double", *cells]))
+    return "(" + "".join(terms) + ")"
+
+
+def _search_sql(table: str, columns: list[str], predictors: int) -> str:
+    """R² is 1 minus the ratio of the determinants with and without the target."""
+    pairs = [
+        f"corr({columns[i]}, {columns[j]}) AS c{i}_{j}" for i, j in combinations(range(len(columns)), 2)
+    ]
+    lines = []
+    for t, target in enumerate(columns):
+        others = [i for i in range(len(columns)) if i != t]
+        for size in range(1, predictors + 1):
+            for combo in combinations(others, size):
+                names = ", ".join(columns[i] for i in combo)
+                value = (
+                    f"c{min(t, combo[0])}_{max(t, combo[0])}"
+                    if size == 1
+                    else f"1 - {_determinant((t, *combo))} / {_determinant(combo)}"
+                )
+                metric = "corr" if size == 1 else "R2"
+                lines.append(
+                    f"SELECT '{target}' AS target, '{names}' AS predictors, '{metric}' AS metric,"
+                    f" round({value}, 9) AS value FROM c"
+                )
+    return f"WITH c AS (SELECT {', '.join(pairs)} FROM {table}) " + " UNION ALL ".join(lines)
+
+
+@query("search_relationships_three", _search_sql("lineitem", EIGHT, 3))
 def search_relationships_three(spark, sf_dir):
-    return search_relationships(read(spark, sf_dir, "lineitem"))
+    found = search_relationships(read(spark, sf_dir, "lineitem"))
+    return found.withColumn("value", F.round("value", 9))
