@@ -2,7 +2,7 @@
 
 Big classes are cut level by level on the executors. A level costs two
 aggregates over the narrow table; the cuts of a level form a table of at most
-rows / ``local_rows`` entries, which is broadcast. Once a class is no larger
+rows / ``local_rows`` entries, which is counted and, if short, broadcast. Once a class is no larger
 than ``local_rows`` it is finished inside one task with the rest of its kind
 spread over the cluster. A class too big for that but impossible to cut (for
 example many equal rows) is final and never gathered.
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from duskveil.functions.dates import as_moment
 from duskveil.functions.names import is_numeric, is_temporal, is_text, ref, require
 from duskveil.functions.text import number_in
-from duskveil.plans.joins import lookup_join
+from duskveil.plans.joins import counted_join, lookup_join
 from duskveil.plans.ordering import NUMBER, number_rows
 from duskveil.plans.scratch import stash
 
@@ -78,27 +78,32 @@ def _coded(df: DataFrame, quasi: Sequence[str], key: Sequence[str]) -> DataFrame
 
 
 def _next_level(
-    state: DataFrame, dims: int, scales: list[float], k: int, local_rows: int, level: int
+    state: DataFrame,
+    dims: int,
+    scales: list[float],
+    k: int,
+    key: Sequence[str],
+    local_rows: int,
+    level: int,
 ) -> tuple[DataFrame, bool]:
     """Cut every open class once; classes small enough leave for the local step."""
+    codes = [f"__c{i}" for i in range(dims)]
     opened = state.where(F.col("__state") == "open")
     stats = [F.count("*").alias("__n")]
-    for i in range(dims):
-        code = F.col(f"__c{i}")
+    for i, code in enumerate(codes):
         stats += [
             ((F.max(code) - F.min(code)) / scales[i]).alias(f"__w{i}"),
             F.percentile_approx(code, 0.5, _MEDIAN_ACCURACY).alias(f"__m{i}"),
         ]
     classes = stash(opened.groupBy("__class").agg(*stats))
-    big = classes.where(F.col("__n") > local_rows)
-    lower = opened.select("__class", *[f"__c{i}" for i in range(dims)]).join(
-        F.broadcast(big.select("__class", *[f"__m{i}" for i in range(dims)])), "__class"
+    count = classes.count()
+    medians = classes.where(F.col("__n") > local_rows).select(
+        "__class", "__n", *[f"__m{i}" for i in range(dims)]
     )
-    sizes = lower.groupBy("__class").agg(
-        *[
-            F.count_if(F.col(f"__c{i}") <= F.col(f"__m{i}")).alias(f"__l{i}")
-            for i in range(dims)
-        ]
+    narrow = opened.select(*[ref(c) for c in key], "__class", *codes)
+    placed = counted_join(narrow, medians, count, "__class", "__n", key)
+    sizes = placed.groupBy("__class").agg(
+        *[F.count_if(F.col(c) <= F.col(f"__m{i}")).alias(f"__l{i}") for i, c in enumerate(codes)]
     )
     options = []
     for i in range(dims):
@@ -111,36 +116,36 @@ def _next_level(
         options.append(F.when((left >= k) & (F.col("__n") - left >= k), option))
     # null __best: no cut leaves k rows on both sides
     best = options[0] if dims == 1 else F.array_max(F.array(*options))
+    small = F.col("__n") <= local_rows
     plan = stash(
-        classes.join(sizes, "__class", "left").select(
-            F.col("__class").alias("__old"),
-            (F.col("__n") <= local_rows).alias("__small"),
-            best.alias("__best"),
+        classes.join(sizes, "__class").select(
+            F.col("__class").alias("__open"),
+            "__n",
+            small.alias("__small"),
+            F.when(~small, best).alias("__best"),
             F.monotonically_increasing_id().alias("__id"),
         )
     )
-    more = not plan.where("not __small and __best is not null").isEmpty()
-    moved = state.join(
-        F.broadcast(plan),
-        (F.col("__class") == F.col("__old")) & (F.col("__state") == "open"),
-        "left",
-    )
-    cut = ~F.col("__small") & F.col("__best").isNotNull()
+    more = not plan.where("__best is not null").isEmpty()
+    # only open classes have a line in the plan
+    asked = state.withColumn("__open", F.when(F.col("__state") == "open", F.col("__class")))
+    moved = counted_join(asked, plan, count, "__open", "__n", key)
+    cut = F.col("__best").isNotNull()
     code = F.coalesce(
-        *[F.when(F.col("__best.dim") == -i, F.col(f"__c{i}")) for i in range(dims)]
+        *[F.when(F.col("__best.dim") == -i, F.col(c)) for i, c in enumerate(codes)]
     )
     side = F.when(code <= F.col("__best.cut"), 0).otherwise(1)
     child = F.lit(level * (1 << 45)) + F.col("__id") * 2 + side
     moved = moved.withColumns(
         {
             "__class": F.when(cut, child).otherwise(F.col("__class")),
-            "__state": F.when(F.col("__old").isNull(), F.col("__state"))
+            "__state": F.when(F.col("__open").isNull(), F.col("__state"))
             .when(cut, F.lit("open"))
             .when(F.col("__small"), F.lit("local"))
             .otherwise(F.lit("done")),
         }
     )
-    return moved.drop("__old", "__small", "__best", "__id"), more
+    return moved.drop("__open", "__small", "__best", "__id"), more
 
 
 def _finish_locally(dims: int, scales: list[float], k: int, key: Sequence[str]):
@@ -193,7 +198,7 @@ def mondrian_classes(
     level, more = 0, known["n"] > local_rows
     while more:
         level += 1
-        state, more = _next_level(state, dims, scales, k, local_rows, level)
+        state, more = _next_level(state, dims, scales, k, key, local_rows, level)
         if level % _LEVELS_PER_WRITE == 0:
             state = stash(state)
     if level:

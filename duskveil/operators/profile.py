@@ -52,15 +52,24 @@ def dataset_header(df: DataFrame, info: ReleaseInfo | None = None) -> DataFrame:
     )
 
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """Per column: type, missing, known, distinct known; mean and sample
-    standard deviation of numbers, rounded half to even to 2 digits."""
+    standard deviation of numbers, rounded half to even to 2 digits.
+
+    Exact distinct counts exchange every distinct value once; ``approximate``
+    estimates them in the same pass as the rest, without that exchange.
+    """
     wide = [F.count("*").alias("rows")]
     for i, c in enumerate(df.columns):
         if is_numeric(df, c):
             number = ref(c).cast("double")
             number = F.when(~F.isnan(number), number)
             wide += [F.avg(number).alias(f"m{i}"), F.stddev_samp(number).alias(f"s{i}")]
+        if approximate:
+            wide += [
+                F.count(_as_text(df, c)).alias(f"n{i}"),
+                F.approx_count_distinct(_as_text(df, c)).alias(f"d{i}"),
+            ]
     none = F.lit(None).cast("double")
     lines = F.array(
         *[
@@ -68,30 +77,29 @@ def column_profile(df: DataFrame) -> DataFrame:
                 F.lit(c).alias("column_name"),
                 F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
                 F.col("rows"),
+                *([F.col(f"n{i}").alias("known"), F.col(f"d{i}").alias("distinct")] if approximate else []),
                 (F.bround(f"m{i}", 2) if is_numeric(df, c) else none).alias("mean"),
                 (F.bround(f"s{i}", 2) if is_numeric(df, c) else none).alias("std"),
             )
             for i, c in enumerate(df.columns)
         ]
     )
-    # the same counts as in top_values: one shuffle serves both in a report
-    values = _value_counts(df).groupBy("column_name").agg(
-        F.count("*").alias("distinct"), F.sum("n").alias("known")
-    )
-    known = F.coalesce("known", F.lit(0))
-    return (
-        df.agg(*wide)
-        .select(F.inline(lines))
-        .join(values, "column_name", "left")
-        .select(
-            "column_name",
-            "dtype",
-            (F.col("rows") - known).alias("missing"),
-            known.alias("non_null"),
-            F.coalesce("distinct", F.lit(0)).alias("distinct"),
-            "mean",
-            "std",
+    figures = df.agg(*wide).select(F.inline(lines))
+    if not approximate:
+        # the same counts as in top_values: one shuffle serves both in a report
+        values = _value_counts(df).groupBy("column_name").agg(
+            F.count("*").alias("distinct"), F.sum("n").alias("known")
         )
+        figures = figures.join(values, "column_name", "left")
+    known = F.coalesce("known", F.lit(0))
+    return figures.select(
+        "column_name",
+        "dtype",
+        (F.col("rows") - known).alias("missing"),
+        known.alias("non_null"),
+        F.coalesce("distinct", F.lit(0)).alias("distinct"),
+        "mean",
+        "std",
     )
 
 

@@ -23,6 +23,8 @@ from duskveil.plans.scratch import stash
 
 #: a column whose spread is this small a part of its sum of squares is constant
 _FLAT = 1e-12
+#: most columns whose products are summed by one aggregate
+WIDEST = 12
 
 
 def _known(df: DataFrame, name: str) -> Column:
@@ -30,22 +32,28 @@ def _known(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def moments(df: DataFrame, columns: Sequence[str], widest: int = WIDEST) -> DataFrame:
     """Per set of present columns: ``present``, ``n``, ``sums`` and ``products``
     of the deviations from the column means (products as a flat p × p array).
 
     Two scans, one for the means and one for the sums; the small result is
     written, so whatever is derived from it never reads the table again.
+    Up to ``widest`` columns the sums are one aggregate; beyond, that many
+    expressions no longer compile well and each task multiplies its batches.
     """
     p = len(columns)
     values = df.select(*[_known(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
     middle = values.agg(F.struct(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)])).scalar()
     centred = values.select(*[(F.col(f"x{i}") - middle[f"m{i}"]).alias(f"d{i}") for i in range(p)])
+    return stash(_summed(centred, p) if p <= widest else _multiplied(centred, p))
+
+
+def _summed(centred: DataFrame, p: int) -> DataFrame:
     present = F.array_compact(
         F.array(*[F.when(F.col(f"d{i}").isNotNull(), F.lit(i)) for i in range(p)])
     )
     spots = {(i, j): F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i in range(p) for j in range(i, p)}
-    return stash(
+    return (
         centred.withColumn("present", present)
         .groupBy("present")
         .agg(
@@ -64,6 +72,58 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _multiplied(centred: DataFrame, p: int) -> DataFrame:
+    """As ``_summed``: matrix products per task, added up entry by entry."""
+    held = 64  # patterns a task keeps before it hands on their sums
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[bytes, np.ndarray] = {}
+
+        def lines() -> pd.DataFrame:
+            out = []
+            for bits, total in totals.items():
+                known = np.unpackbits(np.frombuffer(bits, "uint8"), count=p)
+                out.append((np.flatnonzero(known).tolist(), total.ravel().tolist()))
+            totals.clear()
+            return pd.DataFrame(out, columns=["present", "entries"])
+
+        for batch in batches:
+            x = batch.to_numpy(dtype=float, na_value=np.nan)
+            known = ~np.isnan(x)
+            packed = np.packbits(known, axis=1)
+            patterns, which = np.unique(packed, axis=0, return_inverse=True)
+            which = which.ravel()
+            for spot, bits in enumerate(patterns):
+                # a column of ones in front gives the count and the sums as well
+                part = np.column_stack([np.ones((which == spot).sum()), x[which == spot]])
+                part = np.nan_to_num(part)
+                key = bits.tobytes()
+                totals[key] = totals.get(key, 0.0) + part.T @ part
+                if len(totals) >= held:
+                    yield lines()
+        yield lines()
+
+    entries = (
+        centred.mapInPandas(multiply, "present array<int>, entries array<double>")
+        .select("present", F.posexplode("entries").alias("at", "value"))
+        .groupBy("present", "at")
+        .agg(F.sum("value").alias("value"))
+    )
+    # (p + 1)² entries per pattern
+    listed = F.transform(
+        F.array_sort(F.collect_list(F.struct("at", "value"))), lambda e: e["value"]
+    )
+    square = entries.groupBy("present").agg(listed.alias("e"))
+    width = p + 1
+    spread = F.filter("e", lambda v, at: (at >= width) & (at % width > 0))
+    return square.select(
+        "present",
+        F.get("e", F.lit(0)).cast("bigint").alias("n"),
+        F.slice("e", 2, p).alias("sums"),
+        spread.alias("products"),
+    )
+
+
 def _subsets(table: DataFrame, p: int, size: int) -> DataFrame:
     """Moments of every ``size`` columns over the rows that have all of them:
     ``members``, ``n``, ``s0`` …, ``q0_0`` …"""
@@ -115,17 +175,20 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", "value"))
 
 
-def _fits(subsets: DataFrame, size: int) -> DataFrame:
-    """``(target, predictors, n, value)``: R² of each member on the others."""
-    flat_limit = _FLAT
+def _packed(subsets: DataFrame, size: int) -> DataFrame:
     square = [f"q{min(a, b)}_{max(a, b)}" for a in range(size) for b in range(size)]
-    packed = subsets.select(
+    return subsets.select(
         "members",
         "n",
         F.array(*[F.col(f"s{a}") for a in range(size)]).alias("sums"),
         F.array(*[F.col(q) for q in square]).alias("products"),
     )
 
+
+def _fits(packed: DataFrame, size: int) -> DataFrame:
+    """``(target, predictors, n, value)``: R² of each of ``size`` members on the others."""
+    flat_limit = _FLAT
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if batch.empty:
@@ -217,16 +280,7 @@ def _r2(table: DataFrame, columns: list[str]) -> DataFrame:
         F.min(F.size("present")).alias("least"),
         *[F.first(c).alias(c) for c in ("present", "n", "sums", "products")],
     ).where(f"patterns = 1 and least = {p} and {p} > 1")
-    complete = whole.select(
-        F.col("present").alias("members"),
-        "n",
-        *[F.get("sums", F.lit(a)).alias(f"s{a}") for a in range(p)],
-        *[
-            F.get("products", F.lit(a * p + b)).alias(f"q{a}_{b}")
-            for a in range(p)
-            for b in range(a, p)
-        ],
-    )
+    complete = whole.select(F.col("present").alias("members"), "n", "sums", "products")
     # a constant target is met exactly by the intercept
     return _fits(complete, p).select(
         _named(columns, F.col("target")).alias("target"),
@@ -245,7 +299,7 @@ def _relations(table: DataFrame, p: int, predictors: int) -> DataFrame:
         "value",
     )
     for count in range(2, min(predictors, p - 1) + 1):
-        fits = _fits(_subsets(table, p, count + 1), count + 1)
+        fits = _fits(_packed(_subsets(table, p, count + 1), count + 1), count + 1)
         found = found.unionByName(fits.withColumn("metric", F.lit("R2")))
     return found
 

@@ -15,6 +15,9 @@ SLICE_ROWS = 5_000_000
 #: Slices over which rows without a key are spread.
 NULL_SLICES = 1024
 
+#: Most rows of a counted table that is sent to every task.
+BROADCAST_ROWS = 1_000_000
+
 _SLICE = "__slice"
 _SLICES = "__slices"
 
@@ -70,3 +73,19 @@ def lookup_join(
     return joined.drop(
         _SLICE, "__key_slice", *[f"__key_{i}" for i in range(len(keys))]
     )
+
+
+def counted_join(
+    df: DataFrame,
+    table: DataFrame,
+    rows: int,
+    key: str,
+    weight: str,
+    row_key: Sequence[str],
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """``lookup_join`` on one key to a narrow table of known size ``rows``,
+    which is broadcast as long as it is small."""
+    if rows > broadcast_rows:
+        return lookup_join(df, table, [key], weight, row_key)
+    return df.join(F.broadcast(table.drop(weight)), key, "left")

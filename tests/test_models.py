@@ -128,6 +128,20 @@ def test_correlations_are_pairwise_complete(spark, gapped):
             assert got[a, b] == pytest.approx(want, abs=1e-9)
 
 
+def test_wide_tables_give_the_same_moments(spark, gapped):
+    df = frame(spark, gapped).repartition(5)
+    one = relations.moments(df, NAMES).orderBy("present").collect()
+    two = relations.moments(df, NAMES, widest=2).orderBy("present").collect()
+    assert len(one) == len(two) > 3
+    for a, b in zip(one, two):
+        assert (a.present, a.n) == (b.present, b.n)
+        held = np.array(a.present)
+        assert np.allclose(np.array(a.sums, float)[held], np.array(b.sums)[held], atol=1e-9)
+        square = np.ix_(held, held)
+        assert np.allclose(np.array(a.products, float).reshape(5, 5)[square],
+                           np.array(b.products).reshape(5, 5)[square], atol=1e-9)
+
+
 def test_search_uses_complete_rows_per_model(spark, gapped):
     x = gapped[:, :4]
     found = relations.search_relationships(frame(spark, x), predictors=3).collect()

@@ -2,16 +2,17 @@
 
 import datetime
 import json
+import pathlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from duskveil.operators import charts, masks, profile, shape
-from duskveil.plans.joins import lookup_join
+from duskveil.plans.joins import counted_join, lookup_join
 from duskveil.plans.ordering import NUMBER, exact_quantiles, freeze_order, neighbours, number_rows, ordered_counts
 from duskveil.plans.release import ReleaseInfo
-from duskveil.plans.scratch import scratch_root, stash
+from duskveil.plans.scratch import drop_scratch, scratch_root, stash
 from duskveil.sources import arrays, catalogue, tables
 from duskveil.streaming import STATELESS
 
@@ -65,6 +66,7 @@ def test_profile(spark):
     got = {r.column_name: tuple(r)[1:] for r in profile.column_profile(df).collect()}
     assert got["x"] == ("double", 1, 3, 2, 3.0, 1.73)
     assert got["s"] == ("string", 1, 3, 2, None, None)
+    assert profile.column_profile(df, approximate=True).collect() == profile.column_profile(df).collect()
     empty = spark.createDataFrame([(None,)], "z double")
     assert tuple(profile.column_profile(empty).first()) == ("z", "double", 1, 0, 0, None, None)
     top = [tuple(r) for r in profile.top_values(df).where("column_name = 's'").orderBy("rank").collect()]
@@ -166,11 +168,28 @@ def test_lookup_join_cuts_hot_keys_and_keeps_all_rows(spark):
     assert got.exceptAll(want).count() == 0
 
 
-def test_scratch_follows_the_session(spark, tmp_path):
+def test_counted_join_gives_the_same_with_and_without_broadcast(spark):
+    df = spark.range(300).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 7).alias("k"))
+    table = df.where("k < 5").groupBy("k").agg(F.count("*").alias("w"), F.max("id").alias("top"))
+    one = counted_join(df, table, 5, "k", "w", ["id"]).select("id", "k", "top")
+    two = counted_join(df, table, 5, "k", "w", ["id"], broadcast_rows=1).select("id", "k", "top")
+    assert one.count() == 300 and one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
+
+
+def test_scratch_follows_the_session(spark):
     table = stash(spark.range(5))
     assert table.count() == 5 and scratch_root(spark) in table.inputFiles()[0]
 
 
+def test_scratch_can_be_dropped(spark):
+    table = stash(spark.range(5))
+    path = pathlib.Path(table.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists()
+    drop_scratch(spark)
+    assert not path.exists()
+    assert stash(spark.range(3)).count() == 3
+
+
 def test_csv(spark, tmp_path):
     text = 'id,name,x,flag,none,admit date\n1,"a, ""b""\nc",1.5,True,NA,2020-01-02\n2,n/a,3,False,,bad\n'
     path = tmp_path / "in.csv"
