@@ -27,7 +27,7 @@ from duskveil.plans.scratch import stash
 
 LOCAL_ROWS = 100_000
 _LEVELS_PER_WRITE = 4
-_MEDIAN_ACCURACY = 10_000
+_MEDIAN_ACCURACY = 100_000
 
 
 def _seconds(moment: Column) -> Column:

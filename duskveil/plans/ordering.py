@@ -26,10 +26,6 @@ _MARK = "__mark"
 _SPOT_BITS = 33
 
 
-def partitions_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 @dataclass(frozen=True)
 class Frozen:
     """A written table in order: ``__part`` and ``__spot`` place each row, and
@@ -52,8 +48,8 @@ class Frozen:
 
 def freeze_order(df: DataFrame, order: Sequence[Column]) -> Frozen:
     """Write ``df`` in the given total order (its last column unique)."""
-    parts = partitions_of(df)
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # no fixed count: adaptive execution may join small adjacent ranges
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     # monotonically_increasing_id: partition in the upper bits, row in the lower 33
     written = stash(ranged.withColumn(_MARK, F.monotonically_increasing_id()))
     part = F.shiftright(_MARK, _SPOT_BITS).cast("int")
@@ -62,7 +58,7 @@ def freeze_order(df: DataFrame, order: Sequence[Column]) -> Frozen:
     placed = written.withColumns(
         {PART: part, SPOT: F.col(_MARK).bitwiseAND(F.lit((1 << _SPOT_BITS) - 1))}
     ).drop(_MARK)
-    return Frozen(placed, tuple(sizes.get(i, 0) for i in range(parts)))
+    return Frozen(placed, tuple(sizes.get(i, 0) for i in range(max(sizes, default=0) + 1)))
 
 
 def number_rows(df: DataFrame, order: Sequence[Column]) -> Frozen:

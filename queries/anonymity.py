@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from duskveil.operators.kanon import kanonymize, k_metric, microaggregate, restore
+from duskveil.operators.kanon import k_metric, kanonymize, microaggregate, put_back, restore
 from duskveil.operators.mondrian import mondrian
 from queries.registry import query, read
 
@@ -134,6 +134,70 @@ def kanonymize_reaches_k(spark, sf_dir):
     return sizes.agg(F.sum("n").alias("rows"), (F.min("n") >= 7).alias("k_reached"))
 
 
+def mondrian_sql(table: str, key: str, codes: dict[str, str], k: int, others: list[str]) -> str:
+    """Median cuts level by level; ``codes`` maps each column to its number."""
+    spots = dict(enumerate(codes.items()))
+    coded = ", ".join(f"cast({code} AS double) AS c{i}" for i, (_, code) in spots.items())
+    scale = ", ".join(f"max(c{i}) - min(c{i}) AS s{i}" for i in spots)
+    seen = ", ".join(
+        f"(max(c{i}) OVER w - min(c{i}) OVER w) / s{i} AS w{i}, quantile_disc(c{i}, 0.5) OVER w AS m{i}"
+        for i in spots
+    )
+    sizes = ", ".join(
+        f"count(*) FILTER (c{i} <= m{i}) OVER (PARTITION BY path) AS l{i}" for i in spots
+    )
+    fits = {i: f"(l{i} >= {k} AND n - l{i} >= {k})" for i in spots}
+    # widest side that can be cut, the first of equals
+    best = (
+        "list_max([" + ", ".join(f"CASE WHEN {fits[i]} THEN {{'w': w{i}, 'd': {-i}}} END" for i in spots) + "])"
+    )
+    side = " ".join(f"WHEN {-i} THEN c{i} <= m{i}" for i in spots)
+    columns = ", ".join(f"c{i}" for i in spots)
+    labels = ", ".join(
+        f"CASE WHEN min({c}) = max({c}) THEN cast(min({c}) AS varchar)"
+        f" ELSE min({c}) || '–' || max({c}) END AS l{i}"
+        for i, (c, _) in spots.items()
+    )
+    out = ", ".join(f"l{i} AS {c}" for i, (c, _) in spots.items())
+    return f"""WITH RECURSIVE coded AS (SELECT {key}, {coded} FROM {table}),
+        scale AS (SELECT {scale} FROM coded),
+        cuts AS (SELECT {key}, '' AS path, {columns}, false AS done FROM coded
+            UNION ALL
+            SELECT {key}, CASE WHEN best IS NULL THEN path
+                WHEN (CASE best.d {side} END) THEN path || 'l' ELSE path || 'r' END, {columns}, best IS NULL
+            FROM (SELECT *, {best} AS best FROM (SELECT *, {sizes} FROM
+                (SELECT {key}, path, {columns}, count(*) OVER w AS n, {seen} FROM cuts, scale WHERE NOT done
+                 WINDOW w AS (PARTITION BY path))))),
+        final AS (SELECT {key}, path FROM cuts WHERE done),
+        labels AS (SELECT path, {labels} FROM final JOIN {table} USING ({key}) GROUP BY path)
+        SELECT {key}, {out}{"".join(f", {c}" for c in others)} FROM {table} JOIN final USING ({key})
+        JOIN labels USING (path)"""
+
+
+@query(
+    "mondrian_part",
+    mondrian_sql(
+        "(SELECT *, dense_rank() OVER (ORDER BY p_brand) AS brand_rank FROM part)", "p_partkey",
+        {"p_size": "p_size", "p_brand": "brand_rank", "p_retailprice": "p_retailprice"}, 10, ["p_name"],
+    ),
+)
+def mondrian_part(spark, sf_dir):
+    part = read(spark, sf_dir, "part").drop("p_type")
+    key = ["p_partkey"]
+    labelled, names = mondrian(part, ["p_size", "p_brand", "p_retailprice"], 10, key, local_rows=300)
+    return put_back(part, labelled, names, key, keep_backup=False)
+
+
+@query(
+    "mondrian_customer",
+    mondrian_sql("customer", "c_custkey", {"c_nationkey": "c_nationkey", "c_acctbal": "c_acctbal"}, 6,
+                 ["c_name", "c_mktsegment"]),
+)
+def mondrian_customer(spark, sf_dir):
+    customer = read(spark, sf_dir, "customer")
+    return kanonymize(customer, ["c_nationkey", "c_acctbal"], 6, ["c_custkey"], "mondrian")
+
+
 @query(
     "mondrian_part_reaches_k",
     """SELECT count(*) AS rows, true AS k_reached, true AS was_cut,
