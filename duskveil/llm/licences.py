@@ -146,7 +146,7 @@ def scan(docs: DataFrame, base: dict = BASE, notices: dict = NOTICES) -> DataFra
     counted = docs.select(
         "doc_id",
         F.md5(text).alias("key"),
-        F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("n_words"),
+        F.regexp_count(F.lower(text), F.lit(WORD)).cast("bigint").alias("n_words"),
     )
     joined = counted.join(by_text, "key", "left")
     return joined.select(

@@ -1,3 +1,222 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express.
 
-SQL: dict[str, str] = {}
+The others cannot be: page alignment, random rounding, 64-bit hashes of shingles,
+encoders, trained models and the search they lead are tested against brute force.
+"""
+
+from __future__ import annotations
+
+from duskveil.llm.disclosure import Disclosure
+from duskveil.llm.licences import BASE, COVER, NOTICES, SHIFT
+from duskveil.llm.quality import BOILERPLATE, SENTENCE_END, SEPARATORS, LineRules
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def quality_sql(rules: LineRules = LineRules()) -> str:
+    separators = ", ".join(map(_text, SEPARATORS))
+    word = r"'[^\x20\x09-\x0D]+'"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), {word}) AS w
+  FROM documents
+), lines AS (
+  SELECT r, unnest(string_split(t, chr(10))) AS line,
+         unnest(range(1, len(string_split(t, chr(10))) + 1)) AS n
+  FROM d
+), worded AS (
+  SELECT *, regexp_extract_all(line, {word}) AS lw FROM lines
+), judged AS (
+  SELECT r, len(lw) AS k, line,
+         row_number() OVER (PARTITION BY r, line ORDER BY n) > 1 AS repeated,
+         list_sum(list_transform(lw, lambda x: length(x))) AS chars,
+         length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+         len(list_filter(lw, lambda x: x IN ({separators}))) AS seps,
+         len(list_filter(lw, lambda x: regexp_matches(x, {_text(SENTENCE_END)}))) AS ends,
+         len(list_filter(range(1, len(lw)), lambda i: lw[i] = lw[i + 1])) AS stutter
+  FROM worded WHERE len(lw) > 0
+), failed AS (
+  SELECT *, repeated OR 100 * symbols > {rules.max_symbol_percent} * k
+         OR (seps >= 2 AND 100 * seps > {rules.max_separator_percent} * k)
+         OR ends = 0
+         OR (k >= {rules.caps_words} AND line = upper(line) AND line <> lower(line))
+         OR 100 * stutter > {rules.max_stutter_percent} * k
+         OR (k <= {rules.boilerplate_words} AND regexp_matches(lower(line), {_text(BOILERPLATE)})) AS bad
+  FROM judged
+), by_line AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_failed_lines,
+         coalesce(sum(chars) FILTER (bad), 0) AS lost_chars, count(*) FILTER (repeated) AS n_dup_lines
+  FROM failed GROUP BY r
+), spots AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), twice AS (
+  SELECT r, i FROM spots QUALIFY count(*) OVER (PARTITION BY r, g) > 1
+), repeats AS (
+  SELECT r, count(DISTINCT i + s) AS n_repeat_words
+  FROM twice, (SELECT unnest([0, 1, 2]) AS s) GROUP BY r
+), measured AS (
+  SELECT doc_id, len(w) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_failed_lines, 0) AS n_failed_lines,
+         CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars
+  FROM d LEFT JOIN by_line USING (r) LEFT JOIN repeats USING (r)
+)
+SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed,
+       NOT (n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words)
+       AND 100 * lost_chars <= {rules.max_lost_percent} * word_chars AS kept
+FROM measured
+"""
+
+
+#: Plain forms of the patterns of the four kinds.
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def personal_sql(rules: Disclosure = Disclosure()) -> str:
+    kinds = " UNION ALL ".join(
+        f"""SELECT r, {i} AS kind_at, '{kind}' AS kind, regexp_extract_all(t, '{pattern}') AS f,
+            string_split_regex(t, '{pattern}') AS g FROM d"""
+        for i, (kind, pattern) in enumerate(_KINDS.items())
+    )
+    counts = ", ".join(
+        f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _KINDS
+    )
+    zeros = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _KINDS)
+    w = rules.window
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS key
+  FROM documents
+), found AS ({kinds}), placed AS (
+  SELECT r, kind_at, kind, f[i] AS value,
+         list_sum(list_transform(g[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM found)
+), digits AS (
+  SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS n FROM placed
+), base AS (
+  SELECT r, kind_at, kind, CAST(start AS BIGINT) AS start, CAST(start + length(value) AS BIGINT) AS stop,
+         kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN n ELSE lower(value) END AS entity
+  FROM digits
+  WHERE kind = 'email'
+     OR (kind = 'ip' AND len(list_filter(string_split(value, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0)
+     OR (kind = 'phone' AND length(n) BETWEEN 8 AND 15)
+     OR (kind = 'card' AND length(n) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, length(n) + 1), lambda i:
+           CASE WHEN i % 2 = 1 THEN CAST(reverse(n)[i] AS INT)
+                WHEN CAST(reverse(n)[i] AS INT) > 4 THEN CAST(reverse(n)[i] AS INT) * 2 - 9
+                ELSE CAST(reverse(n)[i] AS INT) * 2 END)) % 10 = 0)
+), texts AS (
+  SELECT key, min(r) AS r, count(*) AS copies FROM d GROUP BY key
+), shared AS (
+  SELECT key, r, copies, entity, start FROM texts JOIN base USING (r)
+  WHERE entity IN (
+    SELECT entity FROM texts JOIN base USING (r) GROUP BY entity HAVING count(DISTINCT key) >= {rules.support})
+), cut AS (
+  SELECT key, d.r AS r, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') AS f, string_split_regex(t, '[\p{{L}}\p{{N}}]+') AS g
+  FROM d WHERE r IN (SELECT r FROM shared)
+), words AS (
+  SELECT key, r, f[i] AS word,
+         list_sum(list_transform(g[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM cut)
+), tokens AS (
+  SELECT key, lower(word) AS term, CAST(start AS BIGINT) AS start, CAST(start + length(word) AS BIGINT) AS stop,
+         row_number() OVER (PARTITION BY key ORDER BY start) - 1 AS place
+  FROM words WHERE NOT EXISTS (
+    SELECT 1 FROM base WHERE base.r = words.r AND base.start <= words.start AND words.start < base.stop)
+), mentions AS (
+  SELECT s.key, s.copies, s.entity, s.start, count(t.place) AS before
+  FROM shared s LEFT JOIN tokens t ON t.key = s.key AND t.start < s.start
+  GROUP BY ALL
+), pairs AS (
+  SELECT DISTINCT key, copies, entity, term FROM mentions JOIN tokens USING (key)
+  WHERE place >= before - {w} AND place < before + {w} AND length(term) >= {rules.shortest}
+), joint AS (
+  SELECT entity, term, sum(copies) AS with_entity FROM pairs GROUP BY ALL HAVING count(*) >= {rules.support}
+), everywhere AS (
+  SELECT term, count(*) AS documents FROM (
+    SELECT unnest(list_distinct(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+'))) AS term FROM d) GROUP BY term
+), telltale AS (
+  SELECT entity, term FROM joint JOIN everywhere USING (term) WHERE with_entity * {2**rules.slack_bits} >= documents
+), spans AS (
+  SELECT DISTINCT key, start, stop FROM tokens
+  WHERE (key, term) IN (SELECT (key, term) FROM pairs JOIN telltale USING (entity, term))
+), extra AS (
+  SELECT key, string_agg('term:' || start || ':' || stop, ',' ORDER BY start) AS s FROM spans GROUP BY key
+), by_document AS (
+  SELECT r, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY kind_at, start) AS s
+  FROM base GROUP BY r
+)
+SELECT doc_id, {zeros}, sha256(coalesce(b.s, '')) AS base_sha256,
+       concat_ws(',', nullif(coalesce(b.s, ''), ''), e.s) AS spans
+FROM d LEFT JOIN by_document b USING (r) LEFT JOIN extra e USING (key)
+"""
+
+
+def licence_sql() -> str:
+    rows = []
+    for exact, texts in ((True, BASE), (False, NOTICES)):
+        for label, text in texts.items():
+            words = text.split()
+            rows += [
+                f"({_text(a)}, {_text(b)}, {_text(label)}, {exact}, {len(words)}, {i})"
+                for i, (a, b) in enumerate(zip(words, words[1:]))
+            ]
+    return rf"""
+WITH templates(a, b, label, exact, size, spot) AS (VALUES {", ".join(rows)}),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), grams AS (
+  SELECT r, i - 1 AS place, w[i] AS a, w[i + 1] AS b
+  FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)
+), votes AS (
+  SELECT r, label, exact, size, place - spot AS diagonal, list(spot) AS spots,
+         min(place) AS first, max(place) + 1 AS last
+  FROM grams JOIN templates USING (a, b) GROUP BY ALL
+), phrases AS (
+  SELECT r, label, exact, first, 1.0::DOUBLE AS covered FROM votes WHERE exact AND len(spots) = size - 1
+), apart AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, label ORDER BY diagonal) <= {SHIFT} THEN 0 ELSE 1 END AS a
+  FROM votes WHERE NOT exact AND len(spots) > 1
+), runs AS (
+  SELECT *, sum(a) OVER (PARTITION BY r, label ORDER BY diagonal) AS run FROM apart
+), merged AS (
+  SELECT r, label, exact, size, min(first) AS first, flatten(list(spots)) AS spots FROM runs
+  GROUP BY r, label, exact, size, run
+), spans AS (
+  SELECT r, label, exact, first,
+         len(list_distinct(list_concat(spots, list_transform(spots, lambda s: s + 1)))) / size::DOUBLE AS covered
+  FROM merged
+), every AS (
+  SELECT * FROM phrases UNION ALL SELECT * FROM spans WHERE covered >= {COVER}
+), scanned AS (
+  SELECT r, count(*) FILTER (exact) AS n_base, CAST(min(first) FILTER (exact) AS BIGINT) AS first_word,
+         CAST(max(first) FILTER (exact) AS BIGINT) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact) AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(covered) AS score
+  FROM every GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN scanned USING (r)
+"""
+
+
+SQL: dict[str, str] = {
+    "op1_quality_lines": quality_sql(),
+    "op5_personal_spans": personal_sql(),
+    "op9_licence_scan": licence_sql(),
+}
