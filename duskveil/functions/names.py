@@ -25,6 +25,13 @@ def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
 
+def known(df: DataFrame, name: str) -> Column:
+    """The column; not-a-number is a missing number, everywhere in this library."""
+    if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(ref(name)), ref(name))
+    return ref(name)
+
+
 def is_temporal(df: DataFrame, name: str) -> bool:
     return isinstance(
         df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)

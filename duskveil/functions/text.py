@@ -23,11 +23,6 @@ NUMBER_TEXT = (
     r"(?:[eE][+-]?\d(?:_?\d)*)?\s*\z"
 )
 
-# The two spellings that count as a number in chart data.
-CHART_NUMBER = r"\A-?\d+(?:[.,]\d+)?\z"
-CHART_RANGE = r"\A(-?\d+(?:\.\d+)?)-(-?\d+(?:\.\d+)?)\z"
-
-
 def chars(text: Column) -> Column:
     """Characters of a text as an array; the empty text gives an empty array."""
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(
@@ -111,20 +106,24 @@ def number_in(text: Column) -> Column:
 
 
 def chart_number(value: Column, data_type: T.DataType) -> Column:
-    """Number behind a cell for plotting; ranges give their midpoint."""
+    """Number behind a cell for plotting; ranges give their midpoint.
+
+    A cell is a number with a decimal point or comma, or two such numbers with a
+    dash, an en dash or the word "to" between them. It is split where such a
+    separator follows a digit; one or two pieces that read as plain numbers count.
+    """
     if isinstance(data_type, T.NumericType):
         return finite(value.cast("double"))
     if not isinstance(data_type, T.StringType):
         return F.lit(None).cast("double")
-    cell = F.replace(F.regexp_replace(value, r"\A\s+|\s+\z", ""), F.lit(","), F.lit("."))
-    dashed = F.regexp_replace(
-        F.regexp_replace(F.replace(cell, F.lit("–"), F.lit("-")), r"(?i)\s+to\s+", "-"),
-        r"\s*-\s*",
-        "-",
-    )
-    low = F.regexp_extract(dashed, CHART_RANGE, 1).try_cast("double")
-    high = F.regexp_extract(dashed, CHART_RANGE, 2).try_cast("double")
-    number = F.when(cell.rlike(CHART_NUMBER), cell.try_cast("double")).when(
-        dashed.rlike(CHART_RANGE), (low + high) / 2
+    cell = F.regexp_replace(value, r"\A\s+|\s+\z", "")
+    pieces = F.split(cell, r"(?i)(?<=[0-9])\s*(?:[-–]|\sto\s)\s*", 3)
+    numbers = F.transform(
+        pieces,
+        lambda p: F.when(
+            p.rlike(r"\A-?[0-9]+(?:[.,][0-9]+)?\z"), F.replace(p, F.lit(","), F.lit("."))
+        ).try_cast("double"),
     )
-    return finite(number)
+    low, high = F.get(numbers, F.lit(0)), F.get(numbers, F.size(numbers) - 1)
+    size = F.size(numbers)
+    return finite(F.when(size == 1, low).when(size == 2, (low + high) / 2))

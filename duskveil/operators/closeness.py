@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from duskveil.functions.names import ref, replace_columns, require
 from duskveil.functions.text import SUPPRESSED
 from duskveil.plans.joins import lookup_join
+from duskveil.plans.release import ReleaseInfo
 from duskveil.plans.scratch import stash
 
 
@@ -76,15 +77,18 @@ def class_distances(df: DataFrame, quasi: Sequence[str], sensitive: str) -> Data
     keys = class_keys(quasi)
     pairs = class_value_counts(df, quasi, sensitive, SUPPRESSED)
     used = pairs.where("__s is not null")
-    shares = used.groupBy("__s").agg(
-        F.sum("__n").alias("__everywhere"), F.count("*").alias("__w")
+    # each lookup table is written, since a lookup reads it for its frequent keys too
+    shares = stash(
+        used.groupBy("__s").agg(F.sum("__n").alias("__everywhere"), F.count("*").alias("__w"))
     )
-    total = used.agg(F.sum("__n")).scalar()
+    total = shares.agg(F.sum("__everywhere")).scalar()
     inside = pairs.dropna(subset=keys)
-    sizes = inside.groupBy(*keys).agg(
-        F.sum("__n").alias("__rows"),
-        F.sum(F.when(F.col("__s").isNotNull(), F.col("__n")).otherwise(0)).alias("__usable"),
-        F.count("*").alias("__w"),
+    sizes = stash(
+        inside.groupBy(*keys).agg(
+            F.sum("__n").alias("__rows"),
+            F.sum(F.when(F.col("__s").isNotNull(), F.col("__n")).otherwise(0)).alias("__usable"),
+            F.count("*").alias("__w"),
+        )
     )
     known = lookup_join(inside, sizes, keys, "__w", [*keys, "__s"])
     known = lookup_join(known, shares, ["__s"], "__w", [*keys, "__s"])
@@ -126,7 +130,20 @@ def suppress_violations(
     )
     keyed = df.withColumns({f"__b{i}": ref(q) for i, q in enumerate(quasi)})
     joined = lookup_join(
-        keyed, bad, [f"__b{i}" for i in range(len(quasi))], "__weight", key
+        keyed, stash(bad), [f"__b{i}" for i in range(len(quasi))], "__weight", key
     )
     shown = F.when(F.col("__bad"), F.lit(SUPPRESSED)).otherwise(ref(sensitive).cast("string"))
     return replace_columns(joined, {sensitive: shown}).select(*[ref(c) for c in df.columns])
+
+
+def suppress_violations_with_info(
+    df: DataFrame,
+    quasi: Sequence[str],
+    sensitive: str,
+    t: float,
+    key: Sequence[str],
+    info: ReleaseInfo | None = None,
+) -> tuple[DataFrame, ReleaseInfo]:
+    """``suppress_violations`` and what was done, added to ``info``."""
+    table = suppress_violations(df, quasi, sensitive, t, key)
+    return table, (info or ReleaseInfo()).with_(t=t, t_columns=tuple(quasi), sensitive=sensitive)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from duskveil.functions import text
 from duskveil.functions.names import ref, require
-from duskveil.plans.joins import lookup_join
+from duskveil.plans.joins import lookup_join, row_join, unique_rows
 from duskveil.plans.ordering import PART, SPOT, Frozen, freeze_order, neighbours
 
 # bits of one word of a mask; a longer mask takes several words
@@ -40,18 +40,14 @@ def put_beside(
     spots = {c: i for i, c in enumerate(columns)}
     keys = {c: i for i, c in enumerate(order_by)}
     if not [c for c in df.columns if c not in spots and c not in keys]:
-        joined = masked
+        joined = unique_rows(masked, [f"__k{i}" for i in keys.values()]).where("__own is not null")
     else:
         rest = df.select(*[ref(c) for c in df.columns if c not in spots])
         if set(spots) & set(keys):
             rest = df
-        joined = rest.join(
-            masked.select(
-                *[F.col(f"__k{i}").alias(f"__j{i}") for i in keys.values()],
-                *[F.col(f"__m{i}") for i in spots.values()],
-            ),
-            [ref(c) == F.col(f"__j{i}") for c, i in keys.items()],
-        )
+        own = [f"__k{i}" for i in keys.values()]
+        values = masked.select(*own, *[F.col(f"__m{i}") for i in spots.values()])
+        joined = row_join(rest, values, list(keys), own)
         return joined.select(
             *[F.col(f"__m{spots[c]}").alias(c) if c in spots else ref(c) for c in df.columns]
         )

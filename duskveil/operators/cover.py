@@ -320,6 +320,20 @@ def ldiversity_mask(
     return cover_columns(masked, quasi, l, order_by) if quasi else masked
 
 
+def ldiversity_mask_with_info(
+    df: DataFrame,
+    sensitive: str,
+    quasi: Sequence[str],
+    l: int,
+    order_by: Sequence[str],
+    level: str = "medium",
+    info: ReleaseInfo | None = None,
+) -> tuple[DataFrame, ReleaseInfo]:
+    """``ldiversity_mask`` and what was done, added to ``info``."""
+    masked = ldiversity_mask(df, sensitive, quasi, l, order_by, level)
+    return masked, (info or ReleaseInfo()).with_(l=l, l_columns=tuple(quasi), sensitive=sensitive)
+
+
 def ldiversity_columns(
     df: DataFrame, columns: Sequence[str], l: int, order_by: Sequence[str], level: str = "medium"
 ) -> DataFrame:

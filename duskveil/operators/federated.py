@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskveil.functions.names import ref, replace_columns, require
+from duskveil.functions.names import known, ref, replace_columns, require
 from duskveil.operators.shape import expand_dates, feature_columns, numeric_columns
+from duskveil.plans.scratch import stash
 
 _MODEL = "client int, intercept double, coefficients map<string,double>"
 
@@ -89,7 +90,9 @@ def fit_clients(rows: DataFrame, features: Sequence[str], target: str) -> DataFr
     without any value is left out.
     """
     names = [*features, target]
-    means = rows.groupBy("client").agg(F.array(*[F.avg(ref(c)) for c in names]).alias("means"))
+    means = rows.groupBy("client").agg(
+        F.array(*[F.avg(known(rows, c)) for c in names]).alias("means")
+    )
     joined = rows.join(F.broadcast(means), "client")  # one row per client
     return _fit(joined, features, target)
 
@@ -97,29 +100,17 @@ def fit_clients(rows: DataFrame, features: Sequence[str], target: str) -> DataFr
 def _fit(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     """Models from rows that carry the ``means`` of their client.
 
-    One aggregate sums the products of the deviations from the means; only one
-    row of p² numbers per client reaches the solver.
+    Each task multiplies its batches of deviations from the means, client by
+    client; the p² entries are added up in one aggregate, and one row of them
+    per client reaches the solver.
     """
     names = [*features, target]
     p = len(features)
-    centred = rows.select(
-        "client",
-        "means",
-        *[
-            F.coalesce(ref(c) - F.get("means", F.lit(i)), F.lit(0.0)).alias(f"d{i}")
-            for i, c in enumerate(names)
-        ],
-    )
-    products = [
-        F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i in range(p + 1) for j in range(i, p + 1)
-    ]
-    sums = centred.groupBy("client", "means").agg(
-        F.count("*").alias("n"), F.array(*products).alias("products")
-    )
+    columns = [known(rows, c).cast("double").alias(f"x{i}") for i, c in enumerate(names)]
+    sums = summed_products(rows.select("client", "means", *columns), p + 1)
     labels = list(features)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        upper = np.triu_indices(p + 1)
         for batch in batches:
             out = []
             for client, n, mean, cross in zip(
@@ -128,20 +119,18 @@ def _fit(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
                 mean = np.array([np.nan if m is None else m for m in mean], float)
                 if np.isnan(mean[p]):
                     continue
-                gram = np.zeros((p + 1, p + 1))
-                gram[upper] = cross
-                gram = gram + np.triu(gram, 1).T
-                known = np.flatnonzero(~np.isnan(mean[:p]))
-                spread = np.sqrt(np.diag(gram)[known] / n)
+                gram = np.array(cross, float).reshape(p + 1, p + 1)
+                seen = np.flatnonzero(~np.isnan(mean[:p]))
+                spread = np.sqrt(np.diag(gram)[seen] / n)
                 scale = np.where(spread > 0, spread, 1.0)
-                inner = gram[np.ix_(known, known)] / np.outer(scale, scale)
-                weight = np.linalg.solve(inner + np.eye(len(known)), gram[known, p] / scale)
+                inner = gram[np.ix_(seen, seen)] / np.outer(scale, scale)
+                weight = np.linalg.solve(inner + np.eye(len(seen)), gram[seen, p] / scale)
                 slope = weight / scale
                 out.append(
                     (
                         int(client),
-                        float(mean[p] - slope @ mean[known]),
-                        {labels[f]: float(s) for f, s in zip(known, slope)},
+                        float(mean[p] - slope @ mean[seen]),
+                        {labels[f]: float(s) for f, s in zip(seen, slope)},
                     )
                 )
             yield pd.DataFrame(out, columns=["client", "intercept", "coefficients"])
@@ -149,6 +138,48 @@ def _fit(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     return sums.select("client", "n", "means", "products").mapInPandas(solve, _MODEL)
 
 
+def summed_products(rows: DataFrame, width: int) -> DataFrame:
+    """``client, n, means, products``: products of the deviations of ``x0`` … from ``means``,
+    a flat ``width`` × ``width`` array per client; missing values deviate by 0."""
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        means: dict[int, list] = {}
+        for batch in batches:
+            for client, own in batch.groupby("client"):
+                mean = np.array([np.nan if m is None else m for m in own["means"].iloc[0]], float)
+                x = own[[f"x{i}" for i in range(width)]].to_numpy(dtype=float, na_value=np.nan)
+                apart = np.nan_to_num(x - mean)
+                totals[client] = totals.get(client, 0.0) + apart.T @ apart
+                counts[client] = counts.get(client, 0) + len(own)
+                means[client] = list(own["means"].iloc[0])
+        out = [(c, counts[c], means[c], t.ravel().tolist()) for c, t in totals.items()]
+        yield pd.DataFrame(out, columns=["client", "rows", "means", "entries"])
+
+    # one row per task and client
+    parts = stash(
+        rows.mapInPandas(
+            multiply, "client int, rows bigint, means array<double>, entries array<double>"
+        )
+    )
+    counts = parts.groupBy("client").agg(
+        F.sum("rows").alias("n"), F.first("means").alias("means")
+    )
+    entries = (
+        parts.select("client", F.posexplode("entries").alias("at", "value"))
+        .groupBy("client", "at")
+        .agg(F.sum("value").alias("value"))
+        .groupBy("client")
+        .agg(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("at", "value"))), lambda e: e["value"]
+            ).alias("products")
+        )
+    )
+    return counts.join(entries, "client")
+
+
 def average_models(models: DataFrame) -> DataFrame:
     """One row ``(intercept, coefficients)``: unweighted means over the models
     that have the feature; no row if there is no model."""

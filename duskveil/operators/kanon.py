@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from duskveil.functions.names import is_numeric, is_temporal, ref, replace_columns, require
+from duskveil.functions.names import (
+    is_numeric, is_temporal, known, ref, replace_columns, require,
+)
 from duskveil.operators.mondrian import mondrian
+from duskveil.plans.joins import row_join, unique_rows
 from duskveil.plans.ordering import NUMBER, number_rows
+from duskveil.plans.release import ReleaseInfo
 
 EN_DASH = "–"
 BACKUP = "backup_"
@@ -26,7 +30,7 @@ def k_metric(df: DataFrame, quasi: Sequence[str]) -> DataFrame:
 
 def _rounded(df: DataFrame, name: str) -> Column:
     if is_numeric(df, name):
-        return F.bround(ref(name)).cast("bigint")
+        return F.bround(known(df, name)).try_cast("bigint")
     if is_temporal(df, name):
         return ref(name).cast("date")
     return ref(name).cast("string")
@@ -86,14 +90,14 @@ def microaggregate(
     moments = [F.count("*").alias("n")]
     for i, position in placed.items():
         moments += [F.avg(position).alias(f"m{i}"), F.stddev_pop(position).alias(f"s{i}")]
-    known = narrow.agg(*moments).first()
-    if known["n"] < k:
-        raise ValueError(f"{known['n']} rows cannot be made {k}-anonymous")
+    seen = narrow.agg(*moments).first()
+    if seen["n"] < k:
+        raise ValueError(f"{seen['n']} rows cannot be made {k}-anonymous")
 
     score = F.lit(0.0)
     for i, position in placed.items():
-        spread = known[f"s{i}"] or 1.0
-        score = score + (position - F.lit(known[f"m{i}"])) / F.lit(spread)
+        spread = seen[f"s{i}"] or 1.0
+        score = score + (position - F.lit(seen[f"m{i}"])) / F.lit(spread)
     scored = narrow.withColumn("__score", F.round(score, 9))
     order = [F.col("__score").asc_nulls_last(), *[ref(c).asc() for c in key]]
     numbered = number_rows(scored, order)
@@ -127,12 +131,14 @@ def put_back(
     key: Sequence[str],
     keep_backup: bool,
 ) -> DataFrame:
-    """Join the new values to the other columns; skip the join if none is left."""
+    """Join the new values to the other columns; skip the join if none is left.
+
+    Every row keeps its place; a key that two rows hold is an error."""
     rest = [c for c in df.columns if c not in aliases and c not in key]
     if not rest and not keep_backup and not set(aliases) & set(key):
-        joined = labelled
+        joined = unique_rows(labelled, key).where("__own is not null")
     else:
-        joined = df.join(labelled, list(key))
+        joined = row_join(df, labelled, key, key)
     backups = [ref(q).alias(BACKUP + q) for q in aliases] if keep_backup else []
     return joined.select(
         *[F.col(aliases[c]).alias(c) if c in aliases else ref(c) for c in df.columns],
@@ -168,3 +174,18 @@ def kanonymize(
         labelled, aliases = mondrian(df, quasi, k, key)
         return put_back(df, labelled, aliases, key, keep_backup)
     raise ValueError(f"unknown strategy {strategy!r}: use 'micro' or 'mondrian'")
+
+
+def kanonymize_with_info(
+    df: DataFrame,
+    quasi: Sequence[str],
+    k: int,
+    key: Sequence[str],
+    strategy: str = "micro",
+    keep_backup: bool = False,
+    info: ReleaseInfo | None = None,
+) -> tuple[DataFrame, ReleaseInfo]:
+    """``kanonymize`` and what was done, added to ``info``."""
+    table = kanonymize(df, quasi, k, key, strategy, keep_backup)
+    backups = {q: BACKUP + q for q in quasi} if keep_backup and k > 1 else {}
+    return table, (info or ReleaseInfo()).with_(k=k, k_columns=tuple(quasi), backups=backups)

@@ -1,33 +1,41 @@
 """Multidimensional median partitioning (LeFevre et al., ICDE 2006).
 
-Big classes are cut level by level on the executors. A level costs two
-aggregates over the narrow table; the cuts of a level form a table of at most
-rows / ``local_rows`` entries, which is counted and, if short, broadcast. Once a class is no larger
-than ``local_rows`` it is finished inside one task with the rest of its kind
-spread over the cluster. A class too big for that but impossible to cut (for
-example many equal rows) is final and never gathered.
+Big classes are cut level by level on the executors. The cut is the exact lower
+median at every size: a sketch bounds it from both sides, and only the values
+between the bounds are counted one by one. The state of a level is written once
+and holds nothing but the classes that are still open. A class of
+``local_rows`` or fewer leaves the levels and is finished inside one task, by
+the same rule, beside the others of its kind; a class that is too big for that but
+impossible to cut (for example many equal rows) is final and never gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskveil.functions.dates import as_moment
-from duskveil.functions.names import is_numeric, is_temporal, is_text, ref, require
+from duskveil.functions.dates import as_moment, spellings
+from duskveil.functions.names import is_numeric, is_temporal, is_text, known, ref, require
 from duskveil.functions.text import number_in
-from duskveil.plans.joins import counted_join, lookup_join
+from duskveil.plans.joins import counted_join, lookup_join, row_join
 from duskveil.plans.ordering import NUMBER, number_rows
 from duskveil.plans.scratch import stash
 
-LOCAL_ROWS = 100_000
-_LEVELS_PER_WRITE = 4
-_MEDIAN_ACCURACY = 100_000
+#: Rows of a class that one task finishes. A matter of speed: the classes are
+#: the same whatever it is.
+LOCAL_ROWS = 5_000
+_MEDIAN_ACCURACY = 10_000
+#: Half the width of the band around the median, in ranks per row; the sketch errs
+#: by one part in ``_MEDIAN_ACCURACY``.
+_BAND = 2 / _MEDIAN_ACCURACY
+#: A class: the level on which it came about, and its number there.
+CLASS = ["__level", "__class"]
 
 
 def _seconds(moment: Column) -> Column:
@@ -48,22 +56,23 @@ def _coded(df: DataFrame, quasi: Sequence[str], key: Sequence[str]) -> DataFrame
         checks += [
             F.count(value).alias(f"a{i}"),
             F.count(number_in(value)).alias(f"n{i}"),
-            F.count(as_moment(value, T.StringType())).alias(f"d{i}"),
         ]
     found = df.agg(*checks).first() if checks else None
+    dates = spellings(df.select(*[ref(q).cast("string").alias(q) for q in texts]), texts)
     narrow = df.select(*[ref(c) for c in dict.fromkeys([*key, *quasi])])
     for i, q in enumerate(quasi):
         code, value = f"__c{i}", ref(q)
         if is_numeric(df, q):
-            narrow = narrow.withColumn(code, value.cast("double"))
+            narrow = narrow.withColumn(code, known(narrow, q).cast("double"))
         elif is_temporal(df, q):
             narrow = narrow.withColumn(code, _seconds(value))
         else:
             spot, text = texts.index(q), value.cast("string")
             if found[f"n{spot}"] == found[f"a{spot}"]:
                 narrow = narrow.withColumn(code, number_in(text))
-            elif found[f"d{spot}"] == found[f"a{spot}"]:
-                narrow = narrow.withColumn(code, _seconds(as_moment(text, T.StringType())))
+            elif dates[q][1] == dates[q][2]:
+                moment = as_moment(text, T.StringType(), dates[q][0])
+                narrow = narrow.withColumn(code, _seconds(moment))
             else:
                 counted = (
                     narrow.where(value.isNotNull())
@@ -77,75 +86,109 @@ def _coded(df: DataFrame, quasi: Sequence[str], key: Sequence[str]) -> DataFrame
     return narrow
 
 
+def _medians(
+    opened: DataFrame, classes: DataFrame, count: int, dims: int, key: Sequence[str], band: float
+) -> DataFrame:
+    """``__level, __class, dim, n, cut, left`` of every open class and dimension: the
+    lower median and how many rows are not above it.
+
+    Rows below the sketch's band are one count, rows in it are counted by value.
+    If a band misses the median (the sketch only promises its error with the
+    odds of any estimate), the classes concerned are done again with a wider one.
+    """
+    ends = [f"__{side}{i}" for i in range(dims) for side in ("low", "high")]
+    bounds = opened.groupBy(*CLASS).agg(
+        *[
+            F.percentile_approx(f"__c{i}", [max(0.5 - band, 0.0), min(0.5 + band, 1.0)], _MEDIAN_ACCURACY).alias(f"b{i}")
+            for i in range(dims)
+        ]
+    )
+    bounds = classes.select(*CLASS, "__n").join(bounds, CLASS).select(
+        *CLASS,
+        "__n",
+        *[F.get(f"b{i}", F.lit(e)).alias(f"__{side}{i}") for i in range(dims) for e, side in enumerate(("low", "high"))],
+    )
+    narrow = opened.select(*[ref(c) for c in key], *CLASS, *[f"__c{i}" for i in range(dims)])
+    placed = counted_join(narrow, bounds, count, CLASS, "__n", key)
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("dim"),
+                F.when(F.col(f"__c{i}") >= F.col(f"__low{i}"), F.col(f"__c{i}")).alias("value"),
+                (F.col(f"__c{i}") <= F.col(f"__high{i}")).alias("needed"),
+            )
+            for i in range(dims)
+        ]
+    )
+    counted = (
+        placed.select(*CLASS, F.inline(cells))
+        .where("needed")
+        .groupBy(*CLASS, "dim", "value")
+        .agg(F.count("*").alias("times"))
+    )
+    upto = F.sum("times").over(
+        Window.partitionBy(*CLASS, "dim").orderBy(F.asc_nulls_first("value")).rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+    )
+    reached = counted.withColumn("upto", upto).join(classes.select(*CLASS, "__n"), CLASS)
+    # 0-based rank of the lower median of n rows
+    past = F.col("upto") > F.floor((F.col("__n") - 1) / 2)
+    first = F.min(F.when(past, F.struct("upto", "value")))
+    return (
+        reached.groupBy(*CLASS, "dim", F.col("__n").alias("n"))
+        .agg(first.alias("at"))
+        .select(*CLASS, "dim", "n", F.col("at.value").alias("cut"), F.col("at.upto").alias("left"))
+    )
+
+
 def _next_level(
-    state: DataFrame,
-    dims: int,
-    scales: list[float],
-    k: int,
-    key: Sequence[str],
-    local_rows: int,
-    level: int,
-) -> tuple[DataFrame, bool]:
-    """Cut every open class once; classes small enough leave for the local step."""
+    opened: DataFrame, dims: int, scales: list[float], k: int, key: Sequence[str], local_rows: int, level: int
+) -> DataFrame:
+    """Cut every open class once; ``__state`` says what becomes of its rows."""
     codes = [f"__c{i}" for i in range(dims)]
-    opened = state.where(F.col("__state") == "open")
-    stats = [F.count("*").alias("__n")]
-    for i, code in enumerate(codes):
-        stats += [
-            ((F.max(code) - F.min(code)) / scales[i]).alias(f"__w{i}"),
-            F.percentile_approx(code, 0.5, _MEDIAN_ACCURACY).alias(f"__m{i}"),
-        ]
-    classes = stash(opened.groupBy("__class").agg(*stats))
+    widths = [((F.max(c) - F.min(c)) / scales[i]).alias(f"__w{i}") for i, c in enumerate(codes)]
+    classes = stash(opened.groupBy(*CLASS).agg(F.count("*").alias("__n"), *widths))
     count = classes.count()
-    medians = classes.where(F.col("__n") > local_rows).select(
-        "__class", "__n", *[f"__m{i}" for i in range(dims)]
-    )
-    narrow = opened.select(*[ref(c) for c in key], "__class", *codes)
-    placed = counted_join(narrow, medians, count, "__class", "__n", key)
-    sizes = placed.groupBy("__class").agg(
-        *[F.count_if(F.col(c) <= F.col(f"__m{i}")).alias(f"__l{i}") for i, c in enumerate(codes)]
+    cuts = stash(_medians(opened, classes, count, dims, key, _BAND))
+    band = _BAND
+    while band < 0.5 and not cuts.where("cut is null").isEmpty():
+        band *= 16
+        missed = cuts.where("cut is null").select(*CLASS).distinct()
+        again = _medians(
+            opened.join(missed, CLASS, "left_semi"), classes.join(missed, CLASS, "left_semi"), count, dims, key, band
+        )
+        cuts = stash(cuts.join(missed, CLASS, "left_anti").unionByName(again))
+    width = reduce(
+        lambda other, i: F.when(F.col("dim") == i, F.col(f"__w{i}")).otherwise(other), range(dims), F.lit(None)
     )
-    options = []
-    for i in range(dims):
-        left = F.col(f"__l{i}")
-        option = F.struct(
-            F.col(f"__w{i}").alias("width"),
-            F.lit(-i).alias("dim"),
-            F.col(f"__m{i}").alias("cut"),
+    # of equal widths the first dimension
+    best = F.max(
+        F.when(
+            (F.col("left") >= k) & (F.col("n") - F.col("left") >= k),
+            F.struct(width.alias("width"), (-F.col("dim")).alias("dim"), "cut", "left"),
         )
-        options.append(F.when((left >= k) & (F.col("__n") - left >= k), option))
-    # null __best: no cut leaves k rows on both sides
-    best = options[0] if dims == 1 else F.array_max(F.array(*options))
-    small = F.col("__n") <= local_rows
+    )
     plan = stash(
-        classes.join(sizes, "__class").select(
-            F.col("__class").alias("__open"),
-            "__n",
-            small.alias("__small"),
-            F.when(~small, best).alias("__best"),
-            F.monotonically_increasing_id().alias("__id"),
-        )
+        cuts.join(classes.drop("__n"), CLASS)
+        .groupBy(*CLASS, "n")
+        .agg(best.alias("__best"))
+        .select(*CLASS, F.col("n").alias("__n"), F.col("n").alias("__size"), "__best", F.monotonically_increasing_id().alias("__id"))
     )
-    more = not plan.where("__best is not null").isEmpty()
-    # only open classes have a line in the plan
-    asked = state.withColumn("__open", F.when(F.col("__state") == "open", F.col("__class")))
-    moved = counted_join(asked, plan, count, "__open", "__n", key)
+    moved = counted_join(opened, plan, count, CLASS, "__n", key)
+    code = F.coalesce(*[F.when(F.col("__best.dim") == -i, F.col(c)) for i, c in enumerate(codes)])
+    goes_left = code <= F.col("__best.cut")
+    size = F.when(goes_left, F.col("__best.left")).otherwise(F.col("__size") - F.col("__best.left"))
     cut = F.col("__best").isNotNull()
-    code = F.coalesce(
-        *[F.when(F.col("__best.dim") == -i, F.col(c)) for i, c in enumerate(codes)]
+    state = F.when(~cut, "done").when(size <= local_rows, "local").otherwise("open")
+    number = F.col("__id") * 2 + F.when(goes_left, 0).otherwise(1)
+    moved = moved.select(
+        *[c for c in opened.columns if c not in CLASS],
+        F.when(cut, F.lit(level)).otherwise(F.col("__level")).alias("__level"),
+        F.when(cut, number).otherwise(F.col("__class")).alias("__class"),
+        state.alias("__state"),
     )
-    side = F.when(code <= F.col("__best.cut"), 0).otherwise(1)
-    child = F.lit(level * (1 << 45)) + F.col("__id") * 2 + side
-    moved = moved.withColumns(
-        {
-            "__class": F.when(cut, child).otherwise(F.col("__class")),
-            "__state": F.when(F.col("__open").isNull(), F.col("__state"))
-            .when(cut, F.lit("open"))
-            .when(F.col("__small"), F.lit("local"))
-            .otherwise(F.lit("done")),
-        }
-    )
-    return moved.drop("__open", "__small", "__best", "__id"), more
+    return stash(moved)
 
 
 def _finish_locally(dims: int, scales: list[float], k: int, key: Sequence[str]):
@@ -169,7 +212,7 @@ def _finish_locally(dims: int, scales: list[float], k: int, key: Sequence[str]):
             widths = np.where(fits, np.ptp(part, axis=0) / np.array(scales), -1.0)
             side = low[:, int(widths.argmax())]
             open_ += [members[side], members[~side]]
-        return rows[[*names, "__class"]].assign(__part=label)
+        return rows[[*names, *CLASS]].assign(__part=label)
 
     return finish
 
@@ -177,7 +220,7 @@ def _finish_locally(dims: int, scales: list[float], k: int, key: Sequence[str]):
 def mondrian_classes(
     df: DataFrame, quasi: Sequence[str], k: int, key: Sequence[str], local_rows: int = LOCAL_ROWS
 ) -> DataFrame:
-    """``key``, quasi-identifiers and the class (``__class``, ``__part``) of each row."""
+    """``key``, quasi-identifiers and the class (``__level``, ``__class``, ``__part``) of each row."""
     require(df, *quasi, *key)
     if not quasi:
         raise ValueError("quasi-identifiers must not be empty")
@@ -186,40 +229,42 @@ def mondrian_classes(
     ranges = [F.count("*").alias("n")]
     for i in range(dims):
         ranges += [F.min(f"__c{i}").alias(f"lo{i}"), F.max(f"__c{i}").alias(f"hi{i}")]
-    known = coded.agg(*ranges).first()
-    if known["n"] < k:
-        raise ValueError(f"{known['n']} rows cannot be made {k}-anonymous")
-    scales = [((known[f"hi{i}"] or 0.0) - (known[f"lo{i}"] or 0.0)) or 1.0 for i in range(dims)]
+    seen = coded.agg(*ranges).first()
+    if seen["n"] < k:
+        raise ValueError(f"{seen['n']} rows cannot be made {k}-anonymous")
+    scales = [((seen[f"hi{i}"] or 0.0) - (seen[f"lo{i}"] or 0.0)) or 1.0 for i in range(dims)]
+    codes = [f"__c{i}" for i in range(dims)]
     # a missing value is cut as if it were the column minimum
-    state = coded.fillna({f"__c{i}": known[f"lo{i}"] or 0.0 for i in range(dims)})
-    state = state.withColumn("__class", F.lit(0).cast("bigint")).withColumn(
-        "__state", F.lit("open" if known["n"] > local_rows else "local")
+    opened = (
+        coded.select(*[ref(c) for c in key], *codes)
+        .fillna({f"__c{i}": seen[f"lo{i}"] or 0.0 for i in range(dims)})
+        .withColumns({"__level": F.lit(0), "__class": F.lit(0).cast("bigint")})
     )
-    level, more = 0, known["n"] > local_rows
-    while more:
-        level += 1
-        state, more = _next_level(state, dims, scales, k, key, local_rows, level)
-        if level % _LEVELS_PER_WRITE == 0:
-            state = stash(state)
-    if level:
-        state = stash(state)
-    small = state.where(F.col("__state") == "local")
-    wanted = [*key, "__class", *[f"__c{i}" for i in range(dims)]]
+    small, done = [], []
+    if seen["n"] <= local_rows:
+        small.append(opened)
+    else:
+        for level in range(1, 1 << 20):
+            state = _next_level(opened, dims, scales, k, key, local_rows, level)
+            small.append(state.where("__state = 'local'").drop("__state"))
+            done.append(state.where("__state = 'done'").drop("__state"))
+            opened = state.where("__state = 'open'").drop("__state")
+            if opened.isEmpty():
+                break
     schema = T.StructType(
-        [*[state.schema[c] for c in key], T.StructField("__class", T.LongType()),
-         T.StructField("__part", T.LongType())]
+        [*[opened.schema[c] for c in key], T.StructField("__level", T.IntegerType()),
+         T.StructField("__class", T.LongType()), T.StructField("__part", T.LongType())]
     )
-    finished = (
-        small.select(*[ref(c) for c in wanted])
-        .groupBy("__class")
+    parts = [
+        reduce(DataFrame.unionByName, small)
+        .groupBy(*CLASS)
         .applyInPandas(_finish_locally(dims, scales, k, key), schema)
-    )
-    whole = state.where(F.col("__state") != "local").select(
-        *[ref(c) for c in key], "__class", F.lit(-1).cast("bigint").alias("__part")
-    )
-    return coded.drop(*[f"__c{i}" for i in range(dims)]).join(
-        finished.unionByName(whole), list(key)
-    )
+    ]
+    parts += [
+        rows.select(*[ref(c) for c in key], *CLASS, F.lit(-1).cast("bigint").alias("__part"))
+        for rows in done
+    ]
+    return row_join(coded.drop(*codes), reduce(DataFrame.unionByName, parts), key, key)
 
 
 def mondrian(
@@ -229,7 +274,7 @@ def mondrian(
     rows = stash(mondrian_classes(df, quasi, k, key, local_rows))
     ends = [F.count("*").alias("__weight")]
     for i, q in enumerate(quasi):
-        value = ref(q).cast("date") if is_temporal(df, q) else ref(q)
+        value = ref(q).cast("date") if is_temporal(df, q) else known(rows, q)
         if not is_numeric(df, q) and not is_temporal(df, q) and not is_text(df, q):
             value = value.cast("string")
         low, high = F.min(value), F.max(value)
@@ -237,10 +282,8 @@ def mondrian(
             F.concat(low.cast("string"), F.lit("–"), high.cast("string"))
         )
         ends.append(F.coalesce(label, F.lit("")).alias(f"__label{i}"))
-    labels = rows.groupBy("__class", "__part").agg(*ends)
-    labelled = lookup_join(
-        rows.select(*[ref(c) for c in key], "__class", "__part"),
-        labels, ["__class", "__part"], "__weight", key,
-    )
+    own = [*CLASS, "__part"]
+    labels = rows.groupBy(*own).agg(*ends)
+    labelled = lookup_join(rows.select(*[ref(c) for c in key], *own), labels, own, "__weight", key)
     aliases = {q: f"__label{i}" for i, q in enumerate(quasi)}
-    return labelled.drop("__class", "__part"), aliases
+    return labelled.drop(*own), aliases

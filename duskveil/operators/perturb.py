@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskveil.functions import noise
-from duskveil.functions.dates import as_moment
-from duskveil.functions.names import is_numeric, numeric_names, ref, replace_columns, require
+from duskveil.functions.dates import FORMATS, as_moment, spellings
+from duskveil.functions.names import (
+    is_numeric, is_text, known, numeric_names, ref, replace_columns, require,
+)
+from duskveil.functions.text import finite
 from duskveil.operators.masks import suppress_text
 
 log = logging.getLogger(__name__)
@@ -43,11 +46,16 @@ def laplace_noise(
     bounds = bounds or {}
     unknown = [c for c in names if c not in bounds]
     spread = None
+
+    def number(name: str):
+        """A cell that counts for the range; missing and infinite ones do not."""
+        return finite(known(df, name).cast("double"))
+
     if unknown:
         spread = df.agg(
             F.struct(
                 *[
-                    (F.max(ref(c)).cast("double") - F.min(ref(c)).cast("double")).alias(f"r{i}")
+                    (F.max(number(c)) - F.min(number(c))).alias(f"r{i}")
                     for i, c in enumerate(unknown)
                 ]
             )
@@ -85,12 +93,15 @@ def shift_dates(
     max_days: int,
     seed: int | str,
     drop_time: bool = False,
+    formats: Sequence[str] = FORMATS,
 ) -> DataFrame:
     """Move all dates of one subject by the same number of days within ±``max_days``.
 
     Text that reads as no date becomes null, and so do the dates of rows
     without an identifier. Date types keep their type, text becomes a
-    timestamp; ``drop_time`` gives plain dates.
+    timestamp; ``drop_time`` gives plain dates. A text column is read in the one
+    of ``formats`` that reads most of its values, found by one aggregate; of a
+    stream, or if there is one format, in the first.
     """
     if not date_columns:
         return df
@@ -98,6 +109,10 @@ def shift_dates(
     if max_days < 0:
         raise ValueError("max_days must not be negative")
     days = noise.day_shift(seed, max_days, ref(id_column))
+    texts = [c for c in dict.fromkeys(date_columns) if c in df.columns and is_text(df, c)]
+    spelled = {c: formats[0] for c in texts}
+    if len(formats) > 1 and not df.isStreaming:
+        spelled = {c: best for c, (best, _, _) in spellings(df, texts, formats).items()}
     shifted = {}
     for name in date_columns:
         if name not in df.columns:
@@ -107,7 +122,10 @@ def shift_dates(
         if isinstance(kind, T.DateType):
             shifted[name] = F.date_add(ref(name), days)
             continue
-        moment = ref(name) if isinstance(kind, T.TimestampType) else as_moment(ref(name), kind)
+        if isinstance(kind, T.TimestampType):
+            moment = ref(name)
+        else:
+            moment = as_moment(ref(name), kind, spelled.get(name, formats[0]))
         moved = F.timestamp_add("DAY", days, moment)
         shifted[name] = moved.cast("date") if drop_time else moved
     return replace_columns(df, shifted)

@@ -131,7 +131,11 @@ def changed_columns(df: DataFrame, original: DataFrame, key: Sequence[str]) -> D
         *[ref(c).alias(f"b{i}") for i, c in enumerate(shared)],
         F.lit(True).alias("right"),
     )
-    both = left.join(right, [f"k{i}" for i in range(len(key))], "full")
+    # keys as a whole, so that null keys meet too
+    names = [f"k{i}" for i in range(len(key))]
+    left = left.withColumn("key", F.struct(*names)).drop(*names)
+    right = right.withColumn("key", F.struct(*names)).drop(*names)
+    both = left.join(right, "key", "full")
     alone = F.col("left").isNull() | F.col("right").isNull()
     tests = []
     for i, c in enumerate(shared):

@@ -16,64 +16,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from duskveil.functions.names import numeric_names, ref, require
+from duskveil.functions.names import known, numeric_names, ref, require
 from duskveil.operators.federated import apply_model, fit_average
 from duskveil.operators.shape import numeric_columns
 from duskveil.plans.scratch import stash
 
 #: a column whose spread is this small a part of its sum of squares is constant
 _FLAT = 1e-12
-#: most columns whose products are summed by one aggregate
-WIDEST = 12
 
 
-def _known(df: DataFrame, name: str) -> Column:
-    value = ref(name).cast("double")
-    return F.when(~F.isnan(value), value)
-
-
-def moments(df: DataFrame, columns: Sequence[str], widest: int = WIDEST) -> DataFrame:
+def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per set of present columns: ``present``, ``n``, ``sums`` and ``products``
     of the deviations from the column means (products as a flat p × p array).
 
     Two scans, one for the means and one for the sums; the small result is
     written, so whatever is derived from it never reads the table again.
-    Up to ``widest`` columns the sums are one aggregate; beyond, that many
-    expressions no longer compile well and each task multiplies its batches.
+    Each task multiplies its batches, so the plan does not grow with the columns.
     """
     p = len(columns)
-    values = df.select(*[_known(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
+    values = df.select(*[known(df, c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     middle = values.agg(F.struct(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)])).scalar()
     centred = values.select(*[(F.col(f"x{i}") - middle[f"m{i}"]).alias(f"d{i}") for i in range(p)])
-    return stash(_summed(centred, p) if p <= widest else _multiplied(centred, p))
-
-
-def _summed(centred: DataFrame, p: int) -> DataFrame:
-    present = F.array_compact(
-        F.array(*[F.when(F.col(f"d{i}").isNotNull(), F.lit(i)) for i in range(p)])
-    )
-    spots = {(i, j): F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i in range(p) for j in range(i, p)}
-    return (
-        centred.withColumn("present", present)
-        .groupBy("present")
-        .agg(
-            F.count("*").alias("n"),
-            *[F.sum(f"d{i}").alias(f"s{i}") for i in range(p)],
-            *[c.alias(f"q{i}_{j}") for (i, j), c in spots.items()],
-        )
-        .select(
-            "present",
-            "n",
-            F.array(*[F.col(f"s{i}") for i in range(p)]).alias("sums"),
-            F.array(
-                *[F.col(f"q{min(i, j)}_{max(i, j)}") for i in range(p) for j in range(p)]
-            ).alias("products"),
-        )
-    )
+    return stash(_multiplied(centred, p))
 
 
 def _multiplied(centred: DataFrame, p: int) -> DataFrame:
-    """As ``_summed``: matrix products per task, added up entry by entry."""
+    """Matrix products per task and set of present columns, added up entry by entry."""
     held = 64  # patterns a task keeps before it hands on their sums
 
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskveil.functions.dates import as_moment, date_parts, ordinal
+from duskveil.functions.dates import FORMATS, ISO, as_moment, date_parts, ordinal, spellings
 from duskveil.functions.names import (
     is_numeric,
     is_temporal,
-
+    known,
     numeric_names,
     ref,
     require,
@@ -82,86 +82,78 @@ def drop_missing_numbers(df: DataFrame, column: str, least: int = 2) -> DataFram
     require(df, column)
     if not is_numeric(df, column):
         raise ValueError(f"{column} is not numeric")
-    present = df.where(ref(column).isNotNull())
+    present = df.where(known(df, column).isNotNull())
     if present.limit(least).count() < least:
         raise ValueError(f"{column} needs at least {least} values")
     return present
 
 
-def date_like_columns(df: DataFrame, order_by: Sequence[str], sample: int = 5) -> DataFrame:
-    """``column_name`` of date columns and of text columns whose first ``sample``
-    known values in ``order_by`` all read as dates."""
-    spark = df.sparkSession
-    typed = [n for n in df.columns if is_temporal(df, n)]
-    found = spark.createDataFrame([(n,) for n in typed], "column_name string")
-    for name in text_names(df):
-        first = (
-            df.where(ref(name).isNotNull())
-            .orderBy(*[ref(c) for c in order_by])
-            .select(ref(name).alias("v"))
-            .limit(sample)
-        )
-        moment = as_moment(F.col("v"), T.StringType())
-        fits = first.agg(
-            F.count("v").alias("n"), F.count(moment).alias("read")
-        ).where("n > 0 and n = read")
-        found = found.unionByName(fits.select(F.lit(name).alias("column_name")))
-    return found
+def date_like_columns(df: DataFrame, formats: Sequence[str] = FORMATS) -> DataFrame:
+    """``column_name`` of date columns and of text columns all of whose known values
+    read as dates in one of ``formats``. One aggregate over all values."""
+    texts = _readable(df, text_names(df), True, formats)
+    found = [n for n in df.columns if is_temporal(df, n) or n in texts]
+    return df.sparkSession.createDataFrame([(n,) for n in found], "column_name string")
 
 
-def _readable(df: DataFrame, names: Sequence[str], all_values: bool) -> list[str]:
-    """Text columns that read as dates: all known values, or at least one."""
-    if not names:
-        return []
-    checks = []
-    for i, n in enumerate(names):
-        checks += [
-            F.count(ref(n)).alias(f"n{i}"),
-            F.count(as_moment(ref(n), T.StringType())).alias(f"d{i}"),
-        ]
-    seen = df.agg(*checks).first()
-    return [
-        n
-        for i, n in enumerate(names)
-        if seen[f"d{i}"] > 0 and (not all_values or seen[f"d{i}"] == seen[f"n{i}"])
-    ]
-
-
-def expand_dates(df: DataFrame) -> DataFrame:
+def _readable(
+    df: DataFrame, names: Sequence[str], all_values: bool, formats: Sequence[str]
+) -> dict[str, str]:
+    """Text columns that read as dates, all known values or at least one, and the format."""
+    return {
+        n: spelling
+        for n, (spelling, read, total) in spellings(df, names, formats).items()
+        if read > 0 and (not all_values or read == total)
+    }
+
+
+def expand_dates(df: DataFrame, formats: Sequence[str] = FORMATS) -> DataFrame:
     """Replace each date column by its year, month and day columns.
 
-    A text column counts if all its known values read as dates. Numbers stay.
+    A text column counts if one format reads all its known values. Numbers
+    stay. A part that would take the name of another column is an error.
     """
-    texts = set(_readable(df, text_names(df), all_values=True))
+    texts = _readable(df, text_names(df), True, formats)
     out, parts = [], {}
     for name in df.columns:
         if is_temporal(df, name) or name in texts:
-            parts.update(date_parts(name, as_moment(ref(name), df.schema[name].dataType)))
+            moment = as_moment(ref(name), df.schema[name].dataType, texts.get(name, ISO))
+            _add_all(parts, date_parts(name, moment))
         else:
-            out.append(ref(name))
-    return df.select(*out, *[c.alias(n) for n, c in parts.items()])
+            out.append(name)
+    _add_all({n: None for n in out}, parts)
+    return df.select(*[ref(n) for n in out], *[c.alias(n) for n, c in parts.items()])
+
+
+def _add_all(columns: dict[str, Column], new: dict[str, Column]) -> None:
+    taken = sorted(set(columns) & set(new))
+    if taken:
+        raise ValueError(f"column names collide: {taken}")
+    columns.update(new)
 
 
-def feature_columns(df: DataFrame, date_pair: tuple[str, str] | None = None) -> dict[str, Column]:
+def feature_columns(
+    df: DataFrame, date_pair: tuple[str, str] | None = None, formats: Sequence[str] = FORMATS
+) -> dict[str, Column]:
     """Numeric features of a table: its numbers, and date parts of what reads as a date.
 
     The two columns of ``date_pair`` become the day numbers ``admit_ord`` and
     ``disch_ord`` and their difference ``los_days``.
     """
-    texts = set(_readable(df, text_names(df), all_values=False))
+    texts = _readable(df, text_names(df), False, formats)
     features: dict[str, Column] = {}
     days: dict[str, Column] = {}
     named = dict(zip(date_pair, ("admit_ord", "disch_ord"))) if date_pair else {}
     for name in df.columns:
         if is_numeric(df, name):
-            features[name] = ref(name).cast("double")
+            _add_all(features, {name: known(df, name).cast("double")})
         elif is_temporal(df, name) or name in texts:
-            moment = as_moment(ref(name), df.schema[name].dataType)
+            moment = as_moment(ref(name), df.schema[name].dataType, texts.get(name, ISO))
             if name in named:
                 days[named[name]] = ordinal(moment).cast("double")
             else:
                 parts = date_parts(name, moment)
-                features.update({n: c.cast("double") for n, c in parts.items()})
+                _add_all(features, {n: c.cast("double") for n, c in parts.items()})
     features.update({n: days[n] for n in ("admit_ord", "disch_ord") if n in days})
     if len(days) == 2:
         features["los_days"] = days["disch_ord"] - days["admit_ord"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskveil.functions.names import ref
@@ -75,17 +75,43 @@ def lookup_join(
     )
 
 
+def row_join(df: DataFrame, table: DataFrame, keys: Sequence[str], own: Sequence[str]) -> DataFrame:
+    """Every row of ``df`` with the columns of its row in ``table``.
+
+    ``own`` names the key columns of ``table``. A key is matched as a whole, so
+    parts may be null; a key that ``table`` holds twice raises an error, since
+    its rows cannot be told apart. The copies are counted in the exchange that
+    the join needs anyway.
+    """
+    checked = unique_rows(table, own)
+    left = df.withColumn("__whole", F.struct(*[ref(k) for k in keys]))
+    rest = [c for c in checked.columns if c not in own]
+    right = checked.select(*[ref(c) for c in rest])
+    return left.join(right, F.col("__whole") == F.col("__own"), "left").drop("__whole", "__own")
+
+
+def unique_rows(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``table`` with its whole key in ``__own``; a key held twice raises an error."""
+    whole = F.struct(*[ref(k) for k in keys])
+    copies = F.count("*").over(Window.partitionBy("__own"))
+    twice = F.raise_error(F.lit(f"the key {list(keys)} is held by more than one row"))
+    checked = table.withColumn("__own", whole).withColumn("__copies", copies)
+    kept = F.when(F.col("__copies") > 1, twice.cast(checked.schema["__own"].dataType))
+    return checked.withColumn("__own", kept.otherwise(F.col("__own"))).drop("__copies")
+
+
 def counted_join(
     df: DataFrame,
     table: DataFrame,
     rows: int,
-    key: str,
+    key: str | Sequence[str],
     weight: str,
     row_key: Sequence[str],
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """``lookup_join`` on one key to a narrow table of known size ``rows``,
-    which is broadcast as long as it is small."""
+    """``lookup_join`` to a narrow table of known size ``rows``, which is broadcast
+    as long as it is small."""
+    keys = [key] if isinstance(key, str) else list(key)
     if rows > broadcast_rows:
-        return lookup_join(df, table, [key], weight, row_key)
-    return df.join(F.broadcast(table.drop(weight)), key, "left")
+        return lookup_join(df, table, keys, weight, row_key)
+    return df.join(F.broadcast(table.drop(weight)), keys, "left")

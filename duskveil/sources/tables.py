@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskveil.functions.dates import as_moment
+from duskveil.functions.dates import FORMATS, as_moment, spellings
 from duskveil.functions.names import ref, replace_columns, require
 
 # The spellings of a missing cell in a CSV file.
@@ -18,13 +18,16 @@ MISSING = [
 ]
 
 _TRUE_FALSE = r"\A(?i:true|false)\z"
-_WHOLE = r"\A\s*[+-]?\d{1,18}\s*\z"
+_WHOLE = r"\A\s*[+-]?\d+\s*\z"
+#: Whole numbers that are too long for a long.
+_LONGER = T.DecimalType(38, 0)
 
 
 def _settled_type(name: str, seen) -> T.DataType:
     if seen[f"{name}_n"] == 0:
         return T.DoubleType()
-    for kind, test in ((T.LongType(), "w"), (T.DoubleType(), "f"), (T.BooleanType(), "b")):
+    kinds = ((T.LongType(), "w"), (_LONGER, "l"), (T.DoubleType(), "f"), (T.BooleanType(), "b"))
+    for kind, test in kinds:
         if seen[f"{name}_{test}"] == seen[f"{name}_n"]:
             return kind
     return T.StringType()
@@ -35,20 +38,31 @@ def read_csv(
     path: str,
     columns: Sequence[str] | None = None,
     schema: T.StructType | str | None = None,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """CSV with a header line; quoted cells may hold commas and line breaks.
+    """CSV with a header line; quoted cells may hold commas.
 
-    Line breaks in cells keep Spark from cutting a file in pieces: if there
-    are none, ``multi_line=False`` lets many tasks share one big file.
+    Many tasks share a big file. Line breaks inside cells need
+    ``multi_line=True``, which gives each file to one task.
 
-    Without ``schema`` a column becomes whole numbers, decimals or booleans if
-    all its known cells spell one, else text (one extra pass over the chosen
-    columns). The usual spellings of a missing cell read as null.
+    Without ``schema`` a column becomes whole numbers (of any length), decimals
+    or booleans if all its known cells spell one, else text; that takes one
+    extra pass over the chosen columns, which ``schema=table.schema`` saves the
+    next time. The usual spellings of a missing cell read as null either way; a
+    cell that does not fit a given ``schema`` is an error.
     """
     reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
     if schema is not None:
-        table = reader.schema(schema).csv(path)
+        wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+        texts = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted.fields])
+        cells = reader.schema(texts).csv(path)
+        table = cells.select(
+            *[
+                F.when(~ref(f.name).isin(MISSING), ref(f.name)).cast(f.dataType).alias(f.name)
+                for f in wanted.fields
+                if not columns or f.name in columns
+            ]
+        )
         return table.select(*[ref(c) for c in columns]) if columns else table
     raw = reader.csv(path)
     if columns:
@@ -60,7 +74,8 @@ def read_csv(
         cell = ref(c)
         tests += [
             F.count(cell).alias(f"{i}_n"),
-            F.count_if(cell.rlike(_WHOLE)).alias(f"{i}_w"),
+            F.count_if(cell.rlike(_WHOLE) & cell.try_cast("bigint").isNotNull()).alias(f"{i}_w"),
+            F.count_if(cell.rlike(_WHOLE) & cell.try_cast(_LONGER).isNotNull()).alias(f"{i}_l"),
             F.count(cell.try_cast("double")).alias(f"{i}_f"),
             F.count_if(cell.rlike(_TRUE_FALSE)).alias(f"{i}_b"),
         ]
@@ -72,16 +87,28 @@ def read_csv(
 
 
 def read_table(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] | None = None,
+    formats: Sequence[str] = FORMATS,
 ) -> DataFrame:
-    """CSV; of an explicit column list, those named like a date read as timestamps."""
+    """CSV; of an explicit column list, those named like a date read as timestamps,
+    each in the one of ``formats`` that reads most of its values."""
     if not path.lower().rstrip("/").endswith(".csv"):
         raise ValueError(f"unsupported file extension: {path}")
     table = read_csv(spark, path, columns)
     if columns is None:
         return table
     dated = [c for c in columns if "date" in c.lower()]
-    return replace_columns(table, {c: as_moment(ref(c), table.schema[c].dataType) for c in dated})
+    texts = [c for c in dated if isinstance(table.schema[c].dataType, T.StringType)]
+    spelled = spellings(table, texts, formats)
+    return replace_columns(
+        table,
+        {
+            c: as_moment(ref(c), table.schema[c].dataType, *spelled[c][:1] if c in spelled else ())
+            for c in dated
+        },
+    )
 
 
 def write_parquet(df: DataFrame, path: str) -> str:

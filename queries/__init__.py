@@ -2,7 +2,7 @@
 
 from queries.registry import QUERIES, SQL
 from queries import (  # noqa: F401  (fills the registry)
-    anonymity, closeness, covers, federation, masks, perturbation, profiles, relations, shapes, sources,
+    anonymity, closeness, covers, federation, masks, perturbation, profiles, relations, rough, shapes, sources,
 )
 
 __all__ = ["QUERIES", "SQL"]

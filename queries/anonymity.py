@@ -200,8 +200,8 @@ def mondrian_customer(spark, sf_dir):
 
 @query(
     "mondrian_part_reaches_k",
-    """SELECT count(*) AS rows, true AS k_reached, true AS was_cut,
-       sum(p_size) = sum(p_size) AS labels_hold FROM part""",
+    """SELECT count(*) AS rows, count(*) >= 10 AS k_reached, count(*) > 100 AS was_cut,
+       bool_and(p_size BETWEEN 1 AND 50) AS labels_hold FROM part""",
 )
 def mondrian_part_reaches_k(spark, sf_dir):
     part = read(spark, sf_dir, "part")

@@ -81,11 +81,15 @@ def drop_missing_numbers_part(spark, sf_dir):
 
 @query(
     "date_like_columns_events",
-    "SELECT * FROM (VALUES ('ts'), ('ts_text')) t(column_name)",
+    """SELECT column_name FROM (
+         SELECT unnest(['event_id', 'ts', 'user_id', 'event_type', 'value', 'props', 'ts_text']) AS column_name,
+           unnest([false, bool_and(ts IS NOT NULL), false, bool_and(try_cast(event_type AS timestamp) IS NOT NULL), false,
+             bool_and(try_cast(props AS timestamp) IS NOT NULL), bool_and(try_cast(ts::varchar AS timestamp) IS NOT NULL)]) AS dated
+         FROM events) WHERE dated""",
 )
 def date_like_columns_events(spark, sf_dir):
     events = read(spark, sf_dir, "events").withColumn("ts_text", F.col("ts").cast("string"))
-    return date_like_columns(events, ["event_id"])
+    return date_like_columns(events)
 
 
 @query(

@@ -24,7 +24,7 @@ def csv_round_trip_customer(spark, sf_dir):
 )
 def csv_round_trip_documents(spark, sf_dir):
     path = write_csv(read(spark, sf_dir, "documents").drop("n_chars"), scratch_path(spark))
-    return read_csv(spark, path, ["doc_id", "text", "lang"])
+    return read_csv(spark, path, ["doc_id", "text", "lang"], multi_line=True)
 
 
 @query(

@@ -124,7 +124,7 @@ def test_mondrian_equals_recursion(spark, local_rows):
     found = mondrian_classes(df, ["a", "b"], 7, ["id"], local_rows).collect()
     classes = {}
     for r in found:
-        classes.setdefault((r["__class"], r["__part"]), set()).add(r["id"])
+        classes.setdefault((r["__level"], r["__class"], r["__part"]), set()).add(r["id"])
     assert {frozenset(c) for c in classes.values()} == median_cuts(points, 7)
 
 
@@ -135,7 +135,7 @@ def test_mondrian_hot_tuple_never_reaches_one_task(spark):
         F.when(F.col("id") < 400, "same").otherwise(F.concat(F.lit("v"), F.col("id") % 9)).alias("s"),
     )
     classes = mondrian_classes(df, ["a", "s"], 5, ["id"], local_rows=50)
-    sizes = classes.groupBy("__class", "__part").count()
+    sizes = classes.groupBy("__level", "__class", "__part").count()
     assert sizes.agg(F.min("count")).first()[0] >= 5
     assert classes.where("__part = -1").count() >= 400  # final on the executors
     labels, names = mondrian(df, ["a", "s"], 5, ["id"], local_rows=50)

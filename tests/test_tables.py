@@ -12,7 +12,7 @@ from duskveil.operators import charts, masks, profile, shape
 from duskveil.plans.joins import counted_join, lookup_join
 from duskveil.plans.ordering import NUMBER, exact_quantiles, freeze_order, neighbours, number_rows, ordered_counts
 from duskveil.plans.release import ReleaseInfo
-from duskveil.plans.scratch import drop_scratch, scratch_root, stash
+from duskveil.plans.scratch import drop_scratch, scratch, scratch_root, stash
 from duskveil.sources import arrays, catalogue, tables
 from duskveil.streaming import STATELESS
 
@@ -46,7 +46,7 @@ def test_filter_transform_sort_preview(spark):
 def test_dates(spark):
     rows = [(1, "2020-02-03", "x", "2020-01-01", 20200101), (2, None, "2020-05-05", "2020-01-09", 7)]
     df = spark.createDataFrame(rows, "id int, d string, s string, e string, n int")
-    assert [r[0] for r in shape.date_like_columns(df, ["id"]).orderBy("column_name").collect()] == ["d", "e"]
+    assert [r[0] for r in shape.date_like_columns(df).orderBy("column_name").collect()] == ["d", "e"]
     assert shape.expand_dates(df).columns == [
         "id", "s", "n", "d_year", "d_month", "d_day", "e_year", "e_month", "e_day"
     ]
@@ -190,26 +190,108 @@ def test_scratch_can_be_dropped(spark):
     assert stash(spark.range(3)).count() == 3
 
 
+def test_scratch_block_leaves_nothing(spark):
+    keep = stash(spark.range(2))
+    with scratch(spark):
+        folder = pathlib.Path(stash(spark.range(5)).inputFiles()[0].removeprefix("file://")).parent
+        assert folder.exists()
+        assert folder.parent.parent.stat().st_mode & 0o077 == 0  # no one else may read it
+    assert not folder.exists() and not folder.parent.exists()
+    assert keep.count() == 2
+
+
+def test_keys_may_be_null_but_not_repeated(spark):
+    from duskveil.operators.context import mask_adjacent
+    from duskveil.operators.kanon import kanonymize
+    from duskveil.plans.joins import row_join
+
+    df = spark.createDataFrame([(i if i else None, i % 5, "ab", i) for i in range(12)], "id int, q int, s string, rest int")
+    for strategy in ("micro", "mondrian"):
+        assert kanonymize(df, ["q"], 3, ["id"], strategy).count() == 12
+        with pytest.raises(Exception, match="more than one row"):
+            kanonymize(df.union(df), ["q"], 3, ["id"], strategy).collect()
+    assert mask_adjacent(df, ["s"], 1, ["id"]).count() == 12
+    with pytest.raises(Exception, match="more than one row"):
+        mask_adjacent(df.union(df), ["s"], 1, ["id"]).collect()
+    table = spark.createDataFrame([(None, "n"), (3, "t")], "k int, v string")
+    found = {r.id: r.v for r in row_join(df, table, ["id"], ["k"]).collect()}
+    assert len(found) == 12 and found[None] == "n" and found[3] == "t" and found[4] is None
+
+
+def test_not_a_number_is_missing(spark):
+    from duskveil.operators import federated, perturb, secure
+    from duskveil.operators.kanon import kanonymize
+
+    nan = float("nan")
+    df = spark.createDataFrame([(i, nan if i == 3 else float(i), i % 2) for i in range(12)], "id int, x double, g int")
+    gap = df.withColumn("x", F.nanvl("x", F.lit(None)))
+    assert shape.drop_missing_numbers(df, "x").count() == 11
+    noisy = perturb.laplace_noise(df, {"x": 1.0}, ["id"], 1)
+    assert noisy.where("x < 1e300").count() == 11
+    parties = secure.masked_contributions(df, "x", ["id"], 1)
+    assert secure.secure_sum(parties, 1).first().actual_sum == 63.0
+    for strategy in ("micro", "mondrian"):
+        got, want = (
+            sorted(map(str, kanonymize(t, ["x"], 3, ["id"], strategy).collect())) for t in (df, gap)
+        )
+        assert got == want
+    assert shape.sanitise_features(df, ["id"]).agg(F.round(F.sum("x"), 6)).first()[0] == pytest.approx(63 + 63 / 11)
+    one, two = (federated.fit_average(t, "g", "x", ["id"], 2)[0].collect() for t in (df, gap))
+    assert one == two and len(one[0].coefficients) == 2
+
+
 def test_csv(spark, tmp_path):
     text = 'id,name,x,flag,none,admit date\n1,"a, ""b""\nc",1.5,True,NA,2020-01-02\n2,n/a,3,False,,bad\n'
     path = tmp_path / "in.csv"
     path.write_text(text)
-    df = tables.read_csv(spark, str(path))
+    df = tables.read_csv(spark, str(path), multi_line=True)
     assert dict(df.dtypes) == {"id": "bigint", "name": "string", "x": "double", "flag": "boolean",
                                "none": "double", "admit date": "string"}
     rows = df.orderBy("id").collect()
     assert rows[0].name == 'a, "b"\nc' and rows[1].name is None and rows[1].none is None
+    path = tmp_path / "lines.csv"
+    path.write_text(text.replace("\nc", " c"))
     some = tables.read_table(spark, str(path), ["id", "admit date"])
     assert [tuple(r) for r in some.orderBy("id").collect()] == [(1, datetime.datetime(2020, 1, 2)), (2, None)]
     with pytest.raises(ValueError):
         tables.read_table(spark, str(tmp_path / "in.xlsx"))
     with pytest.raises(ValueError):
         tables.read_csv(spark, str(path), ["absent"])
-    back = tables.read_csv(spark, tables.write_csv(df, str(tmp_path / "a" / "out")))
+    back = tables.read_csv(spark, tables.write_csv(df, str(tmp_path / "a" / "out")), multi_line=True)
     assert back.orderBy("id").collect() == rows
     fixed = tables.read_csv(spark, str(path), ["x"], schema="id int, name string, x double, flag boolean, none string, d string")
     assert fixed.dtypes == [("x", "double")]
+    again = tables.read_csv(spark, str(path), schema=tables.read_csv(spark, str(path)).schema)
+    assert again.orderBy("id").collect()[1].name is None  # n/a is missing under a schema too
     assert spark.read.parquet(tables.write_parquet(df, str(tmp_path / "p"))).count() == 2
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        tables.read_csv(spark, str(path), schema="id int, name int").collect()
+
+
+def test_long_whole_numbers(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("a,b,c\n1234567890123456789,12345678901234567890123,1\n1234567890123456788,1,0.5\n")
+    df = tables.read_csv(spark, str(path))
+    assert dict(df.dtypes) == {"a": "bigint", "b": "decimal(38,0)", "c": "double"}
+    assert {r.a for r in df.collect()} == {1234567890123456789, 1234567890123456788}
+    assert max(r.b for r in df.collect()) == 12345678901234567890123
+
+
+def test_date_spellings(spark):
+    from duskveil.operators.perturb import shift_dates
+
+    day = datetime.datetime(2019, 6, 18)
+    cells = {"us": "06/18/2019", "eu": "18/06/2019", "dot": "18.6.2019", "word": "18 Jun 2019", "long": "June 18, 2019 13:05",
+             "noon": "06/18/2019 1:05 PM", "iso": "2019-06-18 13:05:00"}
+    df = spark.createDataFrame([(1, *cells.values(), "x"), (2, *[None] * len(cells), "06/18/2019")], ["id", *cells, "part"])
+    assert {r[0] for r in shape.date_like_columns(df).collect()} == set(cells)
+    done = shift_dates(df, "id", list(cells), 0, 1, drop_time=True).where("id = 1").first()
+    assert all(done[c] == day.date() for c in cells)
+    with pytest.raises(ValueError):
+        shape.expand_dates(df.withColumn("us_year", F.lit(1)))
+    parts = shape.expand_dates(df).where("id = 1").first()
+    assert all((parts[f"{c}_year"], parts[f"{c}_month"], parts[f"{c}_day"]) == (2019, 6, 18) for c in cells)
+    assert shift_dates(df, "id", ["us"], 0, 1, formats=["d/M/yyyy"]).first()["us"] is None
 
 
 def test_catalogue_and_arrays(spark, tmp_path):
