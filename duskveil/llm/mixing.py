@@ -155,7 +155,7 @@ def round_copies(df: DataFrame, seed: int, group_rows: int, fan_in: int) -> Data
 
 
 def _round_groups(level: DataFrame, seed: int, last: bool) -> DataFrame:
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         # the largest first, so that what is left over at the end is small
         ties = [_draw(seed, i, s) for i, s in zip(group["doc_id"], group["size"])]
         group = group.assign(tie=ties).sort_values(
@@ -225,9 +225,9 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()))
     taken = mix(
         numbered.select(F.col("__row").alias("doc_id"), "source", "text"), seed=seed
-    ).select(F.col("doc_id").alias("__taken_row"), "copies")
-    joined = numbered.join(taken.where("copies > 0"), F.col("__row") == F.col("__taken_row"))
+    ).select(F.col("doc_id").alias("__taken_row"), F.col("copies").alias("__copies"))
+    joined = numbered.join(taken.where("__copies > 0"), F.col("__row") == F.col("__taken_row"))
     return joined.select(
         *[F.col(f"`{n}`") for n in names],
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"),
+        F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"),
     ).drop("__copy")

@@ -238,7 +238,7 @@ def nearest(embeddings: DataFrame, is_query, search: Search = Search()) -> DataF
     right = queries.withColumn("line", slot("query_id", down)).withColumn("column", every(across))
     k = search.k
 
-    def compare(key, candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def compare(candidates: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if candidates.empty or asked.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype(
                 {"query_id": "int64", "vec_id": "int64", "score": "float64"}
