@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duskveil.functions.names import is_numeric, ref, require
+from duskveil.functions.names import is_numeric, is_text, ref, require
 from duskveil.operators.kanon import k_metric
 from duskveil.plans.release import ReleaseInfo
+from duskveil.plans.scratch import stash
 
 TOP_VALUES = 10
+#: A longer value is exchanged as so many characters and a digest.
+HEAD_CHARS = 64
 
 
 def _as_text(df: DataFrame, name: str) -> Column:
@@ -22,16 +25,28 @@ def _as_text(df: DataFrame, name: str) -> Column:
     return ref(name).cast("string")
 
 
-def _value_counts(df: DataFrame) -> DataFrame:
-    """``(column_name, value, n)`` over all columns in one pass."""
+def _cells(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``(column_name, head, digest, value)`` of the known cells: a long value is
+    told by its first characters and a digest."""
     cells = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value")) for c in df.columns]
+        *[F.struct(F.lit(c).alias("column_name"), _as_text(df, c).alias("value")) for c in names]
+    )
+    long = F.length("value") > HEAD_CHARS
+    return df.select(F.inline(cells)).where("value is not null").select(
+        "column_name",
+        F.left("value", F.lit(HEAD_CHARS)).alias("head"),
+        F.when(long, F.sha2("value", 256)).alias("digest"),
+        "value",
     )
+
+
+def _value_counts(df: DataFrame) -> DataFrame:
+    """``(column_name, head, digest, n)`` over all columns in one pass.
+
+    Long texts do not travel: they count under their digest.
+    """
     return (
-        df.select(F.inline(cells))
-        .where("value is not null")
-        .groupBy("column_name", "value")
-        .agg(F.count("*").alias("n"))
+        _cells(df, df.columns).groupBy("column_name", "head", "digest").agg(F.count("*").alias("n"))
     )
 
 
@@ -104,15 +119,32 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def top_values(df: DataFrame, rows: int = TOP_VALUES) -> DataFrame:
-    """The most frequent known values of each column, ties by value.
+    """The most frequent known values of each column, ties by value (of values that
+    begin with the same ``HEAD_CHARS`` characters, by digest).
 
     The rank filter is pushed below the shuffle by Spark, so only ``rows``
-    rows per column and task are exchanged.
+    rows per column and task are exchanged. The texts of long winners, at most
+    ``rows`` per column, are looked up in a second pass over the text columns.
     """
     rank = F.row_number().over(
-        Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("value"))
+        Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("head"), F.asc("digest"))
+    )
+    best = _value_counts(df).withColumn("rank", rank).where(F.col("rank") <= rows)
+    texts = [c for c in df.columns if is_text(df, c)]
+    if not texts:
+        return best.select("column_name", F.col("head").alias("value"), "n", "rank")
+    best = stash(best)
+    long = best.where("digest is not null").select("column_name", "digest")
+    found = (
+        _cells(df, texts)
+        .where("digest is not null")
+        .join(F.broadcast(long), ["column_name", "digest"])
+        .groupBy("column_name", "digest")
+        .agg(F.min("value").alias("whole"))
+    )
+    return best.join(F.broadcast(found), ["column_name", "digest"], "left").select(
+        "column_name", F.coalesce("whole", "head").alias("value"), "n", "rank"
     )
-    return _value_counts(df).withColumn("rank", rank).where(F.col("rank") <= rows)
 
 
 def changed_columns(df: DataFrame, original: DataFrame, key: Sequence[str]) -> DataFrame:

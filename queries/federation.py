@@ -133,8 +133,8 @@ def federated_regression_numeric(spark, sf_dir):
 
 @query(
     "federated_regression_dates",
-    """SELECT count(*) AS rows, count(DISTINCT o_orderdate_year) AS years, 12 AS months, true AS near_mean
-       FROM (SELECT year(o_orderdate) AS o_orderdate_year FROM orders)""",
+    """SELECT count(*) AS rows, count(DISTINCT year(o_orderdate)) AS years,
+       count(DISTINCT month(o_orderdate))::int AS months, abs(avg(o_totalprice) / 250000 - 1) < 0.1 AS near_mean FROM orders""",
 )
 def federated_regression_dates(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select(
@@ -153,14 +153,20 @@ def federated_regression_dates(spark, sf_dir):
 @query(
     "analyse_lineitem",
     f"""WITH m AS (SELECT avg(my - a * mx - b * mz) AS i, avg(a) AS a, avg(b) AS b FROM ({TWO}))
-        SELECT round(avg(i + a * l_quantity + b * l_discount), 3) AS mean_prediction, 16::bigint AS correlations,
-            4::bigint AS r2_rows, 10::bigint AS top_rows FROM lineitem, m""",
+        SELECT round(avg(i + a * l_quantity + b * l_discount), 3) AS mean_prediction,
+            round(4 + 2 * (corr(l_linenumber, l_quantity) + corr(l_linenumber, l_discount) + corr(l_linenumber, l_extendedprice)
+              + corr(l_quantity, l_discount) + corr(l_quantity, l_extendedprice) + corr(l_discount, l_extendedprice)), 6) AS correlations,
+            (SELECT count(*) FROM (DESCRIBE SELECT l_linenumber, l_quantity, l_discount, l_extendedprice FROM lineitem)) AS r2_rows,
+            round(greatest(abs(corr(l_quantity, l_extendedprice)), abs(corr(l_quantity, l_discount)), abs(corr(l_linenumber, l_quantity)),
+              abs(corr(l_linenumber, l_discount)), abs(corr(l_linenumber, l_extendedprice)), abs(corr(l_discount, l_extendedprice))), 3)
+              AS top_correlation FROM lineitem, m""",
 )
 def analyse_lineitem(spark, sf_dir):
     found = analyse(_two(spark, sf_dir), "l_linenumber", "l_extendedprice", ["l_linenumber"])
     return found.predictions.agg(
         F.round(F.avg("l_extendedprice"), 3).alias("mean_prediction"),
-        found.correlations.agg(F.count("*")).scalar().alias("correlations"),
+        found.correlations.agg(F.round(F.sum("corr"), 6)).scalar().alias("correlations"),
         found.r2.agg(F.count("*")).scalar().alias("r2_rows"),
-        found.top.agg(F.count("*")).scalar().alias("top_rows"),
+        found.top.where(~F.col("predictors").contains(","))
+        .agg(F.max(F.abs("value"))).scalar().alias("top_correlation"),
     )

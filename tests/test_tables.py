@@ -268,6 +268,15 @@ def test_csv(spark, tmp_path):
         tables.read_csv(spark, str(path), schema="id int, name int").collect()
 
 
+def test_top_values_of_long_texts(spark):
+    long = ["x" * 70 + str(i) for i in range(3)]
+    df = spark.createDataFrame([(v, 1) for v in [long[0], long[1], long[1], "short", None, long[2] * 400]], "v string, n int")
+    found = {(r.column_name, r.value): (r.n, r["rank"]) for r in profile.top_values(df).collect()}
+    assert found["v", long[1]] == (2, 1) and found["v", "short"][0] == 1 and ("v", long[2] * 400) in found
+    assert len(found) == 5 and found["n", "1"] == (6, 1)
+    assert {r.column_name: r.distinct for r in profile.column_profile(df).collect()} == {"v": 4, "n": 1}
+
+
 def test_long_whole_numbers(spark, tmp_path):
     path = tmp_path / "long.csv"
     path.write_text("a,b,c\n1234567890123456789,12345678901234567890123,1\n1234567890123456788,1,0.5\n")
