@@ -29,7 +29,7 @@ GROUP_ROWS = 4096
 #: Residuals that meet in one group on the next level.
 FAN_IN = 1024
 
-_STEP = "doc_id bigint, source string, size bigint, expected double, copies int, node bigint"
+_STEP = "doc_id bigint, ident bigint, source string, size bigint, expected double, copies int, node bigint"
 _WHOLE = 1e-9
 
 
@@ -73,11 +73,14 @@ def mix(docs: DataFrame, seed: int = 7, group_rows: int = GROUP_ROWS, fan_in: in
 
     The size is the number of words; a null or empty text has none and is taken
     0 times. A null ``source`` is a source of its own, the last. Repeated rows
-    and null ids are documents of their own. No documents give no rows. All
-    randomness comes from the seed and the row, so reruns agree.
+    and null ids are documents of their own; rows without an id are told apart by
+    their place in the table. No documents give no rows. All randomness comes
+    from the seed and the row, so reruns agree.
     """
+    # rows without an id go by their number, or all of them would meet in one group
     narrow = docs.select(
         "doc_id",
+        F.coalesce("doc_id", -1 - F.monotonically_increasing_id()).alias("ident"),
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
     )
@@ -107,7 +110,7 @@ SLICES = 64
 def _with_targets(df: DataFrame, targets: DataFrame, columns: list[str]) -> DataFrame:
     """Join by source. A source may hold a third of the rows, so each source's
     rows are dealt to ``SLICES`` slices and its one target row is repeated."""
-    sliced = df.withColumn("__slice", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SLICES)).cast("int"))
+    sliced = df.withColumn("__slice", F.pmod(F.xxhash64("ident", "size"), F.lit(SLICES)).cast("int"))
     table = targets.select(
         F.col("source").alias("__source"),
         *columns,
@@ -118,16 +121,17 @@ def _with_targets(df: DataFrame, targets: DataFrame, columns: list[str]) -> Data
 
 
 def round_copies(df: DataFrame, seed: int, group_rows: int, fan_in: int) -> DataFrame:
-    """``doc_id, source, size, expected, copies``: the reduction tree.
+    """``doc_id, ident, source, size, expected, copies``: the reduction tree.
 
     Groups hold ``group_rows`` documents of one source on the first level and
     ``fan_in`` residuals on the others, whatever the size of the source.
     """
     per_word = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
     groups = F.ceil(F.col("docs") / float(group_rows))
-    spot = F.xxhash64(F.lit(seed), "doc_id", "size")
+    spot = F.xxhash64(F.lit(seed), "ident", "size")
     level = df.select(
         "doc_id",
+        "ident",
         "source",
         "size",
         F.when(F.col("size") > 0, per_word).otherwise(F.lit(0.0)).alias("expected"),
@@ -145,7 +149,7 @@ def round_copies(df: DataFrame, seed: int, group_rows: int, fan_in: int) -> Data
         if last:
             break
         level = state.where("copies is null").select(
-            "doc_id", "source", "size", "expected", F.floor(F.col("node") / fan_in).alias("node")
+            "doc_id", "ident", "source", "size", "expected", F.floor(F.col("node") / fan_in).alias("node")
         )
         nodes = -(-nodes // fan_in)
     out = done[0]
@@ -157,9 +161,9 @@ def round_copies(df: DataFrame, seed: int, group_rows: int, fan_in: int) -> Data
 def _round_groups(level: DataFrame, seed: int, last: bool) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         # the largest first, so that what is left over at the end is small
-        ties = [_draw(seed, i, s) for i, s in zip(group["doc_id"], group["size"])]
+        ties = [_draw(seed, i, s) for i, s in zip(group["ident"], group["size"])]
         group = group.assign(tie=ties).sort_values(
-            ["size", "tie", "doc_id"], ascending=[False, True, True], kind="stable"
+            ["size", "tie", "ident"], ascending=[False, True, True], kind="stable"
         )
         expected = group["expected"].to_numpy(dtype=float)
         sizes = group["size"].to_numpy(dtype=float)
@@ -172,15 +176,15 @@ def _round_groups(level: DataFrame, seed: int, last: bool) -> DataFrame:
             else:
                 copies[residual] = None
         return group.drop(columns="tie").assign(expected=expected, copies=copies)[
-            ["doc_id", "source", "size", "expected", "copies", "node"]
+            ["doc_id", "ident", "source", "size", "expected", "copies", "node"]
         ]
 
     return level.groupBy("source", "node").applyInPandas(run, _STEP)
 
 
-def _draw(seed: int, doc_id, size) -> int:
+def _draw(seed: int, ident: int, size: int) -> int:
     """64 random bits of a document."""
-    return xxhash.xxh64_intdigest(f"{seed}:{'' if pd.isna(doc_id) else int(doc_id)}:{size}", seed)
+    return xxhash.xxh64_intdigest(f"{seed}:{ident}:{size}", seed)
 
 
 def pivot(expected, sizes, bits) -> int | None:
