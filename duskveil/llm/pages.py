@@ -32,6 +32,7 @@ FURNITURE = {
 #: Elements that are furniture outside the article.
 OUTSIDE = {"header", "hgroup"}
 MAIN = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements without an end tag.
 VOID = {
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr",
@@ -71,17 +72,20 @@ _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)")
 
 
 class Line:
-    """One block of text: ``main`` inside an article, ``linked`` characters of links."""
+    """One block of text: ``main`` inside an article, ``linked`` characters of links,
+    ``heading`` or not."""
 
-    __slots__ = ("text", "main", "linked")
+    __slots__ = ("text", "main", "linked", "heading")
 
-    def __init__(self, text: str, main: bool, linked: int):
-        self.text, self.main, self.linked = text, main, linked
+    def __init__(self, text: str, main: bool, linked: int, heading: bool):
+        self.text, self.main, self.linked, self.heading = text, main, linked, heading
 
     @property
     def furniture_like(self) -> bool:
-        """Mostly links, or nothing that ends a sentence."""
-        return 2 * self.linked > len(self.text) or not _SENTENCE_END.search(self.text)
+        """Mostly links, or neither a heading nor anything that ends a sentence."""
+        if 2 * self.linked > len(self.text):
+            return True
+        return not self.heading and not _SENTENCE_END.search(self.text)
 
 
 def _furniture(tag: str, attributes: str, inside: bool) -> bool:
@@ -104,16 +108,17 @@ def page_lines(page: str | None) -> list[Line]:
     lines: list[Line] = []
     words: list[str] = []
     linked = inside = anchors = 0
+    heading = False
     dropped, depth = "", 0  # the furniture that is open, and how often its tag is nested in it
     at = 0
 
     def close_line() -> None:
-        nonlocal linked
+        nonlocal linked, heading
         text = _SPACE.sub(" ", references.unescape("".join(words))).strip()
         if text:
-            lines.append(Line(text, inside > 0, linked))
+            lines.append(Line(text, inside > 0, linked, heading))
         words.clear()
-        linked = 0
+        linked, heading = 0, False
 
     while at < len(page):
         match = _TOKEN.search(page, at)
@@ -166,6 +171,7 @@ def page_lines(page: str | None) -> list[Line]:
             continue
         inside += tag in MAIN
         anchors += tag == "a"
+        heading = heading or tag in HEADINGS
     close_line()
     if any(line.main for line in lines):
         return [line for line in lines if line.main]
@@ -258,8 +264,8 @@ def template_lines(own: dict, others: list[dict]) -> list[int]:
 
     ``others`` holds the pages before and after in URL order. Nearest is the
     longer common path; then the one before. A page that is a copy gives no
-    evidence, and the other one is asked. Prose inside an article stays: only
-    lines there that look like furniture can go.
+    evidence, and the other one is asked. Prose and headings inside an article
+    stay: only lines there that look like furniture can go.
     """
     near = [o for o in others if o and o["host"] == own["host"]]
     near.sort(key=lambda o: -_common(own["path"], o["path"]))

@@ -69,7 +69,8 @@ def test_template_lines_go(spark, partitions):
 
 
 def test_article_prose_stays(spark):
-    same = "<article><p>The very same sentence stands here.</p><p>{}.</p><p>{} and {} and {}.</p></article>"
+    same = "<article><h1>Shared title</h1><p><a href='/'>More from us</a></p><p>The very same sentence stands here.</p><p>{}.</p><p>{} and {} and {}.</p></article>"
     made = [(i, f"http://h.example/{i}", same.format(i, *"xyz"[:3]).replace("x", f"long{i}" * 9)) for i in range(3)]
     found = P.main_text(spark.createDataFrame(made, PAGES)).collect()
-    assert all(r["text"].startswith("The very same sentence") for r in found)
+    # furniture that the pages share goes, a heading and prose that they share stay
+    assert all(r["text"].startswith("Shared title\nThe very same sentence") for r in found)
