@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskveil.functions.names import ref
 
@@ -15,8 +16,8 @@ SLICE_ROWS = 5_000_000
 #: Slices over which rows without a key are spread.
 NULL_SLICES = 1024
 
-#: Most rows of a counted table that is sent to every task.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of a counted table that is sent to every task.
+BROADCAST_BYTES = 64 << 20
 
 _SLICE = "__slice"
 _SLICES = "__slices"
@@ -100,6 +101,12 @@ def unique_rows(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     return checked.withColumn("__own", kept.otherwise(F.col("__own"))).drop("__copies")
 
 
+def _width(data_type: T.DataType) -> int:
+    if isinstance(data_type, T.StructType):
+        return sum(_width(f.dataType) for f in data_type.fields)
+    return 16 if isinstance(data_type, (T.NumericType, T.BooleanType, T.DateType)) else 64
+
+
 def counted_join(
     df: DataFrame,
     table: DataFrame,
@@ -107,11 +114,12 @@ def counted_join(
     key: str | Sequence[str],
     weight: str,
     row_key: Sequence[str],
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``lookup_join`` to a narrow table of known size ``rows``, which is broadcast
-    as long as it is small."""
+    as long as it is small: its rows times the width of its columns, which are
+    numbers or short keys."""
     keys = [key] if isinstance(key, str) else list(key)
-    if rows > broadcast_rows:
+    if rows * sum(_width(f.dataType) for f in table.schema.fields) > broadcast_bytes:
         return lookup_join(df, table, keys, weight, row_key)
     return df.join(F.broadcast(table.drop(weight)), keys, "left")

@@ -172,7 +172,7 @@ def test_counted_join_gives_the_same_with_and_without_broadcast(spark):
     df = spark.range(300).select("id", F.when(F.col("id") % 10 > 0, F.col("id") % 7).alias("k"))
     table = df.where("k < 5").groupBy("k").agg(F.count("*").alias("w"), F.max("id").alias("top"))
     one = counted_join(df, table, 5, "k", "w", ["id"]).select("id", "k", "top")
-    two = counted_join(df, table, 5, "k", "w", ["id"], broadcast_rows=1).select("id", "k", "top")
+    two = counted_join(df, table, 5, "k", "w", ["id"], broadcast_bytes=1).select("id", "k", "top")
     assert one.count() == 300 and one.exceptAll(two).count() == 0 and two.exceptAll(one).count() == 0
 
 
