@@ -66,3 +66,19 @@ def test_parts_are_equal_and_cells_split(spark, partitions):
     assert results[0] == results[1]
     hits = sum(len(results[0][q] & {i for i, _ in x}) for q, x in want.items())
     assert hits >= 0.9 * 5 * len(want)
+
+
+def test_recall_on_the_tables(spark):
+    import os
+
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("driver tables are absent")
+    df = spark.read.parquet(path)
+    data = df.toPandas().sort_values("vec_id")
+    want = brute(data["vec_id"].tolist(), np.stack(data["embedding"].to_numpy()))
+    found = {}
+    for r in N.nearest(df, is_query()).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert all(len(found[q]) == 5 for q in want)
+    assert sum(len(found[q] & {i for i, _ in x}) for q, x in want.items()) >= 0.9 * 5 * len(want)
