@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duskveil.functions.names import ref
+from duskveil.plans.scratch import stash
 
 #: Rows of one key that a single task takes; bigger keys are cut in slices.
 SLICE_ROWS = 5_000_000
@@ -41,8 +42,10 @@ def lookup_join(
     that key. A key of more than ``slice_rows`` rows is cut in slices by the
     hash of ``row_key`` and its table row is repeated per slice. The list of
     such keys is broadcast; it holds at most rows(df) / slice_rows entries.
-    Rows with a null key match nothing and are spread as well.
+    Rows with a null key match nothing and are spread as well. The table is
+    written first, since it is read twice: for that list and for the join.
     """
+    table = stash(table)
     wanted = F.ceil(ref(weight) / float(slice_rows)).cast("int")
     hot = table.where(ref(weight) > slice_rows).select(
         *[ref(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], wanted.alias(_SLICES)
