@@ -11,6 +11,10 @@ from pyspark.sql.types import StructType
 
 #: Rows turned into Python objects at once.
 SLICE_ROWS = 256
+#: Rows of an Arrow batch, at most. Texts are long, and the JVM and the Python
+#: worker both hold whole batches.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: Words of a text: everything between ASCII white space. ``bytes.split()``
 #: without arguments cuts UTF-8 bytes at exactly these characters.
@@ -26,7 +30,13 @@ def map_columns(
     slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """``make()`` is called once per task and gives the function that turns the
-    column values of a slice into the column values of the result."""
+    column values of a slice into the column values of the result.
+
+    The session's Arrow batches are set to ``BATCH_ROWS`` if they are larger.
+    """
+    settings = df.sparkSession.conf
+    if not 0 < int(settings.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        settings.set(_BATCH_SETTING, str(BATCH_ROWS))
     struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
