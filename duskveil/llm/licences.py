@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from duskveil.plans.scratch import stash
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrases that must stand word by word, and their labels.
@@ -89,10 +91,13 @@ def found_spans(docs: DataFrame, base: dict = BASE, notices: dict = NOTICES) ->
         .distinct()  # of equal texts
         .withColumn("diagonal", F.col("place") - F.col("spot"))
     )
-    votes = hits.groupBy("key", "label", "exact", "size", "diagonal").agg(
-        F.collect_list("spot").alias("spots"),
-        F.min("place").alias("first"),
-        (F.max("place") + 1).alias("last"),
+    # written, since both kinds of templates read the votes
+    votes = stash(
+        hits.groupBy("key", "label", "exact", "size", "diagonal").agg(
+            F.collect_list("spot").alias("spots"),
+            F.min("place").alias("first"),
+            (F.max("place") + 1).alias("last"),
+        )
     )
     # a phrase needs all its pairs on one diagonal
     phrases = votes.where("exact and size(spots) = size - 1").select(
@@ -148,7 +153,8 @@ def scan(docs: DataFrame, base: dict = BASE, notices: dict = NOTICES) -> DataFra
         F.md5(text).alias("key"),
         F.regexp_count(F.lower(text), F.lit(WORD)).cast("bigint").alias("n_words"),
     )
-    joined = counted.join(by_text, "key", "left")
+    # a written table right under the join lets Spark split the rows of a hot text
+    joined = counted.join(stash(by_text), "key", "left")
     return joined.select(
         "doc_id",
         "n_words",
