@@ -13,6 +13,8 @@ from duskveil.functions.names import known, ref, replace_columns, require
 from duskveil.operators.shape import expand_dates, feature_columns, numeric_columns
 from duskveil.plans.scratch import stash
 
+#: Products of pairs of columns that a task holds at once.
+_PRODUCTS = 2_000_000
 _MODEL = "client int, intercept double, coefficients map<string,double>"
 
 
@@ -142,19 +144,29 @@ def summed_products(rows: DataFrame, width: int) -> DataFrame:
     """``client, n, means, products``: products of the deviations of ``x0`` … from ``means``,
     a flat ``width`` × ``width`` array per client; missing values deviate by 0."""
 
+    chunk = max(1, _PRODUCTS // width**2)
+
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
-        counts: dict[int, int] = {}
-        means: dict[int, list] = {}
+        totals: dict[int, list] = {}
         for batch in batches:
-            for client, own in batch.groupby("client"):
-                mean = np.array([np.nan if m is None else m for m in own["means"].iloc[0]], float)
-                x = own[[f"x{i}" for i in range(width)]].to_numpy(dtype=float, na_value=np.nan)
-                apart = np.nan_to_num(x - mean)
-                totals[client] = totals.get(client, 0.0) + apart.T @ apart
-                counts[client] = counts.get(client, 0) + len(own)
-                means[client] = list(own["means"].iloc[0])
-        out = [(c, counts[c], means[c], t.ravel().tolist()) for c, t in totals.items()]
+            if batch.empty:
+                continue
+            batch = batch.sort_values("client", kind="stable")
+            clients = batch["client"].to_numpy()
+            x = batch[[f"x{i}" for i in range(width)]].to_numpy(dtype=float, na_value=np.nan)
+            means = np.stack(batch["means"].to_numpy()).astype(float)
+            apart = np.nan_to_num(x - means)
+            for at in range(0, len(batch), chunk):
+                own, part = clients[at : at + chunk], apart[at : at + chunk]
+                starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
+                each = (part[:, :, None] * part[:, None, :]).reshape(len(part), -1)
+                sums = np.add.reduceat(each, starts, axis=0)
+                counts = np.diff(np.append(starts, len(own)))
+                for spot, total, count in zip(starts, sums, counts):
+                    known_so_far = totals.setdefault(int(own[spot]), [0, means[at + spot], 0.0])
+                    known_so_far[0] += int(count)
+                    known_so_far[2] = known_so_far[2] + total
+        out = [(c, n, mean.tolist(), t.tolist()) for c, (n, mean, t) in totals.items()]
         yield pd.DataFrame(out, columns=["client", "rows", "means", "entries"])
 
     # one row per task and client

@@ -29,7 +29,7 @@ from duskveil.plans.scratch import stash
 
 #: Rows of a class that one task finishes. A matter of speed: the classes are
 #: the same whatever it is.
-LOCAL_ROWS = 5_000
+LOCAL_ROWS = 10_000
 _MEDIAN_ACCURACY = 10_000
 #: Half the width of the band around the median, in ranks per row; the sketch errs
 #: by one part in ``_MEDIAN_ACCURACY``.
@@ -86,6 +86,14 @@ def _coded(df: DataFrame, quasi: Sequence[str], key: Sequence[str]) -> DataFrame
     return narrow
 
 
+def _bands(dims: int, band: float) -> list[Column]:
+    """The sketch's values on both sides of the median of each dimension."""
+    ends = [max(0.5 - band, 0.0), min(0.5 + band, 1.0)]
+    return [
+        F.percentile_approx(f"__c{i}", ends, _MEDIAN_ACCURACY).alias(f"__b{i}") for i in range(dims)
+    ]
+
+
 def _medians(
     opened: DataFrame, classes: DataFrame, count: int, dims: int, key: Sequence[str], band: float
 ) -> DataFrame:
@@ -96,17 +104,15 @@ def _medians(
     If a band misses the median (the sketch only promises its error with the
     odds of any estimate), the classes concerned are done again with a wider one.
     """
-    ends = [f"__{side}{i}" for i in range(dims) for side in ("low", "high")]
-    bounds = opened.groupBy(*CLASS).agg(
-        *[
-            F.percentile_approx(f"__c{i}", [max(0.5 - band, 0.0), min(0.5 + band, 1.0)], _MEDIAN_ACCURACY).alias(f"b{i}")
-            for i in range(dims)
-        ]
-    )
-    bounds = classes.select(*CLASS, "__n").join(bounds, CLASS).select(
+    bounds = classes
+    if band != _BAND:
+        bounds = classes.select(*CLASS, "__n").join(
+            opened.groupBy(*CLASS).agg(*_bands(dims, band)), CLASS
+        )
+    bounds = bounds.select(
         *CLASS,
         "__n",
-        *[F.get(f"b{i}", F.lit(e)).alias(f"__{side}{i}") for i in range(dims) for e, side in enumerate(("low", "high"))],
+        *[F.get(f"__b{i}", F.lit(e)).alias(f"__{side}{i}") for i in range(dims) for e, side in enumerate(("low", "high"))],
     )
     narrow = opened.select(*[ref(c) for c in key], *CLASS, *[f"__c{i}" for i in range(dims)])
     placed = counted_join(narrow, bounds, count, CLASS, "__n", key)
@@ -148,7 +154,9 @@ def _next_level(
     """Cut every open class once; ``__state`` says what becomes of its rows."""
     codes = [f"__c{i}" for i in range(dims)]
     widths = [((F.max(c) - F.min(c)) / scales[i]).alias(f"__w{i}") for i, c in enumerate(codes)]
-    classes = stash(opened.groupBy(*CLASS).agg(F.count("*").alias("__n"), *widths))
+    classes = stash(
+        opened.groupBy(*CLASS).agg(F.count("*").alias("__n"), *widths, *_bands(dims, _BAND))
+    )
     count = classes.count()
     cuts = stash(_medians(opened, classes, count, dims, key, _BAND))
     band = _BAND
