@@ -316,55 +316,145 @@ def personal_spans(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFra
     )
 
 
+def _group(span: Column) -> Column:
+    """What entities share: the domain of an address, the network, the issuer of a
+    card, the number of a phone without its last four digits."""
+    value, digits = span["value"], _digits(span["value"])
+    shared = (
+        F.when(span["kind"] == "email", F.lower(F.substring_index(value, "@", -1)))
+        .when(span["kind"] == "ip", F.substring_index(value, ".", 3))
+        .when(span["kind"] == "card", F.substr(digits, F.lit(1), F.lit(6)))
+        .otherwise(F.substr(digits, F.lit(1), F.length(digits) - 4))
+    )
+    return F.concat_ws(":", F.lit("group"), span["kind"], shared)
+
+
+def telltale_terms(docs: DataFrame, found: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
+    """``term, alone``: terms that disclose an entity, or the group of entities that it
+    belongs to, judged by whole texts.
+
+    P(entity | term) is the share of the term's documents that name the entity. Below
+    ``support`` distinct texts it is shrunk by n / (n + 2), n being the distinct texts
+    with both; one text alone never reaches a half.
+    """
+    copies = found.where(F.size("base") > 0).groupBy("key").agg(
+        F.count("*").alias("copies"), F.first("base").alias("base"), F.first("text").alias("text")
+    )
+    named = F.array_distinct(F.concat(F.transform("base", _entity), F.transform("base", _group)))
+    mentions = stash(copies.select("key", "copies", F.explode(named).alias("entity")))
+    # what a single text names cannot reach the estimate with any term
+    shared = mentions.groupBy("entity").count().where("count > 1").select("entity")
+    mentions = stash(mentions.join(shared, "entity", "left_semi"))
+    words = copies.join(mentions.select("key").distinct(), "key", "left_semi").select(
+        "key",
+        F.explode(
+            F.array_distinct(_terms(_blanked(F.col("text"), F.col("base")), rules.shortest))
+        ).alias("term"),
+    )
+    joint = (
+        mentions.join(words, "key")
+        .groupBy("entity", "term")
+        .agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
+        .where("texts > 1")
+    )
+    everywhere = (
+        docs.select(F.explode(F.array_distinct(_terms(F.col("text"), rules.shortest))).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("documents"))
+    )
+    scaled = F.col("with_entity") * F.lit(2**rules.slack_bits)
+    enough = (F.col("texts") >= rules.support) & (scaled >= F.col("documents"))
+    shrunk = scaled * F.col("texts") >= F.col("documents") * (F.col("texts") + 2)
+    return (
+        joint.join(everywhere, "term")
+        .where(enough | shrunk)
+        .groupBy("term")
+        .agg(F.max(F.col("with_entity") >= F.col("documents")).alias("alone"))
+    )
+
+
 def sanitise_documents(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
     """The documents with entities replaced by their kind, disclosing terms by
-    ``[TERM]`` or nothing. All columns stay; ``n_chars`` follows the new text.
-    A text without entities, or null, is left as it is."""
+    ``[TERM]`` or nothing, in all documents. All columns stay; ``n_chars`` follows a
+    new text. A text without entities and such terms, or null, is left as it is."""
     names = docs.columns
     found = find_entities(docs.select("doc_id", "text"))
-    extra = stash(disclosing_spans(docs.select("doc_id", "text"), found, rules))
+    telltale = stash(telltale_terms(docs.select("text"), found, rules))
+    # equal texts give equal rows, so the set of a key holds each term once
+    words = docs.select(
+        F.md5("text").alias("key"),
+        F.explode(F.array_distinct(_terms(F.col("text"), rules.shortest))).alias("term"),
+    )
+    extra = stash(
+        words.join(telltale, "term")
+        .groupBy("key")
+        .agg(
+            F.collect_set(F.when(F.col("alone"), F.col("term"))).alias("removed"),
+            F.collect_set(F.when(~F.col("alone"), F.col("term"))).alias("generalised"),
+        )
+    )
     renamed = docs.toDF(*[f"__{i}" for i in range(len(names))])
     text = f"__{names.index('text')}"
-    with_base = renamed.withColumn("base", base_spans(F.col(text)))
-    plain = with_base.where(F.size("base") == 0).drop("base")
-    telling = with_base.where(F.size("base") > 0).withColumn("key", F.md5(text))
-    labels = F.transform(
-        "base",
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["stop"].alias("stop"),
-            F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label"),
-        ),
-    )
-    terms = F.transform(
-        F.coalesce("terms", F.expr("cast(array() as array<struct<start:bigint,stop:bigint,how:string>>)")),
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            s["stop"].alias("stop"),
-            F.when(s["how"] == "removed", "").otherwise("[TERM]").alias("label"),
-        ),
+    joined = (
+        renamed.withColumn("key", F.md5(text))
+        .join(extra, "key", "left")
+        .withColumn("base", base_spans(F.col(text)))
     )
 
+    # the text as pieces: what stands before each entity, and its label
     def step(state: Column, span: Column) -> Column:
-        new = span["stop"] > state["at"]
         gap = F.substr(
             F.col(text),
             (state["at"] + 1).cast("int"),
             F.greatest(span["start"] - state["at"], F.lit(0)).cast("int"),
         )
+        label = F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]"))
+        piece = F.struct(gap.alias("gap"), label.alias("label"))
         return F.struct(
             F.greatest(state["at"], span["stop"]).alias("at"),
-            F.when(new, F.concat(state["out"], gap, span["label"])).otherwise(state["out"]).alias("out"),
+            F.when(span["stop"] > state["at"], F.concat(state["out"], F.array(piece)))
+            .otherwise(state["out"])
+            .alias("out"),
         )
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate(
-        F.array_sort(F.concat(labels, terms)),
-        start,
-        step,
-        lambda s: F.concat(s["out"], F.substr(F.col(text), (s["at"] + 1).cast("int"))),
+    none = F.expr("cast(array() as array<struct<gap:string,label:string>>)")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    by_place = F.array_sort(
+        F.transform("base", lambda s: F.struct(s["start"], s["stop"], s["kind"].alias("kind")))
+    )
+
+    def last(state: Column) -> Column:
+        rest = F.substr(F.col(text), (state["at"] + 1).cast("int"))
+        return F.concat(state["out"], F.array(F.struct(rest.alias("gap"), F.lit("").alias("label"))))
+
+    def word(found: Column) -> Column:
+        term = F.lower(found)
+        return (
+            F.when(F.array_contains("removed", term), "")
+            .when(F.array_contains("generalised", term), "[TERM]")
+            .otherwise(found)
+        )
+
+    def without_terms(gap: Column) -> Column:
+        between = F.split(gap, TERM, -1)
+        kept = F.transform(F.regexp_extract_all(gap, F.lit(TERM), F.lit(0)), word)
+        both = F.zip_with(between, kept, lambda b, k: F.concat(b, F.coalesce(k, F.lit(""))))
+        return F.when(F.col("removed").isNull(), gap).otherwise(F.array_join(both, ""))
+
+    rebuilt = F.array_join(
+        F.transform(
+            F.aggregate(by_place, start, step, last),
+            lambda p: F.concat(without_terms(p["gap"]), p["label"]),
+        ),
+        "",
+    )
+    plain = F.col(text).isNull() | ((F.size("base") == 0) & F.col("removed").isNull())
+    changed = joined.withColumn("plain", plain).withColumn(
+        text, F.when(F.col("plain"), F.col(text)).otherwise(rebuilt)
     )
-    changed = telling.join(extra, "key", "left").withColumn(text, rebuilt)
     if "n_chars" in names:
-        changed = changed.withColumn(f"__{names.index('n_chars')}", F.length(text).cast("bigint"))
-    return plain.unionByName(changed.select(*plain.columns)).toDF(*names)
+        count = f"__{names.index('n_chars')}"
+        changed = changed.withColumn(
+            count, F.when(F.col("plain"), F.col(count)).otherwise(F.length(text).cast("bigint"))
+        )
+    return changed.select(*renamed.columns).toDF(*names)

@@ -141,3 +141,16 @@ def test_awkward_rows(spark):
     docs = documents(spark, AWKWARD, ids=[None] * 4 + list(range(5)))
     assert D.personal_spans(docs).count() == len(AWKWARD) == D.sanitise_documents(docs).count()
     assert all(r[-1] == "" for r in rows(D.personal_spans(docs)))
+
+
+def test_sanitised_by_whole_texts_everywhere(spark):
+    far = " ".join(f"word{i}" for i in range(200))
+    texts = [f"Farawayname {far} own{i} x{i}x@y.example" for i in range(3)]  # more than 30 terms apart
+    texts += [f"pair@z{i}.example, pair@rare.example Rarename own{i}own" for i in range(2)]  # two texts
+    texts += [f"user{i}@group.example about Groupname mine{i}" for i in range(4)]  # one domain, four values
+    texts += ["Groupname and nothing else", "Farawayname was here", *[f"{far} plain{i}" for i in range(9)]]
+    out = {r["doc_id"]: r for r in D.sanitise_documents(documents(spark, texts)).collect()}
+    said = [out[i]["text"].lower() for i in range(len(texts))]
+    assert not any("farawayname" in s or "rarename" in s or "groupname" in s for s in said)
+    assert said[9] == "[term] and nothing else" and said[11] == texts[11] and out[9]["n_chars"] == len(said[9])
+    assert "own0own" in said[3] and "mine2" in said[7] and "word7" in said[0]
