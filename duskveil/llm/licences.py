@@ -39,6 +39,7 @@ NOTICES = {
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "lgpl": "gnu lesser general public license as published by the free software foundation",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit short": "released under the mit license",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "no-copying": "no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission",
     "unlicense": "this is free and unencumbered software released into the public domain",
@@ -103,11 +104,11 @@ def found_spans(docs: DataFrame, base: dict = BASE, notices: dict = NOTICES) ->
     phrases = votes.where("exact and size(spots) = size - 1").select(
         "key", "label", "exact", "first", "last", F.lit(1.0).alias("covered")
     )
-    # a single pair on a diagonal of a notice is chance
+    # neighbouring diagonals, those of a single pair too; a single pair in all is chance
     along = Window.partitionBy("key", "label").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > SHIFT, F.lit(True))
     merged = (
-        votes.where("not exact and size(spots) > 1")
+        votes.where("not exact")
         .withColumn("apart", apart.cast("int"))
         .withColumn("run", F.sum("apart").over(along))
         .groupBy("key", "label", "exact", "size", "run")
@@ -116,6 +117,7 @@ def found_spans(docs: DataFrame, base: dict = BASE, notices: dict = NOTICES) ->
             F.min("first").alias("first"),
             F.max("last").alias("last"),
         )
+        .where(F.size("spots") > 1)
     )
     words_met = F.size(
         F.array_distinct(F.concat("spots", F.transform("spots", lambda s: s + 1)))

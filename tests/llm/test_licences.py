@@ -54,3 +54,16 @@ def test_notices(spark):
 def test_repeated_rows(spark):
     docs = documents(spark, [TEXTS[0]] * 50 + [None], ids=[None] * 50 + [1])
     assert len(set(rows(L.scan(docs).drop("matches")))) == 2
+
+
+def test_single_pairs_on_neighbouring_diagonals(spark):
+    texts = [
+        "licensed under a CC BY-NC 4.0 license", "creative commons by attribution sharealike",
+        "Released under the MIT License.", "creative commons here and creative commons there",
+        "licensed under a contract, as the others, and sealed", "under the tree",
+    ]
+    found = {r["doc_id"]: r for r in L.scan(documents(spark, texts)).collect()}
+    assert found[0]["labels"] == "cc-by,cc-by-nc-4.0" and found[0]["score"] == 1.0
+    assert found[1]["labels"] == "cc-by-sa"
+    assert found[2]["labels"] == "mit short"
+    assert [found[i]["labels"] for i in (3, 4, 5)] == ["", "", ""]
