@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskveil.llm import (
-    attribution, bpe, disclosure, licences, mixing, neighbours, pages, quality, simhash, toxicity,
+    alignment, attribution, bpe, disclosure, licences, mixing, neighbours, pages, quality, simhash, toxicity,
 )
 from duskveil.llm.sql import SQL  # noqa: F401  (read beside QUERIES)
 
 #: The rank file; a parameter of the operators, never copied.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+#: The two vocabularies that are aligned.
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -67,6 +70,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_read(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(_read(spark, sf_dir, "documents"), BYTES, PIECES)
+    return aligned.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -80,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_nearest_vectors,
         op9_licence_scan,
         op10_byte_bpe,
+        op11_token_alignment,
     )
 }
