@@ -71,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = alignment.align(_read(spark, sf_dir, "documents"), BYTES, PIECES)
+    aligned = alignment.align(_read(spark, sf_dir, "documents"), BYTES, PIECES, PATTERN)
     return aligned.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
     )

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from duskveil.llm import alignment as A
 
 FIRST = public_tokenizers.path("byte_bpe_50k.json")
+PATTERN = public_tokenizers.PATTERN
 SECOND = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
     *AWKWARD, "<|endoftext|> and <s> </s> <unk> <0x41>", "a▁b", "Grüße, 東京! 😀😀", "  two  spaces\t\n", "the cat",
@@ -100,7 +101,7 @@ COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_s
 def test_against_pairs_one_by_one(spark, sides, block_chars):
     docs = clashing(documents(spark, TEXTS, ids=[*range(len(TEXTS) - 1), None])).repartition(3)
     want, _, _ = plain(sides, TEXTS)
-    found = A.align(docs, FIRST, SECOND, True, block_chars).select("doc_id", *COLUMNS).collect()
+    found = A.align(docs, FIRST, SECOND, PATTERN, True, block_chars).select("doc_id", *COLUMNS).collect()
     assert {r[0]: tuple(r)[1:] for r in found} == {
         **dict(enumerate(want[:-1])), None: want[-1],
     }
@@ -111,17 +112,24 @@ def test_against_pairs_one_by_one(spark, sides, block_chars):
 def test_pair_counts_and_empty_tables(spark, sides):
     docs = documents(spark, TEXTS)
     _, counts, most = plain(sides, TEXTS)
-    found = A.pair_counts(docs, FIRST, SECOND).collect()
+    found = A.pair_counts(docs, FIRST, SECOND, PATTERN).collect()
     assert {(r.a, r.b): (r.n, r.best) for r in found} == {
         (a, b): (n, n == most[b]) for (a, b), n in counts.items()
     }
-    assert A.align(docs.limit(0), FIRST, SECOND).count() == 0
-    assert A.align(documents(spark, [None, ""]), FIRST, SECOND).select("n_links").collect() == [(0,), (0,)]
+    assert A.align(docs.limit(0), FIRST, SECOND, PATTERN).count() == 0
+    assert A.align(documents(spark, [None, ""]), FIRST, SECOND, PATTERN).select("n_links").collect() == [(0,), (0,)]
+
+
+def test_both_encoders_of_the_byte_level_file_agree():
+    side, slow = A.byte_level(FIRST, PATTERN), A._by_file(FIRST)
+    texts = [t for t in TEXTS if t]
+    assert side.encode(texts) == slow(texts)
+    assert side.encode.__name__ == "<lambda>"  # the ranks of the file are its ids
 
 
 def test_a_whole_table(spark, sides):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
     want, _, _ = plain(sides, [r.text for r in rows])
-    found = {r[0]: tuple(r)[1:] for r in A.align(docs, FIRST, SECOND).select("doc_id", *COLUMNS[:-1]).collect()}
+    found = {r[0]: tuple(r)[1:] for r in A.align(docs, FIRST, SECOND, PATTERN).select("doc_id", *COLUMNS[:-1]).collect()}
     assert found == {r.doc_id: w[:-1] for r, w in zip(rows, want)}
