@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskveil.llm import (
-    alignment, attribution, bpe, disclosure, licences, mixing, neighbours, pages, quality, simhash, toxicity,
+    alignment, attribution, bpe, disclosure, licences, mixing, negatives, neighbours, pages, quality, simhash, toxicity,
 )
 from duskveil.llm.sql import SQL  # noqa: F401  (read beside QUERIES)
 
@@ -77,6 +77,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    embeddings = _read(spark, sf_dir, "embeddings").withColumn("label", label)
+    return negatives.mine(embeddings, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -91,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_licence_scan,
         op10_byte_bpe,
         op11_token_alignment,
+        op12_hard_negatives,
     )
 }
