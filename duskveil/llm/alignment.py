@@ -302,6 +302,8 @@ def aligned_blocks(
                 yield whole.slice(start, 1024)
             mine = pa.array([block] * pairs.num_rows, pa.int64())
             yield _columns(schema, pairs.num_rows, {"block": mine} | {c: pairs[c] for c in pairs.column_names})
+            del groups, links, pairs, known, whole
+            pa.default_memory_pool().release_unused()
 
     return stash(docs.select("doc_id", "text").mapInArrow(run, struct))
 

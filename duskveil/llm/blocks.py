@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 
 #: Characters of a block, about. A longer text is a block of its own.
-BLOCK_CHARS = 1 << 22
+BLOCK_CHARS = 1 << 21
 #: Rows of a block, at most.
 BLOCK_ROWS = 1 << 16
 #: Blocks of a task, as bits of a block's number.
