@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from duskveil.llm import (
-    alignment, attribution, bpe, disclosure, licences, mixing, negatives, neighbours, pages, quality, simhash, toxicity,
+    alignment, attribution, bpe, disclosure, licences, maxent, mixing, negatives, neighbours, pages, quality, simhash, toxicity,
 )
 from duskveil.llm.sql import SQL  # noqa: F401  (read beside QUERIES)
 
@@ -83,6 +83,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(embeddings, F.col("vec_id") % 50 == 0)
 
 
+def op13_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,5 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_byte_bpe,
         op11_token_alignment,
         op12_hard_negatives,
+        op13_maxent_scores,
     )
 }
