@@ -1,7 +1,8 @@
 """Masks that compare a cell with the rows next to it.
 
-The caller names a unique ``order_by``; only the compared columns travel
-through the global ordering, the other columns are joined back on that key.
+The caller names a unique ``order_by``. A mask that only looks at the rows beside
+moves every row once; one that also looks up values works on the key and the
+compared columns and joins the others back on that key.
 """
 
 from __future__ import annotations
@@ -14,23 +15,45 @@ from pyspark.sql import functions as F
 from duskveil.functions import text
 from duskveil.functions.names import ref, require
 from duskveil.plans.joins import lookup_join, row_join, unique_rows
-from duskveil.plans.ordering import PART, SPOT, Frozen, freeze_order, neighbours
+from duskveil.plans.ordering import beside
+from duskveil.plans.scratch import stash
 
 # bits of one word of a mask; a longer mask takes several words
 _WORD = 60
 
 
-def freeze_columns(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> Frozen:
-    """``order_by`` as ``__k0`` … and the columns as text ``__t0`` …, written in order."""
+def with_texts(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """``df`` and its ``columns`` as text ``__t0`` …"""
     require(df, *columns, *order_by)
-    narrow = df.select(
-        *[ref(c).alias(f"__k{i}") for i, c in enumerate(order_by)],
-        *[
-            text.plain_text(ref(c), df.schema[c].dataType).alias(f"__t{i}")
-            for i, c in enumerate(columns)
-        ],
+    return df.withColumns(
+        {f"__t{i}": text.plain_text(ref(c), df.schema[c].dataType) for i, c in enumerate(columns)}
+    )
+
+
+def key_and_texts(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """``order_by`` as ``__k0`` … and the columns as text ``__t0`` …, written once."""
+    require(df, *columns, *order_by)
+    return stash(
+        df.select(
+            *[ref(c).alias(f"__k{i}") for i, c in enumerate(order_by)],
+            *[
+                text.plain_text(ref(c), df.schema[c].dataType).alias(f"__t{i}")
+                for i, c in enumerate(columns)
+            ],
+        )
+    )
+
+
+def keys_of(order_by: Sequence[str]) -> list[str]:
+    return [f"__k{i}" for i in range(len(order_by))]
+
+
+def put_in_place(df: DataFrame, masked: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of ``df`` from ``masked``, ``columns`` replaced by ``__m0`` …"""
+    spots = {c: i for i, c in enumerate(columns)}
+    return masked.select(
+        *[F.col(f"__m{spots[c]}").alias(c) if c in spots else ref(c) for c in df.columns]
     )
-    return freeze_order(narrow, [F.col(f"__k{i}").asc() for i in range(len(order_by))])
 
 
 def put_beside(
@@ -78,10 +101,12 @@ def _tail(value: Column, count: int) -> Column:
     return F.reverse(text.chars(F.right(value, F.lit(count))))
 
 
-def _beside_tails(frozen: Frozen, columns: Sequence[str], count: int) -> DataFrame:
+def _beside_tails(
+    df: DataFrame, columns: Sequence[str], count: int, order_by: Sequence[str]
+) -> DataFrame:
     """Adds ``__h0`` …: which of the last ``count`` characters agree with a neighbour."""
     tails = {f"p{i}": _tail(F.col(f"__t{i}"), count) for i in range(len(columns))}
-    rows = neighbours(frozen, [c.alias(n) for n, c in tails.items()])
+    rows = beside(df, order_by, [c.alias(n) for n, c in tails.items()])
     return rows.withColumns(
         {
             f"__h{i}": _tail_hits(tail, F.col(f"__before.p{i}"), F.col(f"__after.p{i}"))
@@ -96,7 +121,7 @@ def mask_adjacent(
     """Hide each of the last ``count`` characters that a neighbour shares there."""
     if count <= 0:
         return df
-    rows = _beside_tails(freeze_columns(df, columns, order_by), columns, count)
+    rows = _beside_tails(with_texts(df, columns, order_by), columns, count, order_by)
     for i in range(len(columns)):
         value, hits = F.col(f"__t{i}"), F.col(f"__h{i}")
         tail = F.zip_with(
@@ -104,7 +129,7 @@ def mask_adjacent(
         )
         kept = F.left(value, F.greatest(F.length(value) - count, F.lit(0)))
         rows = rows.withColumn(f"__m{i}", F.concat(kept, F.array_join(F.reverse(tail), "")))
-    return put_beside(df, rows, columns, order_by)
+    return put_in_place(df, rows, columns)
 
 
 def mask_adjacent_consistently(
@@ -113,49 +138,57 @@ def mask_adjacent_consistently(
     """As ``mask_adjacent``, and every copy of a value (any case) shows the same mask.
 
     Places hidden for one copy are hidden for all; the letters come from the
-    last copy in order. Masks are combined as bit words by a map-side
-    aggregate, so a value that fills a third of the table costs one row per
-    task; the join back cuts such a value in slices.
+    last copy in order. The cells of all columns make one long table of (column,
+    value), whose masks are combined as bit words by a map-side aggregate: a
+    value that fills a third of the table costs one row per task, and the join
+    back cuts such a value in slices. The exchanges do not grow with the columns.
     """
     if count <= 0:
         return df
-    frozen = freeze_columns(df, columns, order_by)
-    marked = _beside_tails(frozen, columns, count)
-    rows = frozen.df.drop(PART, SPOT)
-    keys = [c for c in rows.columns if c.startswith("__k")]
+    narrow, keys = key_and_texts(df, columns, order_by), keys_of(order_by)
     words = [range(at, min(at + _WORD, count)) for at in range(0, count, _WORD)]
+    packed = [f"w{j}" for j in range(len(words))]
+
+    def cell(i: int, *more: Column) -> Column:
+        value = F.col(f"__t{i}")
+        return F.struct(F.lit(i).alias("__c"), text.fold_text(value).alias("__fold"), *more)
+
+    def marked_cell(i: int) -> Column:
+        value = F.col(f"__t{i}")
+        bits = [
+            bit_word(F.col(f"__h{i}"), word.start, len(word)).alias(name)
+            for name, word in zip(packed, words)
+        ]
+        return cell(i, F.length(value).alias("__size"), value.alias("__shown"), *bits)
+
     spot = F.struct(*[F.col(k) for k in keys])
-    for i in range(len(columns)):
-        packed = {
-            f"__w{j}": bit_word(F.col(f"__h{i}"), word.start, len(word))
-            for j, word in enumerate(words)
-        }
-        fold = text.fold_text(F.col(f"__t{i}"))
-        keyed = marked.withColumn("__fold", fold)
-        per_size = (
-            keyed.where(F.col("__fold").isNotNull())
-            .withColumns(packed)
-            .groupBy("__fold", F.length(f"__t{i}").alias("__size"))
-            .agg(
-                F.count("*").alias("__n"),
-                F.max(F.struct(spot.alias("at"), F.col(f"__t{i}").alias("shown"))).alias("__last"),
-                *[F.bit_or(w).alias(w) for w in packed],
-            )
-        )
-        # copies differ in length only where folding lengthens a letter: few sizes per value
-        combined = per_size.groupBy("__fold").agg(
-            F.sum("__n").alias("__n"),
-            F.max("__last").getField("shown").alias("__shown"),
-            F.min("__size").alias("__least"),
-            F.collect_list(
-                F.struct(F.col("__size").alias("size"), F.array(*packed).alias("bits"))
-            ).alias("__masks"),
+    marked = _beside_tails(narrow, columns, count, keys)
+    per_size = (
+        marked.select(spot.alias("__spot"), F.inline(F.array(*map(marked_cell, range(len(columns))))))
+        .where(F.col("__fold").isNotNull())
+        .groupBy("__c", "__fold", "__size")
+        .agg(
+            F.count("*").alias("__n"),
+            F.max(F.struct(F.col("__spot").alias("at"), F.col("__shown").alias("shown"))).alias("__last"),
+            *[F.bit_or(w).alias(w) for w in packed],
         )
-        combined = combined.withColumn(f"__m{i}", _rebuilt()).select("__fold", "__n", f"__m{i}")
-        rows = lookup_join(
-            rows.withColumn("__fold", fold), combined, ["__fold"], "__n", keys
-        ).drop("__fold")
-    return put_beside(df, rows, columns, order_by)
+    )
+    # copies differ in length only where folding lengthens a letter: few sizes per value
+    combined = per_size.groupBy("__c", "__fold").agg(
+        F.sum("__n").alias("__n"),
+        F.max("__last").getField("shown").alias("__shown"),
+        F.min("__size").alias("__least"),
+        F.collect_list(
+            F.struct(F.col("__size").alias("size"), F.array(*packed).alias("bits"))
+        ).alias("__masks"),
+    )
+    combined = combined.withColumn("__m", _rebuilt()).select("__c", "__fold", "__n", "__m")
+    cells = narrow.select(spot.alias("__spot"), F.inline(F.array(*map(cell, range(len(columns))))))
+    found = lookup_join(cells, combined, ["__c", "__fold"], "__n", ["__spot", "__c"])
+    by_row = found.groupBy("__spot").agg(
+        *[F.max(F.when(F.col("__c") == i, F.col("__m"))).alias(f"__m{i}") for i in range(len(columns))]
+    )
+    return put_beside(df, by_row.select("__spot.*", "*").drop("__spot"), columns, order_by)
 
 
 def bit_word(hits: Column, start: int, width: int) -> Column:
@@ -201,7 +234,7 @@ def mask_cyclic(
     Trailing white space is dropped.
     """
     payload = [text.chars(F.col(f"__t{i}")).alias(f"p{i}") for i in range(len(columns))]
-    rows = neighbours(freeze_columns(df, columns, order_by), payload, cyclic=True)
+    rows = beside(with_texts(df, columns, order_by), order_by, payload, cyclic=True)
     for i in range(len(columns)):
         above, below = F.col(f"__before.p{i}"), F.col(f"__after.p{i}")
         on = F.lit(count >= 1)
@@ -214,4 +247,4 @@ def mask_cyclic(
 
         masked = F.array_join(F.transform(text.chars(F.col(f"__t{i}")), shown), "")
         rows = rows.withColumn(f"__m{i}", F.regexp_replace(masked, r"\s+\z", ""))
-    return put_beside(df, rows, columns, order_by)
+    return put_in_place(df, rows, columns)

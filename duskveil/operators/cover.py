@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 
 from duskveil.functions import text
 from duskveil.functions.names import literal_array, ref, replace_columns, require
-from duskveil.operators.context import freeze_columns, put_beside
+from duskveil.operators.context import key_and_texts, keys_of, put_beside, put_in_place, with_texts
 from duskveil.operators.masks import mask_share
 from duskveil.plans.joins import lookup_join
-from duskveil.plans.ordering import Frozen, neighbours
+from duskveil.plans.ordering import beside
 from duskveil.plans.release import ReleaseInfo
+from duskveil.plans.scratch import stash
 
 
 def _as_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -241,17 +242,17 @@ def spread_masks(
     at most one place away, counted from the left or from the right."""
     if l <= 0:
         return _as_text(df, columns)
-    spread = _spread(freeze_columns(df, columns, order_by), len(columns), l)
-    return put_beside(df, spread, columns, order_by)
+    spread = _spread(with_texts(df, columns, order_by), order_by, len(columns), l)
+    return put_in_place(df, spread, columns)
 
 
-def _spread(frozen: Frozen, width: int, l: int) -> DataFrame:
+def _spread(df: DataFrame, order_by: Sequence[str], width: int, l: int) -> DataFrame:
     """Adds ``__m0`` … for the texts ``__t0`` … of ``width`` columns."""
     stars = {
         f"__s{i}": F.expr(f"transform(split(__t{i}, ''), ch -> ch = '{text.STAR}')")
         for i in range(width)
     }
-    starred = frozen.df.withColumns(stars)
+    starred = df.withColumns(stars)
     # near[p + 1]: is there a star at most one place from p, for p from -1 to the length
     payload = [
         F.expr(
@@ -261,10 +262,10 @@ def _spread(frozen: Frozen, width: int, l: int) -> DataFrame:
         ).alias(f"p{i}")
         for i in range(width)
     ]
-    rows = neighbours(frozen.with_df(starred), payload).drop(*stars)
+    rows = beside(starred, order_by, payload).drop(*stars)
     rows = rows.withColumns({f"__n{i}": F.length(f"__t{i}") for i in range(width)})
 
-    def beside(i: int, place: str) -> str:
+    def star_near(i: int, place: str) -> str:
         """A star next to ``place`` in a row beside, counted from the left or the right."""
         tests = []
         for row in (f"__before.p{i}", f"__after.p{i}"):
@@ -274,7 +275,7 @@ def _spread(frozen: Frozen, width: int, l: int) -> DataFrame:
 
     def edge(i: int, part: str, start: str) -> str:
         return rf"""array_join(transform(split({part}, ''), (ch, p) -> case
-            when ch rlike r'\A[\p{{L}}\p{{N}}]\z' and ({beside(i, f"({start} + p)")})
+            when ch rlike r'\A[\p{{L}}\p{{N}}]\z' and ({star_near(i, f"({start} + p)")})
             then '{text.STAR}' else ch end), '')"""
 
     masked = {}
@@ -295,15 +296,16 @@ def cover_columns(
 ) -> DataFrame:
     """Near numbers, then positional cover, then adjacent spread, per column.
 
-    The key and the columns are written in order first; all three steps work
-    on that narrow table, and the other columns move once, in the join back.
+    The key and the columns are written first, and again when they are covered;
+    all three steps work on that narrow table, and the other columns move once, in
+    the join back.
     """
     if l <= 0:
         return mask_near_numbers(df, columns, l, order_by)
-    frozen = freeze_columns(df, columns, order_by)
+    narrow = key_and_texts(df, columns, order_by)
     texts = [f"__t{i}" for i in range(len(columns))]
-    covered = cover_positions(mask_near_numbers(frozen.df, texts, l), texts, l)
-    spread = _spread(frozen.with_df(covered), len(columns), l)
+    covered = stash(cover_positions(mask_near_numbers(narrow, texts, l), texts, l))
+    spread = _spread(covered, keys_of(order_by), len(columns), l)
     return put_beside(df, spread, columns, order_by)
 
 

@@ -1,6 +1,11 @@
 """Global order without a one-task window: numbering, neighbours, quantiles.
 
-The rows are range-partitioned by Spark on the whole sort key (a unique key
+Neighbours alone need no written order (``beside``): a row's range is a pure
+function of its key, so one exchange by range puts all but the first and last
+row of a range beside their neighbours, and those come from a table with one
+row per range.
+
+For numbers and quantiles the rows are range-partitioned by Spark on the whole sort key (a unique key
 last, so one frequent value cannot fill a partition), sorted inside each
 partition and written with their position. Everything after that needs only
 one small row per partition. Write narrow tables before anything costly is
@@ -9,12 +14,14 @@ computed: Spark reads the input of a range partitioning twice.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from duskveil.functions.names import literal_array, ref
 from duskveil.plans.scratch import stash
@@ -26,6 +33,83 @@ _MARK = "__mark"
 _SPOT_BITS = 33
 
 
+#: Most ranges of an order that is not written, ranges per shuffle partition, and
+#: sampled keys per range.
+RANGES, RANGES_EACH, SAMPLES = 4096, 4, 32
+_AT, _BOX, _RANGE = "__at", "__box", "__range"
+
+
+def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``__at``, the key ``order`` of a row, and ``__range``, its place in the
+    ascending order: how many of the bounds lie at or below the key.
+
+    The bounds are keys spaced evenly in a sample, those whose hash is small, and
+    become a constant of the plan: a task that is run again deals its rows the
+    same way. Any bounds give right neighbours; good ones give even ranges.
+    """
+    spark = df.sparkSession
+    count = min(RANGES, RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [f"k{i}" for i in range(len(order))]
+    rows = df.select(*[ref(c).alias(k) for c, k in zip(order, keys)])
+    one_in = max(1, rows.count() // (count * SAMPLES))
+    some = rows.where(F.pmod(F.xxhash64(*keys), F.lit(one_in)) == 0).distinct()
+    whole = Window.partitionBy(F.lit(0))
+    placed = some.withColumns(
+        {"__n": F.count("*").over(whole), "__i": F.row_number().over(whole.orderBy(*keys))}
+    )
+    slot = lambda i: F.floor(i * count / F.col("__n"))
+    spaced = placed.where(slot(F.col("__i")) > slot(F.col("__i") - 1))
+    bounds = [r[0] for r in spaced.select(F.to_json(F.struct(*keys))).collect()]  # one per range
+    key_type = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields])
+    constant = F.sort_array(F.from_json(F.lit(f"[{','.join(bounds)}]"), T.ArrayType(key_type)))
+    halves = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+
+    def halved(found: Column, size: Column) -> Column:
+        below = F.get(constant, found + size - 1) <= F.col(_AT)
+        return F.when(F.coalesce(below, F.lit(False)), found + size).otherwise(found)
+
+    keyed = df.withColumn(_AT, F.struct(*[ref(c).alias(k) for c, k in zip(order, keys)]))
+    found = F.aggregate(literal_array(halves, "int"), F.lit(0), halved) if halves else F.lit(0)
+    return keyed.withColumn(_RANGE, found)
+
+
+def beside(
+    df: DataFrame, order: Sequence[str], payload: Sequence[Column], cyclic: bool = False
+) -> DataFrame:
+    """Add ``__before`` and ``__after``: the payload struct of the adjacent rows in
+    the ascending order of the unique key ``order``, nulls first.
+
+    The whole rows move once, by their range. The first and last payload of
+    every range are aggregated before any exchange and joined to the ranges
+    beside it on the same partitioning. With ``cyclic`` the last row precedes the
+    first. A key that two rows hold raises an error.
+    """
+    placed = in_ranges(df, order).withColumn(_BOX, F.struct(*payload))
+    edges = placed.groupBy(_RANGE).agg(
+        F.min_by(_BOX, _AT).alias("first"), F.max_by(_BOX, _AT).alias("last")
+    )
+    # one row per range, 4096 at most
+    along = Window.partitionBy(F.lit(0)).orderBy(_RANGE)
+    whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    earlier, later = F.lag("last").over(along), F.lead("first").over(along)
+    if cyclic:
+        earlier = F.coalesce(earlier, F.last("last").over(whole))
+        later = F.coalesce(later, F.first("first").over(whole))
+    around = edges.select(_RANGE, earlier.alias("__earlier"), later.alias("__later"))
+    inside = Window.partitionBy(_RANGE).orderBy(*[F.col(f"{_AT}.k{i}") for i in range(len(order))])
+    twice = F.raise_error(F.lit(f"the key {list(order)} is held by more than one row"))
+    boxes = {
+        "__before": F.coalesce(F.lag(_BOX).over(inside), F.col("__earlier")),
+        "__after": F.coalesce(F.lead(_BOX).over(inside), F.col("__later")),
+        "__same": F.lag(_AT).over(inside),
+    }
+    rows = placed.join(around, _RANGE, "left").withColumns(boxes)
+    held = F.when(F.col("__same") == F.col(_AT), twice.cast(rows.schema["__before"].dataType))
+    return rows.withColumn("__before", held.otherwise(F.col("__before"))).drop(
+        _AT, _BOX, _RANGE, "__earlier", "__later", "__same"
+    )
+
+
 @dataclass(frozen=True)
 class Frozen:
     """A written table in order: ``__part`` and ``__spot`` place each row, and
