@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +20,13 @@ from duskveil.functions.names import (
     text_names,
 )
 from duskveil.plans.joins import lookup_join
+from duskveil.plans.scratch import stash
 
 PREVIEW_ROWS = 100
 
+#: Parts of a plan whose input Spark may read twice.
+_SAMPLING = r"Sort \[.*\], true|RepartitionByExpression"
+
 
 def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     if not columns:
@@ -42,11 +47,25 @@ def filter_rows(df: DataFrame, predicate: Callable[[DataFrame], Column]) -> Data
 def transform_table(
     df: DataFrame, change: Callable[[DataFrame], DataFrame], check_rows: bool = False
 ) -> DataFrame:
-    """Apply a table function; ``check_rows`` counts both tables and rejects a change."""
-    changed = df.transform(change)
-    if check_rows and changed.count() != df.count():
-        raise ValueError("the transform must keep the row count; use filter_rows to drop rows")
-    return changed
+    """Apply a table function; ``check_rows`` rejects one that changes the row count.
+
+    Both counts are observed while the result is written, in one action, and
+    the written table is returned. A plan that reads the table more than once or
+    samples it may observe other counts; there both tables are counted, as they
+    are if the observed counts differ.
+    """
+    if not check_rows:
+        return df.transform(change)
+    before, after = Observation(), Observation()
+    watched = df.observe(before, F.count(F.lit(1)).alias("n")).transform(change)
+    changed = watched.observe(after, F.count(F.lit(1)).alias("n"))
+    plan = changed._jdf.queryExecution().optimizedPlan().toString()
+    once = plan.count("CollectMetrics") == 2 and not re.search(_SAMPLING, plan)
+    written = stash(changed)
+    if not once or before.get["n"] != after.get["n"]:
+        if written.count() != df.count():
+            raise ValueError("the transform must keep the row count; use filter_rows to drop rows")
+    return written
 
 
 def sort_rows(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskveil.functions.names import ref, require
 from duskveil.operators.closeness import class_keys, class_value_counts
 from duskveil.operators.shape import tidy_names
+from duskveil.plans.ordering import latest, running_sums
+from duskveil.plans.scratch import stash
 
 
 def _counts(df: DataFrame, quasi: Sequence[str], sensitive: str) -> DataFrame:
@@ -64,21 +64,19 @@ def frequency_distances(df: DataFrame, quasi: Sequence[str], sensitive: str) ->
 def _list_distances(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Distance per class from the (class, value) counts.
 
-    Equal frequencies are kept as runs: a list over n rows has at most
-    sqrt(2 n) of them, so the table's runs go to every task and no class is
-    ever listed value by value.
+    Both lists are kept as runs of equal frequencies. A class run of share q at
+    ranks a to b differs from the table's shares p by q - p where p is smaller,
+    from rank t on, and by p - q before. Its part of the distance therefore
+    needs three numbers of the table: t and the shares that add up to t and to b.
+    They are looked up among the table's runs in order, in two exchanges.
     """
-    runs = (
-        pairs.where("__s is not null")
-        .groupBy("__s")
-        .agg(F.sum("__n").alias("n"))
-        .groupBy("n")
-        .agg(F.count("*").alias("times"))
-        .orderBy(F.desc("n"))
-        .toPandas()
-    )
-    excess = _excess_over(runs["n"].to_numpy(float), runs["times"].to_numpy("int64"))
-    values = float(runs["times"].sum())
+    sizes = pairs.where("__s is not null").groupBy("__s").agg(F.sum("__n").alias("n"))
+    runs = sizes.groupBy("n").agg(F.count("*").alias("times"))
+    runs = stash(runs.withColumns({"fall": -F.col("n"), "mass_of": F.col("n") * F.col("times")}))
+    # shares fall with the rank: ``first`` rank of a run and the rows before it
+    runs = stash(running_sums(runs, ["fall"], {"first": "times", "mass": "mass_of"}))
+    total, values = runs.agg(F.sum("mass_of"), F.sum("times")).first()
+    share_of = lambda n: F.col(n) / F.lit(float(total or 1))
 
     # the null value counts as frequency 0: it keeps a class without values
     known = F.when(F.col("__s").isNotNull(), F.col("__n")).otherwise(0)
@@ -89,44 +87,39 @@ def _list_distances(pairs: DataFrame, keys: list[str]) -> DataFrame:
     )
     inside = Window.partitionBy(*keys)
     above = inside.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counted.withColumn(
-        "start", F.coalesce(F.sum("times").over(above), F.lit(0))
-    ).withColumn("rows", F.sum(F.col("n") * F.col("times")).over(inside))
-    share = F.when(F.col("rows") > 0, F.col("n") / F.col("rows")).otherwise(0.0)
-    measured = ranked.withColumn(
-        "gap", excess(share, F.col("start"), F.col("start") + F.col("times"))
+    own = stash(
+        counted.withColumns(
+            {
+                "a": F.coalesce(F.sum("times").over(above), F.lit(0)),
+                "rows": F.sum(F.col("n") * F.col("times")).over(inside),
+            }
+        )
+        .withColumn("q", F.when(F.col("rows") > 0, F.col("n") / F.col("rows")).otherwise(0.0))
+        .select(*keys, "a", (F.col("a") + F.col("times")).alias("b"), "q", (-F.col("q")).alias("below"))
+    )
+    # t: the ranks whose share is q or more, as far as they lie between a and b
+    by_share = runs.select((-share_of("n")).alias("below"), (F.col("first") + F.col("times")).alias("end"))
+    turned = latest(own, by_share, "below")
+    turn = F.greatest("a", F.least("b", F.coalesce(F.col("__row.end"), F.lit(0))))
+    turned = stash(turned.withColumn("t", turn).drop("__row"))
+    # -2 (mass(b) - mass(t)), as two lookups by rank
+    ranks = turned.select(
+        *keys,
+        F.inline(
+            F.array(
+                F.struct(F.col("b").alias("first"), F.lit(-2.0).alias("sign")),
+                F.struct(F.col("t").alias("first"), F.lit(2.0).alias("sign")),
+            )
+        ),
     )
-    distance = (F.lit(1.0) + F.sum("gap")) / F.lit(values or None)
-    return measured.groupBy(*keys).agg(distance.alias("distance"))
-
-
-def _excess_over(counts: np.ndarray, times: np.ndarray):
-    """A column function of (q, a, b): the sum over ranks a..b-1 of |p - q| - p,
-    p being the table's frequencies in falling order."""
-    shares = counts / max((counts * times).sum(), 1.0)
-    ends = np.cumsum(times)
-    starts = ends - times
-    sums = np.concatenate([[0.0], np.cumsum(shares * times)])
-
-    @F.pandas_udf("double")
-    def excess(share: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
-        if len(shares) == 0:
-            return pd.Series(np.zeros(len(share)))
-
-        def mass(rank):
-            run = np.clip(np.searchsorted(starts, rank, side="right") - 1, 0, None)
-            return sums[run] + (rank - starts[run]) * shares[run]
-
-        q = share.to_numpy(float)
-        a, b = first.to_numpy("int64"), last.to_numpy("int64")
-        runs_above = np.searchsorted(-shares, -q, side="right")
-        turn = np.where(runs_above > 0, ends[np.clip(runs_above - 1, 0, None)], 0)
-        turn = np.clip(turn, a, b)
-        above = mass(turn) - mass(a) - q * (turn - a)
-        below = q * (b - turn) - (mass(b) - mass(turn))
-        return pd.Series(above + below - (mass(b) - mass(a)))
-
-    return excess
+    found = latest(ranks, runs.select("first", "mass", "n"), "first")
+    rank, run = F.col("first"), F.col("__row")
+    mass = (run["mass"] + (rank - run["first"]) * run["n"]) / F.lit(float(total or 1))
+    masses = found.select(*keys, (F.col("sign") * F.coalesce(mass, F.lit(0.0))).alias("gap"))
+    q, a, b, t = (F.col(c) for c in "qabt")
+    gaps = turned.select(*keys, (q * (b - t) - q * (t - a)).alias("gap")).unionByName(masses)
+    distance = (F.lit(1.0) + F.sum("gap")) / F.lit(float(values) if values else None)
+    return gaps.groupBy(*keys).agg(distance.alias("distance"))
 
 
 def check_t(df: DataFrame, quasi: Sequence[str], sensitive: str, t: float) -> DataFrame:

@@ -36,22 +36,29 @@ _SPOT_BITS = 33
 #: Most ranges of an order that is not written, ranges per shuffle partition, and
 #: sampled keys per range.
 RANGES, RANGES_EACH, SAMPLES = 4096, 4, 32
+#: Narrow rows that are one range, since they are sorted faster than sampled.
+FEW_ROWS = 1 << 16
 _AT, _BOX, _RANGE = "__at", "__box", "__range"
 
 
-def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def in_ranges(df: DataFrame, order: Sequence[str], few_rows: int = 0) -> DataFrame:
     """Add ``__at``, the key ``order`` of a row, and ``__range``, its place in the
     ascending order: how many of the bounds lie at or below the key.
 
     The bounds are keys spaced evenly in a sample, those whose hash is small, and
     become a constant of the plan: a task that is run again deals its rows the
-    same way. Any bounds give right neighbours; good ones give even ranges.
+    same way. Any bounds give right neighbours; good ones give even ranges. Up
+    to ``few_rows`` rows are one range.
     """
     spark = df.sparkSession
     count = min(RANGES, RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = [f"k{i}" for i in range(len(order))]
     rows = df.select(*[ref(c).alias(k) for c, k in zip(order, keys)])
-    one_in = max(1, rows.count() // (count * SAMPLES))
+    total = rows.count()
+    keyed = df.withColumn(_AT, F.struct(*[ref(c).alias(k) for c, k in zip(order, keys)]))
+    if total <= few_rows:
+        return keyed.withColumn(_RANGE, F.lit(0))
+    one_in = max(1, total // (count * SAMPLES))
     some = rows.where(F.pmod(F.xxhash64(*keys), F.lit(one_in)) == 0).distinct()
     whole = Window.partitionBy(F.lit(0))
     placed = some.withColumns(
@@ -68,7 +75,6 @@ def in_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
         below = F.get(constant, found + size - 1) <= F.col(_AT)
         return F.when(F.coalesce(below, F.lit(False)), found + size).otherwise(found)
 
-    keyed = df.withColumn(_AT, F.struct(*[ref(c).alias(k) for c, k in zip(order, keys)]))
     found = F.aggregate(literal_array(halves, "int"), F.lit(0), halved) if halves else F.lit(0)
     return keyed.withColumn(_RANGE, found)
 
@@ -110,6 +116,69 @@ def beside(
     )
 
 
+def running_sums(
+    df: DataFrame, order: Sequence[str], sums: dict[str, str], few_rows: int = FEW_ROWS
+) -> DataFrame:
+    """Add the sums of columns over all earlier rows in the order of the unique key
+    ``order``; ``sums`` names the new column and the summed one.
+
+    A running sum stays inside a range and starts from the sums of the earlier
+    ranges, which are aggregated before the exchange.
+    """
+    placed = in_ranges(df, order, few_rows)
+    totals = placed.groupBy(_RANGE).agg(*[F.sum(ref(c)).alias(f"__{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(F.lit(0)).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(
+        _RANGE, *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums]
+    )
+    inside = (
+        Window.partitionBy(_RANGE)
+        .orderBy(*[F.col(f"{_AT}.k{i}") for i in range(len(order))])
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    rows = placed.join(bases, _RANGE, "left").withColumns(
+        {n: F.col(f"__{n}") + F.coalesce(F.sum(ref(c)).over(inside), F.lit(0)) for n, c in sums.items()}
+    )
+    return rows.drop(_AT, _RANGE, *[f"__{n}" for n in sums])
+
+
+def latest(df: DataFrame, table: DataFrame, at: str, few_rows: int = FEW_ROWS) -> DataFrame:
+    """Each row of ``df`` with ``__row``, the row of ``table`` whose ``at`` is the
+    greatest at or below its own; null if there is none. ``table`` holds an ``at`` once.
+
+    Both lie in one order of ``at``, table rows first and equal rows of ``df``
+    spread by their hash, so that a frequent value is cut in ranges like any
+    other. A range starts from the last table row of the earlier ones.
+    """
+    rows = F.struct(*[ref(c) for c in df.columns])
+    found = F.struct(*[ref(c) for c in table.columns])
+    row_type = df.select(rows.alias("r")).schema["r"].dataType
+    found_type = table.select(found.alias("r")).schema["r"].dataType
+    both = table.select(
+        ref(at).alias("__x"), F.lit(0).alias("__kind"), F.lit(0).cast("bigint").alias("__spread"),
+        found.alias("__row"), F.lit(None).cast(row_type).alias("__own"),
+    ).unionAll(
+        df.select(
+            ref(at).alias("__x"), F.lit(1).alias("__kind"), F.xxhash64(*[ref(c) for c in df.columns]).alias("__spread"),
+            F.lit(None).cast(found_type).alias("__row"), rows.alias("__own"),
+        )
+    )
+    placed = in_ranges(both, ["__x", "__kind", "__spread"], few_rows)
+    ends = placed.where("__kind = 0").groupBy(_RANGE).agg(F.max_by("__row", "__x").alias("__end"))
+    ranges = placed.select(_RANGE).distinct().join(ends, _RANGE, "left")
+    earlier = Window.partitionBy(F.lit(0)).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranges.select(_RANGE, F.last("__end", ignorenulls=True).over(earlier).alias("__base"))
+    inside = (
+        Window.partitionBy(_RANGE)
+        .orderBy("__x", "__kind", "__spread")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    met = placed.join(bases, _RANGE, "left").withColumn(
+        "__row", F.coalesce(F.last("__row", ignorenulls=True).over(inside), F.col("__base"))
+    )
+    return met.where("__kind = 1").select("__own.*", "__row")
+
+
 @dataclass(frozen=True)
 class Frozen:
     """A written table in order: ``__part`` and ``__spot`` place each row, and

@@ -19,6 +19,8 @@ MISSING = [
 
 _TRUE_FALSE = r"\A(?i:true|false)\z"
 _WHOLE = r"\A\s*[+-]?\d+\s*\z"
+#: A decimal as it is written; casts also take endings such as those of ``1d`` and ``2f``.
+_DECIMAL = r"\A\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity))\s*\z"
 #: Whole numbers that are too long for a long.
 _LONGER = T.DecimalType(38, 0)
 
@@ -46,7 +48,8 @@ def read_csv(
     ``multi_line=True``, which gives each file to one task.
 
     Without ``schema`` a column becomes whole numbers (of any length), decimals
-    or booleans if all its known cells spell one, else text; that takes one
+    or booleans if all its known cells spell one, else text, so identifiers such as
+    ``1d`` and ``2f`` stay apart; that takes one
     extra pass over the chosen columns, which ``schema=table.schema`` saves the
     next time. The usual spellings of a missing cell read as null either way; a
     cell that does not fit a given ``schema`` is an error.
@@ -76,7 +79,7 @@ def read_csv(
             F.count(cell).alias(f"{i}_n"),
             F.count_if(cell.rlike(_WHOLE) & cell.try_cast("bigint").isNotNull()).alias(f"{i}_w"),
             F.count_if(cell.rlike(_WHOLE) & cell.try_cast(_LONGER).isNotNull()).alias(f"{i}_l"),
-            F.count(cell.try_cast("double")).alias(f"{i}_f"),
+            F.count_if(cell.rlike(_DECIMAL) & cell.try_cast("double").isNotNull()).alias(f"{i}_f"),
             F.count_if(cell.rlike(_TRUE_FALSE)).alias(f"{i}_b"),
         ]
     seen = known.agg(*tests).first()

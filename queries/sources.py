@@ -37,6 +37,26 @@ def csv_dates_orders(spark, sf_dir):
     return read_table(spark, path, ["o_orderkey", "o_orderdate"])
 
 
+@query(
+    "csv_keeps_text_identifiers",
+    """SELECT l_orderkey, l_linenumber::bigint AS l_linenumber, l_linenumber || 'd' AS day, l_linenumber || 'f' AS floor,
+              l_quantity, CASE WHEN l_linenumber = 1 THEN 'Infinity'::double ELSE l_tax END AS bound,
+              '0x' || l_linenumber || 'p3' AS code FROM lineitem""",
+)
+def csv_keeps_text_identifiers(spark, sf_dir):
+    """Identifiers that a cast would read as numbers, beside numbers."""
+    number = F.col("l_linenumber").cast("string")
+    lines = read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        F.concat(number, F.lit("d")).alias("day"),
+        F.concat(number, F.lit("f")).alias("floor"),
+        "l_quantity",
+        F.when(F.col("l_linenumber") == 1, "Infinity").otherwise(F.col("l_tax").cast("string")).alias("bound"),
+        F.concat(F.lit("0x"), number, F.lit("p3")).alias("code"),
+    )
+    return read_csv(spark, write_csv(lines, scratch_path(spark)))
+
+
 @query("parquet_round_trip_lineitem", "SELECT * FROM lineitem")
 def parquet_round_trip_lineitem(spark, sf_dir):
     path = write_parquet(read(spark, sf_dir, "lineitem"), scratch_path(spark))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duskveil.operators.context import mask_adjacent, mask_adjacent_consistently, mask_cyclic
 from duskveil.operators.cover import spread_masks
-from duskveil.plans.ordering import RANGES_EACH, beside, in_ranges
+from duskveil.plans.ordering import RANGES_EACH, beside, in_ranges, latest, running_sums
 from duskveil.plans.scratch import stash
 
 
@@ -120,3 +120,22 @@ def test_rows_pass_one_exchange(spark):
     count = [str(x._jdf.queryExecution().sparkPlan()).count("Join") for x in (one, four)]
     assert count[0] == count[1]
 
+
+
+@pytest.mark.parametrize("count, few", [(1, 0), (4, 0), (37, 0), (4, 10_000)])
+def test_running_sums_and_latest_rows(spark, partitions, count, few):
+    partitions(count)
+    rng = random.Random(5)
+    numbers = [(i, rng.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rng.sample(numbers, 500), "k int, n long").repartition(3)
+    found = {r.k: r.before for r in running_sums(df, ["k"], {"before": "n"}, few).collect()}
+    assert found == {k: sum(n for j, n in numbers if j < k) for k, _ in numbers}
+    # a third of the lookups ask for one place
+    asked = [(i, 40 if i % 3 == 0 else rng.randint(-5, 130)) for i in range(600)]
+    table = spark.createDataFrame([(x, f"row {x}") for x in range(0, 120, 7)], "x int, name string")
+    met = latest(spark.createDataFrame(asked, "id int, x int").repartition(4), table, "x", few).collect()
+    assert {r.id: r["__row"] and r["__row"].name for r in met} == {
+        i: None if x < 0 else f"row {min(x, 119) // 7 * 7}" for i, x in asked
+    }
+    assert latest(df.limit(0).withColumn("x", F.lit(1)), table, "x").count() == 0
+    assert latest(table, table.limit(0), "x").where("__row is null").count() == 18

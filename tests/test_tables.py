@@ -37,6 +37,16 @@ def test_filter_transform_sort_preview(spark):
     assert [r.id for r in shape.sort_rows(df, "n", ascending=False).collect()] == [1, 3, 2]
     with pytest.raises(ValueError):
         shape.transform_table(df, lambda t: t.limit(1), check_rows=True)
+    for change in (
+        lambda t: t.withColumn("n", t.n + 1),
+        lambda t: t.orderBy("n"),
+        lambda t: t.repartitionByRange(3, "n"),
+        lambda t: t.join(t.groupBy("id").count(), "id"),
+    ):
+        assert shape.transform_table(df, change, check_rows=True).count() == 3
+    for change in (lambda t: t.union(t), lambda t: t.union(t).orderBy("n"), lambda t: t.where("n > 2")):
+        with pytest.raises(ValueError):
+            shape.transform_table(df, change, check_rows=True)
     assert shape.preview(spark.range(500), ["id"]).count() == 100
     assert shape.drop_missing_numbers(df, "n").count() == 2
     with pytest.raises(ValueError):
@@ -333,3 +343,18 @@ def test_stateless_operators_run_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert {r.w for r in spark.table("released").collect()} == {"***"}
+
+
+def test_csv_types_need_a_numeric_spelling(spark, tmp_path):
+    cells = {
+        "ids": ["1d", "2f", "1f"], "hex": ["0x1p3", "1", "2"], "ends": ["1D", "1.5F", "2"],
+        "numbers": ["1.5", ".5", "2e3"], "far": ["Infinity", "-inf", "1."], "whole": ["1", "-2", "+3"],
+    }
+    lines = [",".join(cells), *[",".join(row) for row in zip(*cells.values())]]
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    read = tables.read_csv(spark, str(tmp_path / "t.csv"))
+    assert dict(read.dtypes) == {
+        "ids": "string", "hex": "string", "ends": "string", "numbers": "double", "far": "double", "whole": "bigint",
+    }
+    assert [r.ids for r in read.collect()] == cells["ids"]
+    assert [r.far for r in read.collect()] == [float("inf"), float("-inf"), 1.0]
