@@ -2,8 +2,9 @@
 
 Big classes are cut level by level on the executors. The cut is the exact lower
 median at every size: a sketch bounds it from both sides, and only the values
-between the bounds are counted one by one. The state of a level is written once
-and holds nothing but the classes that are still open. A class of
+between the bounds are counted one by one. The cuts of a level are a small written
+table; the rows follow the cuts of several levels while they are read, and are
+written again only then, without the classes that are no longer open. A class of
 ``local_rows`` or fewer leaves the levels and is finished inside one task, by
 the same rule, beside the others of its kind; a class that is too big for that but
 impossible to cut (for example many equal rows) is final and never gathered.
@@ -29,7 +30,9 @@ from duskveil.plans.scratch import stash
 
 #: Rows of a class that one task finishes. A matter of speed: the classes are
 #: the same whatever it is.
-LOCAL_ROWS = 10_000
+LOCAL_ROWS = 50_000
+#: Levels of cuts that rows follow before they are written again.
+LEVELS = 3
 _MEDIAN_ACCURACY = 10_000
 #: Half the width of the band around the median, in ranks per row; the sketch errs
 #: by one part in ``_MEDIAN_ACCURACY``.
@@ -148,55 +151,71 @@ def _medians(
     )
 
 
-def _next_level(
-    opened: DataFrame, dims: int, scales: list[float], k: int, key: Sequence[str], local_rows: int, level: int
-) -> DataFrame:
-    """Cut every open class once; ``__state`` says what becomes of its rows."""
-    codes = [f"__c{i}" for i in range(dims)]
-    widths = [((F.max(c) - F.min(c)) / scales[i]).alias(f"__w{i}") for i, c in enumerate(codes)]
+def _plan(
+    opened: DataFrame, count: int, dims: int, scales: list[float], k: int, key: Sequence[str], local_rows: int
+) -> tuple[DataFrame, int]:
+    """The cut of every open class, where it has one, and the number of children
+    that are still open: two tables of a row per class are written."""
+    widths = [((F.max(f"__c{i}") - F.min(f"__c{i}")) / scales[i]).alias(f"__w{i}") for i in range(dims)]
     classes = stash(
         opened.groupBy(*CLASS).agg(F.count("*").alias("__n"), *widths, *_bands(dims, _BAND))
     )
-    count = classes.count()
-    cuts = stash(_medians(opened, classes, count, dims, key, _BAND))
-    band = _BAND
-    while band < 0.5 and not cuts.where("cut is null").isEmpty():
-        band *= 16
-        missed = cuts.where("cut is null").select(*CLASS).distinct()
-        again = _medians(
-            opened.join(missed, CLASS, "left_semi"), classes.join(missed, CLASS, "left_semi"), count, dims, key, band
-        )
-        cuts = stash(cuts.join(missed, CLASS, "left_anti").unionByName(again))
     width = reduce(
         lambda other, i: F.when(F.col("dim") == i, F.col(f"__w{i}")).otherwise(other), range(dims), F.lit(None)
     )
+    fits = (F.col("left") >= k) & (F.col("n") - F.col("left") >= k)
     # of equal widths the first dimension
-    best = F.max(
-        F.when(
-            (F.col("left") >= k) & (F.col("n") - F.col("left") >= k),
-            F.struct(width.alias("width"), (-F.col("dim")).alias("dim"), "cut", "left"),
+    best = F.max(F.when(fits, F.struct(width.alias("width"), (-F.col("dim")).alias("dim"), "cut", "left")))
+
+    def planned(rows: DataFrame, own: DataFrame, band: float) -> DataFrame:
+        return (
+            _medians(rows, own, count, dims, key, band)
+            .join(own.drop("__n"), CLASS)
+            .groupBy(*CLASS, "n")
+            .agg(best.alias("__best"), F.bool_or(F.col("cut").isNull()).alias("__missed"))
         )
+
+    left, n = F.col("__best.left"), F.col("n")
+    is_open = F.when(left > local_rows, 1).otherwise(0) + F.when(n - left > local_rows, 1).otherwise(0)
+    summary = [F.coalesce(F.sum(is_open), F.lit(0)).alias("open"), F.count_if("__missed").alias("missed")]
+    plan = stash(planned(opened, classes, _BAND))
+    seen, band = plan.agg(*summary).first(), _BAND
+    while seen["missed"] and band < 0.5:
+        band *= 16
+        missed = plan.where("__missed").select(*CLASS)
+        again = planned(opened.join(missed, CLASS, "left_semi"), classes.join(missed, CLASS, "left_semi"), band)
+        plan = stash(plan.where("NOT __missed").unionByName(again))
+        seen = plan.agg(*summary).first()
+    return plan, seen["open"]
+
+
+def _cut(
+    rows: DataFrame, plan: DataFrame, count: int, dims: int, key: Sequence[str], local_rows: int, level: int
+) -> DataFrame:
+    """Rows of the classes of ``plan`` go to their children, or are done; ``__state``
+    says what becomes of a row. Other rows stay as they are."""
+    numbered = plan.select(
+        *CLASS, F.col("n").alias("__n"), F.col("n").alias("__size"), "__best",
+        F.monotonically_increasing_id().alias("__id"),
     )
-    plan = stash(
-        cuts.join(classes.drop("__n"), CLASS)
-        .groupBy(*CLASS, "n")
-        .agg(best.alias("__best"))
-        .select(*CLASS, F.col("n").alias("__n"), F.col("n").alias("__size"), "__best", F.monotonically_increasing_id().alias("__id"))
-    )
-    moved = counted_join(opened, plan, count, CLASS, "__n", key)
-    code = F.coalesce(*[F.when(F.col("__best.dim") == -i, F.col(c)) for i, c in enumerate(codes)])
+    moved = counted_join(rows, numbered, count, CLASS, "__n", key)
+    code = F.coalesce(*[F.when(F.col("__best.dim") == -i, F.col(f"__c{i}")) for i in range(dims)])
     goes_left = code <= F.col("__best.cut")
     size = F.when(goes_left, F.col("__best.left")).otherwise(F.col("__size") - F.col("__best.left"))
     cut = F.col("__best").isNotNull()
-    state = F.when(~cut, "done").when(size <= local_rows, "local").otherwise("open")
+    state = (
+        F.when(F.col("__size").isNull(), F.col("__state"))
+        .when(~cut, "done")
+        .when(size <= local_rows, "local")
+        .otherwise("open")
+    )
     number = F.col("__id") * 2 + F.when(goes_left, 0).otherwise(1)
-    moved = moved.select(
-        *[c for c in opened.columns if c not in CLASS],
+    return moved.select(
+        *[c for c in rows.columns if c not in (*CLASS, "__state")],
         F.when(cut, F.lit(level)).otherwise(F.col("__level")).alias("__level"),
         F.when(cut, number).otherwise(F.col("__class")).alias("__class"),
         state.alias("__state"),
     )
-    return stash(moved)
 
 
 def _finish_locally(dims: int, scales: list[float], k: int, key: Sequence[str]):
@@ -252,13 +271,19 @@ def mondrian_classes(
     if seen["n"] <= local_rows:
         small.append(opened)
     else:
-        for level in range(1, 1 << 20):
-            state = _next_level(opened, dims, scales, k, key, local_rows, level)
-            small.append(state.where("__state = 'local'").drop("__state"))
-            done.append(state.where("__state = 'done'").drop("__state"))
-            opened = state.where("__state = 'open'").drop("__state")
-            if opened.isEmpty():
-                break
+        rows, count, level = opened.withColumn("__state", F.lit("open")), 1, 0
+        while count:
+            level += 1
+            plan, children = _plan(
+                rows.where("__state = 'open'").drop("__state"), count, dims, scales, k, key, local_rows
+            )
+            rows = _cut(rows, plan, count, dims, key, local_rows, level)
+            count = children
+            if level % LEVELS == 0 or not count:
+                rows = stash(rows)
+                small.append(rows.where("__state = 'local'").drop("__state"))
+                done.append(rows.where("__state = 'done'").drop("__state"))
+                rows = rows.where("__state = 'open'")
     schema = T.StructType(
         [*[opened.schema[c] for c in key], T.StructField("__level", T.IntegerType()),
          T.StructField("__class", T.LongType()), T.StructField("__part", T.LongType())]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from duskveil.operators.kanon import k_metric, kanonymize, microaggregate, restore
 from duskveil.operators.mondrian import mondrian, mondrian_classes
+from duskveil.plans.scratch import stash
 
 
 def rows(df, *key):
@@ -128,6 +129,19 @@ def test_mondrian_equals_recursion(spark, local_rows):
     assert {frozenset(c) for c in classes.values()} == median_cuts(points, 7)
 
 
+def test_mondrian_writes_rows_once_for_several_levels(spark, monkeypatch):
+    from duskveil.operators import mondrian as module
+
+    written = []
+    monkeypatch.setattr(module, "stash", lambda df: written.append(df.columns) or stash(df))
+    df = spark.range(2000).select("id", (F.col("id") * 7919 % 2000).alias("a"))
+    rows = mondrian_classes(df, ["a"], 10, ["id"], local_rows=40)
+    levels = max(r[0] for r in rows.select("__level").distinct().collect())
+    moved = [c for c in written if "__state" in c]
+    assert levels >= 5 and len(moved) == -(-levels // module.LEVELS)
+    assert len(written) == 1 + 2 * levels + len(moved)
+
+
 def test_mondrian_hot_tuple_never_reaches_one_task(spark):
     df = spark.range(600).select(
         "id",
