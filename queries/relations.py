@@ -5,6 +5,7 @@ from itertools import combinations, permutations
 from pyspark.sql import functions as F
 
 from duskveil.operators.relations import (
+    best_relationships,
     correlation_matrix,
     r2_on_all_others,
     search_relationships,
@@ -166,3 +167,38 @@ def _search_sql(table: str, columns: list[str], predictors: int) -> str:
 def search_relationships_three(spark, sf_dir):
     found = search_relationships(read(spark, sf_dir, "lineitem"))
     return found.withColumn("value", F.round("value", 9))
+
+
+@query(
+    "best_relationships_lineitem",
+    f"""SELECT target, predictors, metric, value FROM (SELECT *, row_number() OVER (
+            PARTITION BY target, len(string_split(predictors, ',')) ORDER BY abs(value) DESC) AS place
+            FROM ({_search_sql('lineitem', EIGHT, 3)})) WHERE place <= 2""",
+)
+def best_relationships_lineitem(spark, sf_dir):
+    found = best_relationships(read(spark, sf_dir, "lineitem"), predictors=3, rows=2)
+    return found.withColumn("value", F.round("value", 9))
+
+
+WIDE_GAPS = [f"g{i}" for i in range(20)]
+_GAP_SQL = "(SELECT " + ", ".join(
+    f"CASE WHEN (l_orderkey * {2 * i + 3} + l_linenumber * {i + 1}) % 7 > 1 THEN"
+    f" {NUMBERS[i % len(NUMBERS)]} + (l_orderkey % {i + 2}) END AS g{i}"
+    for i in range(20)
+) + " FROM lineitem)"
+
+
+@query("correlation_matrix_many_gaps", _matrix_sql(_GAP_SQL, WIDE_GAPS))
+def correlation_matrix_many_gaps(spark, sf_dir):
+    """Twenty columns whose gaps make thousands of patterns."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    lines = read(spark, sf_dir, "lineitem").select(
+        *[
+            F.when(
+                (order * (2 * i + 3) + line * (i + 1)) % 7 > 1,
+                F.col(NUMBERS[i % len(NUMBERS)]) + order % (i + 2),
+            ).alias(name)
+            for i, name in enumerate(WIDE_GAPS)
+        ]
+    )
+    return correlation_matrix(lines, WIDE_GAPS).withColumn("corr", F.round("corr", 9))

@@ -183,3 +183,59 @@ def test_analyse_bundles(spark, data):
     found = relations.analyse(spark.createDataFrame(rows, "g int, x double, y double"), "g", "y", ["x"])
     assert found.predictions.count() == 200 and found.correlations.count() == 9
     assert found.r2.count() == 3 and found.top.count() == 9
+
+
+def test_best_relationships_equal_the_full_search(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(400, 12))
+    base[:, 3] += 2 * base[:, 0] - base[:, 7]
+    base[:, 5] += base[:, 3] + 0.5 * base[:, 9]
+    base[:, 11] = base[:, 2]  # equal columns: ties
+    names = [f"x{i:02d}" for i in range(12)]
+    df = spark.createDataFrame([tuple(map(float, row)) for row in base], ", ".join(f"{n} double" for n in names))
+    found = relations.best_relationships(df, names, predictors=3, rows=3).collect()
+    every = relations.search_relationships(df, names, predictors=3).collect()
+    for target in names:
+        for size in (1, 2, 3):
+            of = lambda rows: [
+                r for r in rows if r.target == target and r.predictors.count(",") == size - 1
+            ]
+            got, want = of(found), sorted((abs(r.value) for r in of(every)), reverse=True)[:3]
+            assert [abs(r.value) for r in got] == pytest.approx(want, abs=1e-8)
+    values = {(r.target, r.predictors): r.value for r in every}
+    assert all(values[r.target, r.predictors] == pytest.approx(r.value, abs=1e-8) for r in found)
+    with pytest.raises(ValueError, match="best_relationships"):
+        relations.search_relationships(df, names, predictors=3, most_models=100)
+    with pytest.raises(ValueError):
+        relations.best_relationships(df, names, most_columns=11)
+    assert relations.best_relationships(df.limit(0), names).count() == 0
+
+
+def test_best_relationships_leave_out_branches():
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(300, 12))
+    base[:, 0] += base[:, 3:6].sum(axis=1)
+    corr = np.corrcoef(base.T)
+    lattice, solved = relations._Lattice(corr), 0
+    inner = lattice.r2
+
+    def counted(*args):
+        nonlocal solved
+        solved += 1
+        return inner(*args)
+
+    lattice.r2 = counted
+    floor, nodes = lattice.floor(0, 3, 1), [[]]
+    for _ in range(3):
+        nodes = [own for chosen in nodes for own, _ in lattice.grown(0, chosen, 3, floor)]
+    assert [sorted(lattice.order[0][s] for s in n) for n in nodes] == [[3, 4, 5]]
+    assert solved < 165 / 2  # models of three among eleven
+
+
+def test_many_gaps_are_summed_by_sets(spark, gapped, monkeypatch):
+    x = gapped[:, :4]
+    once = {tuple(r)[:3]: r.value for r in relations.search_relationships(frame(spark, x)).collect()}
+    monkeypatch.setattr(relations, "PATTERNS", 0)
+    again = {tuple(r)[:3]: r.value for r in relations.search_relationships(frame(spark, x).repartition(5)).collect()}
+    assert set(once) == set(again)
+    assert all(again[k] == pytest.approx(v, abs=1e-9) for k, v in once.items())
