@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from duskveil.functions.names import numeric_names, ref, replace_columns, require
@@ -59,17 +59,21 @@ def histogram(df: DataFrame, column: str, bins: int = BINS) -> DataFrame:
     )
 
 
-def _boxes(numbers: DataFrame, groups: Sequence[str]) -> DataFrame:
+def _boxes(numbers: DataFrame, groups: Sequence[str], accuracy: int | None) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 times the box, and outliers."""
-    counts = ordered_counts(numbers, groups, "x")
+    if accuracy:
+        counts = numbers.withColumn("times", F.lit(1)).dropna(subset=[*groups, "x"])
+        quartiles = sketch_quantiles(counts, groups, "x", QUARTILES, accuracy)
+    else:
+        counts = ordered_counts(numbers, groups, "x")
+        quartiles = exact_quantiles(counts, groups, "x", QUARTILES)
+        counts = counts.drop(PART, SPOT)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    boxes = exact_quantiles(counts, groups, "x", QUARTILES).withColumns(
-        {"floor": F.col("q1") - reach, "roof": F.col("q3") + reach}
-    )
+    boxes = quartiles.withColumns({"floor": F.col("q1") - reach, "roof": F.col("q3") + reach})
     inside = F.col("x").between(F.col("floor"), F.col("roof"))
     fenced = boxes.withColumn("__weight", F.col("n"))
     return (
-        lookup_join(counts.drop(PART, SPOT), fenced, groups, "__weight", [*groups, "x"])
+        lookup_join(counts, fenced, groups, "__weight", [*groups, "x"])
         .groupBy(*groups, "n", *QUARTILES)
         .agg(
             F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
@@ -79,8 +83,39 @@ def _boxes(numbers: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def box_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One box per column (all numeric columns by default), labelled ``column_name``."""
+def sketch_quantiles(
+    df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float], accuracy: int
+) -> DataFrame:
+    """Quantiles per group from one map-side aggregate of mergeable rank sketches.
+
+    Each is a value of the group whose rank is within n / ``accuracy`` of the asked
+    rank (0 and 1 are the exact ends). A sketch has some ``accuracy`` entries,
+    however many rows the group has.
+    """
+    inner = {name: prob for name, prob in probs.items() if 0 < prob < 1}
+    sketch = F.percentile_approx(ref(value), list(inner.values()), accuracy)
+    ends = {name: F.min(ref(value)) if prob == 0 else F.max(ref(value)) for name, prob in probs.items() if name not in inner}
+    found = df.groupBy(*[ref(g) for g in groups]).agg(
+        F.count("*").alias("n"), sketch.alias("__s"), *[end.cast("double").alias(name) for name, end in ends.items()]
+    )
+    at = list(inner)
+    return found.select(
+        *[ref(g) for g in groups],
+        "n",
+        *[
+            F.get("__s", F.lit(at.index(name))).cast("double").alias(name) if name in inner else F.col(name)
+            for name in probs
+        ],
+    )
+
+
+def box_summary(
+    df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None
+) -> DataFrame:
+    """One box per column (all numeric columns by default), labelled ``column_name``.
+
+    With ``accuracy`` the quartiles come from sketches: see ``sketch_quantiles``.
+    """
     columns = list(columns or numeric_names(df))
     cells = F.array(
         *[
@@ -91,15 +126,18 @@ def box_summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
             for c in columns
         ]
     )
-    return _boxes(df.select(F.inline(cells)).where("x is not null"), ["column_name"])
+    return _boxes(df.select(F.inline(cells)).where("x is not null"), ["column_name"], accuracy)
 
 
-def grouped_boxes(df: DataFrame, group: str, target: str) -> DataFrame:
-    """One box of ``target`` per known ``group``, labelled ``label``."""
+def grouped_boxes(
+    df: DataFrame, group: str, target: str, accuracy: int | None = None
+) -> DataFrame:
+    """One box of ``target`` per known ``group``, labelled ``label``; ``accuracy`` as
+    in ``box_summary``."""
     require(df, group, target)
     number = chart_number(ref(target), df.schema[target].dataType)
     numbers = df.select(ref(group).alias("label"), number.alias("x"))
-    return _boxes(numbers, ["label"])
+    return _boxes(numbers, ["label"], accuracy)
 
 
 def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -112,6 +150,37 @@ def scatter_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.dropna()
 
 
+def scatter_sample(
+    df: DataFrame, x: str, y: str, key: Sequence[str], per_cell: int = 5, grid: int = 20, seed: int = 0
+) -> DataFrame:
+    """``(x, y)`` of at most ``per_cell`` pairs of every cell of a ``grid`` by ``grid``
+    net over the finite pairs, so that sparse corners of the cloud stay.
+
+    Those with the smallest hash of seed and key are taken: the same on every run
+    and every partitioning. Tasks hand on ``per_cell`` rows per cell. Pairs with a
+    value that is not finite are left out.
+    """
+    require(df, x, y, *key)
+    both = df.select(
+        chart_number(ref(x), df.schema[x].dataType).alias("x"),
+        chart_number(ref(y), df.schema[y].dataType).alias("y"),
+        F.md5(F.concat_ws(":", F.lit(str(seed)), *[ref(k).cast("string") for k in key])).alias("__hash"),
+    ).where((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
+    ends = both.agg(
+        F.struct(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+    ).scalar()
+
+    def cell(c: str) -> Column:
+        low, high = ends[f"low_{c}"], ends[f"high_{c}"]
+        spot = F.least(F.floor((F.col(c) - low) / ((high - low) / grid)), F.lit(grid - 1))
+        return F.when(high > low, spot).otherwise(0).cast("int")
+
+    placed = both.withColumns({"__i": cell("x"), "__j": cell("y")})
+    first = Window.partitionBy("__i", "__j").orderBy("__hash", "x", "y")
+    taken = placed.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= per_cell)
+    return taken.select("x", "y")
+
+
 def before_after(
     original: DataFrame, working: DataFrame, chart: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:

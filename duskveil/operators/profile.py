@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +19,9 @@ from duskveil.plans.scratch import stash
 TOP_VALUES = 10
 #: A longer value is exchanged as so many characters and a digest.
 HEAD_CHARS = 64
+#: Counters of a column in a task, and most values of a column that are counted as
+#: candidates for the most frequent ones.
+HELD_VALUES, MOST_CANDIDATES = 2048, 8192
 
 
 def _as_text(df: DataFrame, name: str) -> Column:
@@ -118,32 +124,119 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
-def top_values(df: DataFrame, rows: int = TOP_VALUES) -> DataFrame:
-    """The most frequent known values of each column, ties by value (of values that
-    begin with the same ``HEAD_CHARS`` characters, by digest).
+def _frequent(df: DataFrame, held: int) -> DataFrame:
+    """``(i, code, least, error)``: the hashes of the frequent known values of each
+    column, with a count that is at most ``error`` too low; other values occur
+    ``error`` times at most, a ``held``-th of the rows or less.
 
-    The rank filter is pushed below the shuffle by Spark, so only ``rows``
-    rows per column and task are exchanged. The texts of long winners, at most
-    ``rows`` per column, are looked up in a second pass over the text columns.
+    A task keeps ``held`` counters per column. When there are more, the next
+    largest count is taken off all of them and added to the error, so sums of
+    summaries are summaries of all rows.
     """
-    rank = F.row_number().over(
-        Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("head"), F.asc("digest"))
+    codes = df.select(
+        *[
+            F.when(_as_text(df, c).isNotNull(), F.xxhash64(_as_text(df, c))).alias(f"c{i}")
+            for i, c in enumerate(df.columns)
+        ]
     )
-    best = _value_counts(df).withColumn("rank", rank).where(F.col("rank") <= rows)
+    width = len(df.columns)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(width)]
+        errors = np.zeros(width, np.int64)
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                own = column.drop_null().to_numpy()
+                both = np.concatenate([kept[i][0], own])
+                times = np.concatenate([kept[i][1], np.ones(len(own), np.int64)])
+                values, place = np.unique(both, return_inverse=True)
+                counts = np.bincount(place, weights=times, minlength=len(values)).astype(np.int64)
+                if len(values) > held:
+                    off = np.partition(counts, len(counts) - held - 1)[len(counts) - held - 1]
+                    errors[i] += off
+                    values, counts = values[counts > off], counts[counts > off] - off
+                kept[i] = values, counts
+        for i, (values, counts) in enumerate(kept):
+            # a row without a value carries the error
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(values) + 1, i, np.int32)),
+                    pa.array([*values.tolist(), None], pa.int64()),
+                    pa.array(np.append(counts, errors[i])),
+                ],
+                names=["i", "code", "least"],
+            )
+
+    parts = codes.mapInArrow(summarise, "i int, code bigint, least bigint")
+    sums = stash(parts.groupBy("i", "code").agg(F.sum("least").alias("least")))
+    errors = sums.where("code is null").select("i", F.col("least").alias("error"))
+    return sums.where("code is not null").join(F.broadcast(errors), "i")  # a row per column
+
+
+def _candidates(df: DataFrame, rows: int, held: int, most: int) -> tuple[list[int], DataFrame]:
+    """Columns whose first ``rows`` values are surely among few candidates, and the
+    hashes of those: all that may reach the ``rows``-th certain count."""
+    found = stash(_frequent(df, held))
+    by_count = Window.partitionBy("i").orderBy(F.desc("least"))
+    least = found.withColumn("at", F.row_number().over(by_count)).where(F.col("at") == rows)
+    placed = found.join(F.broadcast(least.select("i", F.col("least").alias("edge"))), "i", "left")
+    edge = F.coalesce(F.when(F.col("edge") > 2 * F.col("error"), F.col("edge")), F.lit(0))
+    chosen = placed.where(F.col("least") + F.col("error") >= edge)
+    told = (F.col("edge") > 2 * F.col("error")) | (F.col("error") == 0)
+    summary = chosen.groupBy("i").agg(F.count("*").alias("n"), F.bool_and(F.coalesce(told, F.lit(False))).alias("told"))
+    sure = sorted(r["i"] for r in summary.where(F.col("told") & (F.col("n") <= most)).collect())
+    return sure, chosen.where(F.col("i").isin(sure)).select("i", "code")
+
+
+def top_values(
+    df: DataFrame, rows: int = TOP_VALUES, held: int = HELD_VALUES, most: int = MOST_CANDIDATES
+) -> DataFrame:
+    """The most frequent known values of each column, ties by value.
+
+    A summary of frequent values picks candidates with a proven error, and only
+    those are counted. Where it cannot tell the ``rows``-th value from the rest, the
+    distinct values of the column are counted. Texts longer than ``HEAD_CHARS``
+    count under their digest; the whole texts of the winners, and of values that
+    tie with them in count and first characters, are looked up afterwards.
+    """
+    sure, codes = _candidates(df, rows, held, most)
+    named = {c: i for i, c in enumerate(df.columns)}
+    counted = ["column_name", "head", "digest"]
+    counts = []
+    if sure:
+        # ``most`` hashes per column at most
+        cells = _cells(df, [df.columns[i] for i in sure])
+        numbers = F.create_map(*[x for c, i in named.items() for x in (F.lit(c), F.lit(i))])
+        coded = cells.withColumns({"i": numbers[F.col("column_name")], "code": F.xxhash64("value")})
+        near = coded.join(F.broadcast(codes), ["i", "code"], "left_semi")
+        counts.append(near.groupBy(*counted).agg(F.count("*").alias("n")))
+    others = [c for c, i in named.items() if i not in sure]
+    if others:
+        counts.append(_cells(df, others).groupBy(*counted).agg(F.count("*").alias("n")))
+    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("head"))
+    best = reduce(DataFrame.unionByName, counts).withColumn("rank", F.rank().over(by_count))
+    best = best.where(F.col("rank") <= rows)
     texts = [c for c in df.columns if is_text(df, c)]
-    if not texts:
-        return best.select("column_name", F.col("head").alias("value"), "n", "rank")
-    best = stash(best)
-    long = best.where("digest is not null").select("column_name", "digest")
-    found = (
-        _cells(df, texts)
-        .where("digest is not null")
-        .join(F.broadcast(long), ["column_name", "digest"])
-        .groupBy("column_name", "digest")
-        .agg(F.min("value").alias("whole"))
-    )
-    return best.join(F.broadcast(found), ["column_name", "digest"], "left").select(
-        "column_name", F.coalesce("whole", "head").alias("value"), "n", "rank"
+    if texts:
+        best = stash(best)
+        # the winners of a column begin in ``rows`` ways at most
+        heads = best.where("digest is not null").select("column_name", "head").distinct().collect()
+        begins = [(F.col("column_name") == r[0]) & (F.col("head") == r[1]) for r in heads]
+        if begins:
+            whole = (
+                _cells(df, texts)
+                .where(F.col("digest").isNotNull() & reduce(lambda a, b: a | b, begins))
+                .join(best.select("column_name", "digest"), ["column_name", "digest"], "left_semi")
+                .groupBy("column_name", "digest")
+                .agg(F.min("value").alias("whole"))
+            )
+            best = best.join(whole, ["column_name", "digest"], "left").withColumn(
+                "head", F.coalesce("whole", "head")
+            )
+    by_value = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("head"))
+    return (
+        best.select("column_name", F.col("head").alias("value"), "n", F.row_number().over(by_value).alias("rank"))
+        .where(F.col("rank") <= rows)
     )
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from duskveil.operators.charts import (
+    QUARTILES,
     before_after,
     box_summary,
     category_counts,
@@ -10,6 +11,7 @@ from duskveil.operators.charts import (
     histogram,
     numeric_cells,
     scatter_pairs,
+    scatter_sample,
 )
 from duskveil.operators.kanon import microaggregate
 from duskveil.operators.masks import mask_tail
@@ -249,6 +251,65 @@ def grouped_boxes_orders(spark, sf_dir):
     return _round_box(grouped_boxes(read(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice"))
 
 
+@query(
+    "box_sketch_ranks_lineitem",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, '{q}' AS quartile, count({c}) AS n, true AS near FROM lineitem"""
+        for c in ("l_quantity", "l_extendedprice", "l_discount")
+        for q in ("low", "q1", "median", "q3", "high")
+    ),
+)
+def box_sketch_ranks_lineitem(spark, sf_dir):
+    """Quartiles by sketch, each checked against the exact ranks of its value."""
+    accuracy = 100
+    columns = ["l_quantity", "l_extendedprice", "l_discount"]
+    lines = read(spark, sf_dir, "lineitem").select(*columns)
+    boxes = box_summary(lines, accuracy=accuracy)
+    cells = lines.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in columns])))
+    quartiles = boxes.select(
+        "column_name",
+        F.inline(F.array(*[F.struct(F.lit(q).alias("quartile"), F.lit(p).alias("p"), F.col(q).alias("at")) for q, p in QUARTILES.items()])),
+    )
+    ranks = cells.join(F.broadcast(quartiles), "column_name").groupBy("column_name", "quartile", "p").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("v") < F.col("at")).alias("below"),
+        F.count_if(F.col("v") <= F.col("at")).alias("upto"),
+    )
+    wanted, slack = F.col("p") * F.col("n"), F.col("n") / accuracy + 1
+    near = (F.col("upto") > F.col("below")) & (F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)
+    return ranks.select("column_name", "quartile", "n", near.alias("near"))
+
+
+@query(
+    "scatter_sample_orders",
+    """WITH p AS (SELECT o_custkey::double AS x, o_totalprice AS y, md5('7:' || o_orderkey) AS h FROM orders),
+        e AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p)
+        SELECT x, y FROM p, e QUALIFY row_number() OVER (PARTITION BY
+            least(floor((x - lx) / ((hx - lx) / 12)), 11), least(floor((y - ly) / ((hy - ly) / 12)), 11)
+            ORDER BY h) <= 3""",
+)
+def scatter_sample_orders(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders")
+    return scatter_sample(orders, "o_custkey", "o_totalprice", ["o_orderkey"], per_cell=3, grid=12, seed=7)
+
+
+@query(
+    "top_values_long_texts",
+    top_sql("(SELECT 'a text that many values share, up to its last letter, which is ' || o_orderkey % 40 AS shared, "
+            "repeat('x', 70) || o_orderkey AS lone, o_orderkey FROM orders)", ["shared", "lone", "o_orderkey"]),
+)
+def top_values_long_texts(spark, sf_dir):
+    """Long values that differ behind the characters they are told by; ties by value."""
+    orders = read(spark, sf_dir, "orders").select(
+        F.concat(
+            F.lit("a text that many values share, up to its last letter, which is "), (F.col("o_orderkey") % 40).cast("string")
+        ).alias("shared"),
+        F.concat(F.lit("x" * 70), F.col("o_orderkey").cast("string")).alias("lone"),
+        "o_orderkey",
+    )
+    return top_values(orders)
+
+
 @query(
     "scatter_pairs_part",
     "SELECT p_size::double AS x, p_retailprice AS y FROM part WHERE p_size <> 7 AND p_retailprice < 1000",

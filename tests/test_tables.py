@@ -358,3 +358,53 @@ def test_csv_types_need_a_numeric_spelling(spark, tmp_path):
     }
     assert [r.ids for r in read.collect()] == cells["ids"]
     assert [r.far for r in read.collect()] == [float("inf"), float("-inf"), 1.0]
+
+
+@pytest.mark.parametrize("held, most", [(2048, 8192), (8, 8192), (8, 1), (1, 8192)])
+def test_top_values_from_any_summary(spark, held, most):
+    """Frequent values among thousands of rare ones, columns without any, and ties."""
+    rows = [
+        (f"hot{i % 12}" if i % 3 == 0 else f"rare{i}", i, None if i % 5 else i % 4, "z" * 70 + str(i % 25))
+        for i in range(3000)
+    ]
+    df = spark.createDataFrame(rows, "a string, b int, c int, d string").repartition(5)
+    found = {}
+    for r in profile.top_values(df, 10, held, most).orderBy("column_name", "rank").collect():
+        found.setdefault(r.column_name, []).append((r.value, r.n))
+    for i, name in enumerate("abcd"):
+        counts = {}
+        for row in rows:
+            if row[i] is not None:
+                counts[str(row[i])] = counts.get(str(row[i]), 0) + 1
+        assert found[name] == sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:10]
+
+
+def test_frequent_values_have_the_stated_error(spark):
+    values = [i % 7 if i % 2 else 1000 + i for i in range(4000)]
+    df = spark.createDataFrame([(v,) for v in values], "v int").repartition(4)
+    found = profile._frequent(df, 20).collect()
+    error = found[0]["error"]
+    assert 0 < error <= len(values) / 20
+    codes = {r.code: r.v for r in df.distinct().select(F.xxhash64(F.col("v").cast("string")).alias("code"), "v").collect()}
+    least = {codes[r.code]: r.least for r in found}
+    for v in set(values):
+        assert least.get(v, 0) <= values.count(v) <= least.get(v, 0) + error
+
+
+def test_sketch_boxes_and_scatter_sample(spark):
+    df = spark.createDataFrame(
+        [("a" if i % 3 else "b", float(i % 997), float(i * 37 % 1009), i) for i in range(5000)],
+        "g string, x double, y double, id int",
+    )
+    for box in charts.grouped_boxes(df, "g", "x", accuracy=200).collect():
+        own = np.sort([i % 997 for i in range(5000) if (i % 3 > 0) == (box.label == "a")])
+        for p, value in ((0, box.low), (0.25, box.q1), (0.5, box.median), (0.75, box.q3), (1, box.high)):
+            assert abs(np.searchsorted(own, value) - p * len(own)) <= len(own) / 200 + 6
+    assert charts.box_summary(df.limit(0), ["x"], accuracy=100).count() == 0
+    one = charts.scatter_sample(df, "x", "y", ["id"], per_cell=2, grid=6, seed=3)
+    two = charts.scatter_sample(df.repartition(7), "x", "y", ["id"], per_cell=2, grid=6, seed=3)
+    assert sorted(one.collect()) == sorted(two.collect()) and one.count() == 72
+    other = charts.scatter_sample(df, "x", "y", ["id"], per_cell=2, grid=6, seed=4)
+    assert sorted(other.collect()) != sorted(one.collect())
+    flat = spark.createDataFrame([(1.0, 2.0, 1), (1.0, 2.0, 2), (float("inf"), 1.0, 3)], "x double, y double, id int")
+    assert charts.scatter_sample(flat, "x", "y", ["id"], per_cell=1).count() == 1
