@@ -40,32 +40,32 @@ def lookup_join(
 
     ``weight`` names a column of ``table`` with the number of ``df`` rows of
     that key. A key of more than ``slice_rows`` rows is cut in slices by the
-    hash of ``row_key`` and its table row is repeated per slice. The list of
-    such keys is broadcast; it holds at most rows(df) / slice_rows entries.
+    hash of ``row_key`` and its table row is repeated per slice. The hashes of
+    such keys are broadcast, 16 bytes each; there are at most rows(df) / slice_rows.
     Rows with a null key match nothing and are spread as well. The table is
     written first, since it is read twice: for that list and for the join.
     """
     table = stash(table)
-    wanted = F.ceil(ref(weight) / float(slice_rows)).cast("int")
-    hot = table.where(ref(weight) > slice_rows).select(
-        *[ref(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], wanted.alias(_SLICES)
+    key_hash = F.xxhash64(*[ref(k) for k in keys])
+    hot = (
+        table.where(ref(weight) > slice_rows)
+        .groupBy(key_hash.alias("__hot"))
+        .agg(F.max(F.ceil(ref(weight) / float(slice_rows))).cast("int").alias(_SLICES))
     )
     spread = F.xxhash64(*[ref(k) for k in row_key])
     keyless = ~all_of([ref(k).isNotNull() for k in keys])
-    left = df.join(
-        F.broadcast(hot),
-        all_of([ref(k) == F.col(f"__hot_{i}") for i, k in enumerate(keys)]),
-        "left",
-    ).withColumn(
+    left = df.join(F.broadcast(hot), key_hash == F.col("__hot"), "left").withColumn(
         _SLICE,
         F.when(keyless, F.pmod(spread, F.lit(NULL_SLICES)))
         .when(F.col(_SLICES).isNotNull(), F.pmod(spread, F.col(_SLICES)))
         .otherwise(F.lit(0))
         .cast("int"),
     )
-    left = left.drop(_SLICES, *[f"__hot_{i}" for i in range(len(keys))])
-    right = table.withColumn(
-        _SLICE, F.explode(F.sequence(F.lit(0), F.greatest(wanted, F.lit(1)) - 1))
+    left = left.drop(_SLICES, "__hot")
+    # keys that share a hash share its slices
+    sliced = table.join(F.broadcast(hot), key_hash == F.col("__hot"), "left")
+    right = sliced.withColumn(
+        _SLICE, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_SLICES), F.lit(1)) - 1))
     ).select(
         *[ref(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
         F.col(_SLICE).alias("__key_slice"),

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,8 +27,11 @@ _owned: set[str] = set()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset, as in tests, the warehouse."""
+    """``spark.checkpoint.dir``; where it is unset, as in tests, the warehouse. On a
+    cluster it must be set: its machines do not share the default warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
 
 
