@@ -64,8 +64,8 @@ TABLE_BITS = 64_000_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
-_MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)")
@@ -73,12 +73,12 @@ _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:\s|$)")
 
 class Line:
     """One block of text: ``main`` inside an article, ``linked`` characters of links,
-    ``heading`` or not."""
+    ``heading`` or not, ``marked`` as furniture by its tags and attributes."""
 
-    __slots__ = ("text", "main", "linked", "heading")
+    __slots__ = ("text", "main", "linked", "heading", "marked")
 
-    def __init__(self, text: str, main: bool, linked: int, heading: bool):
-        self.text, self.main, self.linked, self.heading = text, main, linked, heading
+    def __init__(self, text: str, main: bool, linked: int, heading: bool, marked: bool):
+        self.text, self.main, self.linked, self.heading, self.marked = text, main, linked, heading, marked
 
     @property
     def furniture_like(self) -> bool:
@@ -93,17 +93,25 @@ def _furniture(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    for marks in _MARKS.findall(attributes):
-        words = {w.lower() for w in _PARTS.split("".join(marks)) if w}
+    marks = []
+    for name, *quoted in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(quoted)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and _NO_DISPLAY.search(value):
+            return True
+        if name in ("class", "id", "role"):
+            marks.append(value)
+    for mark in marks:
+        words = {w.lower() for w in _PARTS.split(mark) if w}
         if words & MARKED or (not inside and words & MARKED_OUTSIDE):
             return tag not in MAIN or bool(words & {"comment", "comments", "related", "ad", "ads", "promo"})
     return False
 
 
 def page_lines(page: str | None) -> list[Line]:
-    """The lines of a page in order; those outside an article only if there is none."""
+    """All lines of a page in order. Marked are those in elements that name furniture
+    and, where there is an article, those outside it."""
     page = page or ""
     lines: list[Line] = []
     words: list[str] = []
@@ -116,14 +124,14 @@ def page_lines(page: str | None) -> list[Line]:
         nonlocal linked, heading
         text = _SPACE.sub(" ", references.unescape("".join(words))).strip()
         if text:
-            lines.append(Line(text, inside > 0, linked, heading))
+            lines.append(Line(text, inside > 0 and not dropped, linked, heading, bool(dropped)))
         words.clear()
         linked, heading = 0, False
 
     while at < len(page):
         match = _TOKEN.search(page, at)
         end = match.start() if match else len(page)
-        if end > at and not dropped:
+        if end > at:
             words.append(page[at:end])
             if anchors:
                 linked += end - at
@@ -141,11 +149,16 @@ def page_lines(page: str | None) -> list[Line]:
             continue
         if dropped:
             # furniture that is never closed ends with the article or the next paragraph's start
+            if tag not in INLINE:
+                close_line()
+            elif tag in ("br", "td", "th"):
+                words.append(" ")
             if tag in MAIN and not closing and not _furniture(tag, attributes, False):
                 dropped = ""
             elif tag == dropped or (dropped == "p" and tag not in INLINE):
                 depth += -1 if closing or dropped == "p" else 1
                 if depth == 0:
+                    close_line()
                     was, dropped = dropped, ""
                     if was == tag and closing:
                         continue
@@ -174,7 +187,8 @@ def page_lines(page: str | None) -> list[Line]:
         heading = heading or tag in HEADINGS
     close_line()
     if any(line.main for line in lines):
-        return [line for line in lines if line.main]
+        for line in lines:
+            line.marked = not line.main
     return lines
 
 
@@ -259,13 +273,14 @@ def _lengths(a: Sequence[int], b: Sequence[int]) -> list[int]:
     return out
 
 
-def template_lines(own: dict, others: list[dict]) -> list[int]:
+def template_lines(own: dict, others: list[dict], copy_share: float = COPY_SHARE) -> list[int]:
     """Places of the lines of a page that the nearest page shares.
 
     ``others`` holds the pages before and after in URL order. Nearest is the
-    longer common path; then the one before. A page that is a copy gives no
-    evidence, and the other one is asked. Prose and headings inside an article
-    stay: only lines there that look like furniture can go.
+    longer common path; then the one before. A page that shares over
+    ``copy_share`` of the unmarked text is a copy and gives no evidence; the other
+    one is asked. Prose and headings inside an article stay: only lines there that
+    look like furniture can go.
     """
     near = [o for o in others if o and o["host"] == own["host"]]
     near.sort(key=lambda o: -_common(own["path"], o["path"]))
@@ -273,7 +288,7 @@ def template_lines(own: dict, others: list[dict]) -> list[int]:
         if not other["lines"]:
             continue
         shared = common_lines(own["lines"], other["lines"])
-        if sum(own["sizes"][i] for i in shared) <= COPY_SHARE * sum(own["sizes"]):
+        if sum(own["sizes"][i] for i in shared) <= copy_share * sum(own["sizes"]):
             return [i for i in shared if own["loose"][i]]
     return []
 
@@ -293,37 +308,84 @@ def _path(url: Column) -> Column:
     return F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1)
 
 
-def _cut_pages(pages: DataFrame) -> DataFrame:
-    """``key, host, path, lines, sizes, loose`` of every distinct page."""
+def _cut_pages(pages: DataFrame, lists: bool) -> DataFrame:
+    """``key, host, path, lines, sizes, loose, marked`` of every page; ``sizes`` are the
+    characters of the lines that are not marked."""
 
     def make():
         def run(keys, hosts, paths, pages):
             cut = [page_lines(p) for p in pages]
+            marked = [[lists and x.marked for x in own] for own in cut]
             return [
                 keys,
                 hosts,
                 paths,
                 [[line_digest(x) for x in own] for own in cut],
-                [[len(x.text) for x in own] for own in cut],
+                [[0 if m else len(x.text) for x, m in zip(own, ms)] for own, ms in zip(cut, marked)],
                 [[not x.main or x.furniture_like for x in own] for own in cut],
+                marked,
             ]
 
         return run
 
-    schema = "key string, host string, path string, lines array<bigint>, sizes array<int>, loose array<boolean>"
+    schema = (
+        "key string, host string, path string, lines array<bigint>, sizes array<int>, "
+        "loose array<boolean>, marked array<boolean>"
+    )
     return map_columns(pages.select("key", "host", "path", "html"), make, schema)
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def differences(pages: DataFrame, lists: bool = True, copy_share: float = COPY_SHARE) -> DataFrame:
+    """``key``, the digest of a page's url and html, with the places of its lines that
+    go because the nearest page has them (``shared``) and because its markup alone
+    names them furniture (``listed``), and its number of ``lines``.
+
+    The alignment sees every line of a page; the lists decide about what it
+    leaves, on pages alone on their host and for furniture that differs from page
+    to page. Without ``lists`` the alignment decides alone. Pages of a host with
+    the same lines are aligned as one, so that each meets a page that differs.
+    """
+    cut = stash(_cut_pages(pages, lists)).dropDuplicates(["key"])
+    alike = F.md5(F.concat_ws("\n", "host", F.array_join(F.col("lines").cast("array<string>"), " ")))
+    grouped = stash(cut.withColumn("group", alike))
+    fields = ["host", "path", "lines", "sizes", "loose", "marked"]
+    first = grouped.groupBy("group").agg(F.min_by(F.struct(*fields), F.struct("path", "key")).alias("page"))
+    ordered = freeze_order(
+        first.select("group", "page.*"), [F.col("host"), F.col("path"), F.col("group")]
+    )
+    met = neighbours(ordered, [F.col(f) for f in fields])
+
+    def make():
+        def run(groups, *columns):
+            *own, before, after = columns
+            rows = [dict(zip(fields, values)) for values in zip(*own)]
+            shared = [template_lines(r, [b, a], copy_share) for r, b, a in zip(rows, before, after)]
+            listed = [
+                [i for i, m in enumerate(r["marked"]) if m and i not in gone]
+                for r, gone in zip(rows, map(set, shared))
+            ]
+            return [groups, shared, listed, [len(r["lines"]) for r in rows]]
+
+        return run
+
+    found = map_columns(
+        met.select("group", *fields, "__before", "__after"), make,
+        "group string, shared array<int>, listed array<int>, lines int",
+    )
+    return grouped.select("key", "group").join(stash(found), "group").drop("group")
+
+
+def main_text(pages: DataFrame, lists: bool = True, copy_share: float = COPY_SHARE) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page, in whole.
 
     The text joins the lines by one newline, empty if there are none; a null or
     empty ``html`` has none, a null ``url`` belongs to no host and path. Equal
     rows are one page when pages are paired, and all get its text. No pages
-    give no rows; other columns are not read.
+    give no rows; other columns are not read. ``lists`` and ``copy_share`` as in
+    ``differences``.
 
     What is ordered and compared are digests of lines. The pages themselves
-    move once, to meet the few deletions.
+    move once, to meet their deletions.
     """
     url, page = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     keyed = pages.select(
@@ -334,33 +396,17 @@ def main_text(pages: DataFrame) -> DataFrame:
         _host(url).alias("host"),
         _path(url).alias("path"),
     )
-    cut = stash(_cut_pages(keyed)).dropDuplicates(["key"])
-    ordered = freeze_order(cut, [F.col("host"), F.col("path"), F.col("key")])
-    fields = ["host", "path", "lines", "sizes", "loose"]
-    beside = neighbours(ordered, [F.col(f) for f in fields])
-
-    def make():
-        def run(keys, *columns):
-            *own, before, after = columns
-            rows = [dict(zip(fields, values)) for values in zip(*own)]
-            return [keys, [template_lines(r, [b, a]) for r, b, a in zip(rows, before, after)]]
-
-        return run
-
-    shared = map_columns(
-        beside.select("key", *fields, "__before", "__after"), make, "key string, drop array<int>"
-    ).where(F.size("drop") > 0)
+    gone = differences(keyed, lists, copy_share).select("key", F.concat("shared", "listed").alias("drop"))
 
     def make_text():
         def run(ids, urls, pages, drops):
             texts = []
             for page, drop in zip(pages, drops):
-                gone = set(drop or ())
-                own = [x.text for i, x in enumerate(page_lines(page)) if i not in gone]
-                texts.append("\n".join(own))
+                out = set(drop or ())
+                texts.append("\n".join(x.text for i, x in enumerate(page_lines(page)) if i not in out))
             return [ids, urls, texts, [len(t) for t in texts]]
 
         return run
 
-    joined = keyed.join(stash(shared), "key", "left").select("page_id", "url", "html", "drop")
+    joined = keyed.join(gone.where(F.size("drop") > 0), "key", "left").select("page_id", "url", "html", "drop")
     return map_columns(joined, make_text, "page_id bigint, url string, text string, n_chars bigint")

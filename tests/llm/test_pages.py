@@ -8,7 +8,7 @@ FURNITURE = "<p>Our shop is open all day.</p><p>Call the desk for help.</p>"
 
 
 def lines(html):
-    return [x.text for x in P.page_lines(html)]
+    return [x.text for x in P.page_lines(html) if not x.marked]
 
 
 def longest(a, b):
@@ -74,3 +74,57 @@ def test_article_prose_stays(spark):
     found = P.main_text(spark.createDataFrame(made, PAGES)).collect()
     # furniture that the pages share goes, a heading and prose that they share stay
     assert all(r["text"].startswith("Shared title\nThe very same sentence") for r in found)
+
+
+def test_attributes_are_names_and_values():
+    assert lines("<article title='A hidden gem'><p>Kept.</p></article>") == ["Kept."]
+    assert lines("<div data-x='class=ad hidden'><p>Kept.</p></div>") == ["Kept."]
+    for attribute in ("hidden", "HIDDEN=''", "aria-hidden='true'", "style='color:red; display : none'", "class='x ad'"):
+        assert lines(f"<div {attribute}><p>Gone.</p></div><p>Kept.</p>") == ["Kept."]
+    assert lines("<p title='a > b'>One.</p><a href='x?hidden=1'>Two.</a>") == ["One.", "Two."]
+
+
+def test_alignment_alone_removes_what_neighbours_share(spark):
+    nav = "<nav>Home<br>Shop</nav><div class='notice'>We use cookies on this site</div>"
+    foot = "<footer>All about us</footer>"
+    made = [
+        (i, f"http://h.example/a/{i}", f"{nav}<p>Text {i} about {i * i}.</p><p>Then {i} ends with {-i}.</p>{foot}")
+        for i in range(6)
+    ]
+    # copies between two pages do not keep them from a page that differs
+    made += [(100 + i, f"http://h.example/a/3?print={i}", made[3][2]) for i in range(4)]
+    df = spark.createDataFrame(made, PAGES)
+    alone = {r["page_id"]: r["text"] for r in P.main_text(df, lists=False, copy_share=0.9).collect()}
+    both = {r["page_id"]: r["text"] for r in P.main_text(df).collect()}
+    assert alone == both == {
+        i: f"Text {j} about {j * j}.\nThen {j} ends with {-j}." for i, j in [*((i, i) for i in range(6)), *((100 + i, 3) for i in range(4))]
+    }
+
+
+def test_pairing_against_plain_python(spark, partitions):
+    """Every page's partner, found by comparing all pages of a host."""
+    partitions(5)
+    random.seed(3)
+    made = []
+    for i in range(60):
+        host = random.choice("abc")
+        body = "".join(f"<p>{random.choice('stuvwxyz')} line</p>" for _ in range(random.randint(0, 6)))
+        made.append((i, f"http://{host}.example/{random.randint(0, 40):02d}", body + f"<p>own {i}</p>"))
+    found = {r["page_id"]: r["text"] for r in P.main_text(spark.createDataFrame(made, PAGES)).collect()}
+    for i, url, html in made:
+        own = [x.text for x in P.page_lines(html)]
+        host, path = url[7:16], url[16:]
+        order = sorted(
+            (u[16:], h) for _, u, h in made if u[7:16] == host
+        )
+        texts = found[i].split("\n")
+        # what is left is a subsequence of the page, and what went stands in a page beside it
+        rest = iter(own)
+        assert all(t in rest for t in texts)
+        gone = list(own)
+        for t in texts:
+            gone.remove(t)
+        if gone:
+            spots = [k for k, (p, h) in enumerate(order) if h == html and p == path]
+            near = [order[k + d][1] for k in spots for d in (-2, -1, 1, 2) if 0 <= k + d < len(order)]
+            assert any(all(g in [x.text for x in P.page_lines(h)] for g in gone) for h in near)
