@@ -226,12 +226,13 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     null ids do not matter.
     """
     names = docs.columns
-    numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()))
-    taken = mix(
-        numbered.select(F.col("__row").alias("doc_id"), "source", "text"), seed=seed
-    ).select(F.col("doc_id").alias("__taken_row"), F.col("copies").alias("__copies"))
-    joined = numbered.join(taken.where("__copies > 0"), F.col("__row") == F.col("__taken_row"))
-    return joined.select(
-        *[F.col(f"`{n}`") for n in names],
-        F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"),
-    ).drop("__copy")
+    # by place, so that no name of the caller's can clash with ours
+    inner = {n: f"c{i}" for i, n in enumerate(names)}
+    numbered = stash(docs.toDF(*inner.values()).withColumn("row", F.monotonically_increasing_id()))
+    own = numbered.select(
+        F.col("row").alias("doc_id"), F.col(inner["source"]).alias("source"), F.col(inner["text"]).alias("text")
+    )
+    taken = mix(own, seed=seed).select(F.col("doc_id").alias("taken_row"), "copies")
+    joined = numbered.join(taken.where("copies > 0"), F.col("row") == F.col("taken_row"))
+    copied = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return copied.select(*inner.values()).toDF(*names)

@@ -10,6 +10,7 @@ exactly.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -137,24 +138,14 @@ def probes_needed(router: Router, sample: np.ndarray, trial: np.ndarray, k: int,
 
 def valid_vectors(embeddings: DataFrame) -> DataFrame:
     """``vec_id, vector`` (doubles): rows with an id and a vector that is neither
-    zero nor holds null or non-finite numbers, of the commonest length (of equal
-    ones the smaller). Equal rows are one."""
+    zero nor holds null or non-finite numbers. Equal rows are one."""
     doubles = F.transform("embedding", lambda x: x.cast("double"))
     usable = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    vectors = (
+    return (
         embeddings.select("vec_id", doubles.alias("vector"))
         .where(F.col("vec_id").isNotNull() & usable & F.exists("vector", lambda x: x != 0))
         .distinct()
     )
-    kept = stash(vectors)
-    common = (
-        kept.groupBy(F.size("vector").alias("n"))
-        .count()
-        .orderBy(F.desc("count"), "n")
-        .limit(1)
-        .collect()
-    )
-    return kept.where(F.size("vector") == (common[0]["n"] if common else 0))
 
 
 def _matrix(rows) -> np.ndarray:
@@ -185,15 +176,23 @@ def nearest(embeddings: DataFrame, is_query, search: Search = Search()) -> DataF
     """``query_id, rank, vec_id, score``: for each row that the column ``is_query``
     selects, the ``k`` rows found nearest by cosine, ties to the smaller id.
 
-    A query's own id is no candidate. Vectors that are null, zero, hold null or
-    non-finite numbers or are of another length than most take no part, as
-    queries neither. Rows that are equal count once. No rows give no rows.
+    A query's own id is no candidate. Vectors that are null, zero, or hold null or
+    non-finite numbers take no part, as queries neither. A vector meets those of its
+    own length; each length has parts and a router of its own. Rows that are equal
+    count once. No rows give no rows.
 
     A task compares one cell: some thousand rows of a part and some thousand
     queries sent there; larger parts have more cells. Rows are dealt to cells
     by the hash of their id, so many equal vectors do not share one.
     """
-    vectors = valid_vectors(embeddings)
+    kept = stash(valid_vectors(embeddings))
+    lengths = [r[0] for r in kept.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
+    found = [_nearest(kept.where(F.size("vector") == n), is_query, search) for n in lengths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(vectors: DataFrame, is_query, search: Search) -> DataFrame:
+    """``nearest`` among vectors of one length."""
     router, parts, probes = fit(vectors, search)
     probes = max(1, min(probes, parts))
 

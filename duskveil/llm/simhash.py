@@ -178,8 +178,11 @@ def linked_fingerprints(distinct: DataFrame, budget: int = BUDGET) -> DataFrame:
 
     A task reads whole tries (rotation and first block) in order and keeps one
     run of them in memory. Links within a trie leave it as a forest, so a ball
-    of near copies gives as many edges as it has members, not pairs.
+    of near copies gives as many edges as it has members, not pairs. Of four
+    blocks three errors leave one untouched; a larger ``budget`` is an error.
     """
+    if budget > BUDGET:
+        raise ValueError(f"at most {BUDGET} differing bits")
     block = 64 - BLOCK_BITS
 
     def first_block(turn: int):
@@ -247,15 +250,17 @@ def one_of_each(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One document of each component, all columns kept: the smallest ``doc_id``,
     nulls last; of equal ids the row written first."""
     names = docs.columns
-    numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = near_duplicates(numbered.select("__row", "text"), "__row", budget)
-    ids = numbered.select(F.col("__row").alias("__id_row"), "doc_id")
+    # by place, so that no name of the caller's can clash with ours
+    inner = {n: f"c{i}" for i, n in enumerate(names)}
+    numbered = stash(docs.toDF(*inner.values()).withColumn("row", F.monotonically_increasing_id()))
+    texts = numbered.select("row", F.col(inner["text"]).alias("text"))
+    found = near_duplicates(texts, "row", budget).withColumnRenamed("row", "found_row")
+    ids = numbered.select("row", F.col(inner["doc_id"]).alias("doc_id"))
     # equal ids cannot be told apart by the operator, so it runs on row numbers
-    placed = found.join(ids, F.col("__row") == F.col("__id_row")).select(
-        "component_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row").alias("place")
+    placed = found.join(ids, F.col("found_row") == F.col("row")).select(
+        "component_id", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("place")
     )
     first = placed.groupBy("component_id").agg(F.min("place").alias("place"))
-    keep = first.select(F.col("place.__row").alias("__kept_row"))
-    return numbered.join(keep, F.col("__row") == F.col("__kept_row"), "left_semi").select(
-        *[F.col(f"`{n}`") for n in names]
-    )
+    keep = first.select(F.col("place.row").alias("kept_row"))
+    kept = numbered.join(keep, F.col("row") == F.col("kept_row"), "left_semi")
+    return kept.select(*inner.values()).toDF(*names)

@@ -19,7 +19,7 @@ def clashing(docs):
     """The same documents beside columns named like inner ones."""
     from pyspark.sql import functions as F
 
-    names = ["key", "size", "words", "fp", "node", "copies", "base", "place", "kept", "score", "n_words"]
+    names = ["key", "size", "words", "fp", "node", "copies", "base", "place", "kept", "score", "n_words", "__row", "row", "__copies", "__copy", "c0", "block", "home"]
     return docs.select(F.lit("x").alias("__extra"), *docs.columns, *[F.lit(1).alias(n) for n in names])
 
 

@@ -44,6 +44,12 @@ def test_few_rows_are_searched_whole(spark):
     for q, x in want.items():
         assert [s for _, s in found[q]] == pytest.approx([s for _, s in x], abs=1e-12)
     assert N.nearest(df.limit(0), is_query()).count() == 0
+    # every length is searched by itself, the rarer ones too
+    short = table(spark, range(300, 340), random.standard_normal((40, 3)))
+    both = N.nearest(df.select("vec_id", "embedding", "label").unionByName(short), is_query())
+    alone = N.nearest(short, is_query())
+    assert alone.count() == 5 and both.count() == sum(map(len, want.values())) + 5
+    assert both.where("query_id = 300").exceptAll(alone).count() == 0
     assert N.nearest(table(spark, [0, 1], [[1.0], [2.0]]), is_query()).count() == 1
 
 
