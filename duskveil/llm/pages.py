@@ -309,18 +309,24 @@ def _path(url: Column) -> Column:
 
 
 def _cut_pages(pages: DataFrame, lists: bool) -> DataFrame:
-    """``key, host, path, lines, sizes, loose, marked`` of every page; ``sizes`` are the
-    characters of the lines that are not marked."""
+    """``key, host, path, group, lines, sizes, loose, marked`` of every page; ``sizes`` are
+    the characters of the lines that are not marked, ``group`` tells a host's pages
+    with other lines apart."""
 
     def make():
         def run(keys, hosts, paths, pages):
             cut = [page_lines(p) for p in pages]
             marked = [[lists and x.marked for x in own] for own in cut]
+            digests = [[line_digest(x) for x in own] for own in cut]
             return [
                 keys,
                 hosts,
                 paths,
-                [[line_digest(x) for x in own] for own in cut],
+                [
+                    hashlib.blake2b(f"{host}\n{own}".encode(), digest_size=16).hexdigest()
+                    for host, own in zip(hosts, digests)
+                ],
+                digests,
                 [[0 if m else len(x.text) for x, m in zip(own, ms)] for own, ms in zip(cut, marked)],
                 [[not x.main or x.furniture_like for x in own] for own in cut],
                 marked,
@@ -329,7 +335,7 @@ def _cut_pages(pages: DataFrame, lists: bool) -> DataFrame:
         return run
 
     schema = (
-        "key string, host string, path string, lines array<bigint>, sizes array<int>, "
+        "key string, host string, path string, group string, lines array<bigint>, sizes array<int>, "
         "loose array<boolean>, marked array<boolean>"
     )
     return map_columns(pages.select("key", "host", "path", "html"), make, schema)
@@ -345,11 +351,9 @@ def differences(pages: DataFrame, lists: bool = True, copy_share: float = COPY_S
     to page. Without ``lists`` the alignment decides alone. Pages of a host with
     the same lines are aligned as one, so that each meets a page that differs.
     """
-    cut = stash(_cut_pages(pages, lists)).dropDuplicates(["key"])
-    alike = F.md5(F.concat_ws("\n", "host", F.array_join(F.col("lines").cast("array<string>"), " ")))
-    grouped = stash(cut.withColumn("group", alike))
+    cut = stash(_cut_pages(pages, lists))
     fields = ["host", "path", "lines", "sizes", "loose", "marked"]
-    first = grouped.groupBy("group").agg(F.min_by(F.struct(*fields), F.struct("path", "key")).alias("page"))
+    first = cut.groupBy("group").agg(F.min_by(F.struct(*fields), F.struct("path", "key")).alias("page"))
     ordered = freeze_order(
         first.select("group", "page.*"), [F.col("host"), F.col("path"), F.col("group")]
     )
@@ -372,7 +376,7 @@ def differences(pages: DataFrame, lists: bool = True, copy_share: float = COPY_S
         met.select("group", *fields, "__before", "__after"), make,
         "group string, shared array<int>, listed array<int>, lines int",
     )
-    return grouped.select("key", "group").join(stash(found), "group").drop("group")
+    return cut.select("key", "group").distinct().join(stash(found), "group").drop("group")
 
 
 def main_text(pages: DataFrame, lists: bool = True, copy_share: float = COPY_SHARE) -> DataFrame:
