@@ -389,7 +389,8 @@ def main_text(pages: DataFrame, lists: bool = True, copy_share: float = COPY_SHA
     ``differences``.
 
     What is ordered and compared are digests of lines. The pages themselves
-    move once, to meet their deletions.
+    move once at most, to meet the lines they share; what the lists say is read
+    off the page again.
     """
     url, page = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     keyed = pages.select(
@@ -400,17 +401,18 @@ def main_text(pages: DataFrame, lists: bool = True, copy_share: float = COPY_SHA
         _host(url).alias("host"),
         _path(url).alias("path"),
     )
-    gone = differences(keyed, lists, copy_share).select("key", F.concat("shared", "listed").alias("drop"))
+    gone = differences(keyed, lists, copy_share).where(F.size("shared") > 0).select("key", "shared")
 
     def make_text():
         def run(ids, urls, pages, drops):
             texts = []
             for page, drop in zip(pages, drops):
                 out = set(drop or ())
-                texts.append("\n".join(x.text for i, x in enumerate(page_lines(page)) if i not in out))
+                own = [x.text for i, x in enumerate(page_lines(page)) if i not in out and not (lists and x.marked)]
+                texts.append("\n".join(own))
             return [ids, urls, texts, [len(t) for t in texts]]
 
         return run
 
-    joined = keyed.join(gone.where(F.size("drop") > 0), "key", "left").select("page_id", "url", "html", "drop")
+    joined = keyed.join(stash(gone), "key", "left").select("page_id", "url", "html", "shared")
     return map_columns(joined, make_text, "page_id bigint, url string, text string, n_chars bigint")
