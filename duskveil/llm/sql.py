@@ -6,8 +6,10 @@ encoders, trained models and the search they lead are tested against brute force
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from duskveil.llm.disclosure import Disclosure
-from duskveil.llm.licences import BASE, COVER, NOTICES, SHIFT
+from duskveil.llm.licences import COVER, template_pairs
 from duskveil.llm.quality import BOILERPLATE, SENTENCE_END, SEPARATORS, LineRules
 
 
@@ -165,41 +167,56 @@ FROM d LEFT JOIN by_document b USING (r) LEFT JOIN extra e USING (key)
 
 
 def licence_sql() -> str:
-    rows = []
-    for exact, texts in ((True, BASE), (False, NOTICES)):
-        for label, text in texts.items():
-            words = text.split()
-            rows += [
-                f"({_text(a)}, {_text(b)}, {_text(label)}, {exact}, {len(words)}, {i})"
-                for i, (a, b) in enumerate(zip(words, words[1:]))
-            ]
+    rows = [
+        f"({_text(a)}, {_text(b)}, {_text(label)}, {exact}, {size}, {shift}, {spot})"
+        for a, b, label, exact, size, shift, spot in template_pairs()
+    ]
     return rf"""
-WITH templates(a, b, label, exact, size, spot) AS (VALUES {", ".join(rows)}),
+WITH RECURSIVE templates(a, b, label, exact, size, shift, spot) AS (VALUES {", ".join(rows)}),
 d AS (
   SELECT row_number() OVER () AS r, doc_id,
-         regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+         regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents
 ), grams AS (
   SELECT r, i - 1 AS place, w[i] AS a, w[i + 1] AS b
   FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM d)
-), votes AS (
-  SELECT r, label, exact, size, place - spot AS diagonal, list(spot) AS spots,
-         min(place) AS first, max(place) + 1 AS last
-  FROM grams JOIN templates USING (a, b) GROUP BY ALL
+), hits AS (
+  SELECT r, label, exact, size, shift, spot, place, place - spot AS diagonal
+  FROM grams JOIN templates USING (a, b)
 ), phrases AS (
-  SELECT r, label, exact, first, 1.0::DOUBLE AS covered FROM votes WHERE exact AND len(spots) = size - 1
-), apart AS (
-  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, label ORDER BY diagonal) <= {SHIFT} THEN 0 ELSE 1 END AS a
-  FROM votes WHERE NOT exact AND len(spots) > 1
+  SELECT r, label, exact, min(place) AS first, 1.0::DOUBLE AS covered FROM hits
+  WHERE exact GROUP BY r, label, exact, size, diagonal HAVING count(*) = size - 1
+), steps AS (
+  SELECT r, label, shift, diagonal,
+         diagonal - lag(diagonal) OVER (PARTITION BY r, label ORDER BY diagonal) AS step
+  FROM (SELECT DISTINCT r, label, shift, diagonal FROM hits WHERE NOT exact)
 ), runs AS (
-  SELECT *, sum(a) OVER (PARTITION BY r, label ORDER BY diagonal) AS run FROM apart
+  SELECT r, label, diagonal, sum(CASE WHEN step <= shift THEN 0 ELSE 1 END)
+         OVER (PARTITION BY r, label ORDER BY diagonal) AS run
+  FROM steps
 ), merged AS (
-  SELECT r, label, exact, size, min(first) AS first, flatten(list(spots)) AS spots FROM runs
-  GROUP BY r, label, exact, size, run
-), spans AS (
-  SELECT r, label, exact, first,
-         len(list_distinct(list_concat(spots, list_transform(spots, lambda s: s + 1)))) / size::DOUBLE AS covered
+  SELECT r, label, run, size, shift, list({{'place': place, 'spot': spot}} ORDER BY place, spot) AS h
+  FROM hits JOIN runs USING (r, label, diagonal) WHERE NOT exact
+  GROUP BY r, label, run, size, shift HAVING count(*) > 1
+), walk(r, label, run, size, shift, h, i, seen, best) AS (
+  SELECT r, label, run, size, shift, h, 1,
+         CAST([] AS STRUCT(place BIGINT, spot INTEGER, words INTEGER)[]), 0
   FROM merged
+  WHERE len(list_distinct(flatten(list_transform(h, lambda x: [x.spot, x.spot + 1])))) >= size * {COVER}
+  UNION ALL
+  SELECT r, label, run, size, shift, h, i + 1,
+         list_append(seen, {{'place': h[i].place, 'spot': h[i].spot, 'words': words}}), greatest(best, words)
+  FROM (
+    SELECT *, coalesce(list_max(list_transform(
+        list_filter(seen, lambda x: x.place < h[i].place AND x.spot < h[i].spot
+                    AND abs((h[i].place - h[i].spot) - (x.place - x.spot)) <= shift),
+        lambda x: x.words + CASE WHEN x.spot = h[i].spot - 1 THEN 1 ELSE 2 END)), 2)::INTEGER AS words
+    FROM walk WHERE i <= len(h)
+  )
+), spans AS (
+  SELECT r, label, false AS exact, CAST(NULL AS BIGINT) AS first, best / size::DOUBLE AS covered
+  FROM walk WHERE i > len(h)
 ), every AS (
   SELECT * FROM phrases UNION ALL SELECT * FROM spans WHERE covered >= {COVER}
 ), scanned AS (

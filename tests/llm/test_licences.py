@@ -1,8 +1,12 @@
+import random
 import re
 
+import duckdb
 from helpers import AWKWARD, clashing, documents, rows
+from oracle import differences
 
 from duskveil.llm import licences as L
+from duskveil.llm.sql import licence_sql
 
 MIT = L.NOTICES["mit"]
 TEXTS = [
@@ -40,6 +44,33 @@ def test_base_phrases_and_rows(spark, partitions):
     assert L.scan(docs.limit(0)).count() == 0
 
 
+def sql_differences(spark, texts):
+    docs = documents(spark, texts)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r["doc_id"], r["text"]) for r in docs.collect()])
+    return differences(L.scan(docs).drop("matches"), con, licence_sql())
+
+
+def chain_cover(words, notice, shift):
+    """Most template words on one chain, over all hits of a text: the plain rule."""
+    spots = notice.split()
+    pairs = list(zip(spots, spots[1:]))
+    hits = [(p, s) for p, pair in enumerate(zip(words, words[1:])) for s, q in enumerate(pairs) if q == pair]
+    best = {}
+    for p, s in hits:
+        best[p, s] = max(
+            [2] + [
+                n + (1 if t == s - 1 else 2) for (q, t), n in best.items()
+                if q < p and t < s and abs((p - s) - (q - t)) <= shift
+            ]
+        )
+    return max(best.values(), default=0) / len(spots)
+
+
+WHOLE = L.NOTICES["mit text"]
+
+
 def test_notices(spark):
     found = {r["doc_id"]: r for r in L.scan(documents(spark, TEXTS)).collect()}
     assert found[0]["labels"] == "cc-by,cc-by-nc-4.0,reserved"
@@ -67,3 +98,54 @@ def test_single_pairs_on_neighbouring_diagonals(spark):
     assert found[1]["labels"] == "cc-by-sa"
     assert found[2]["labels"] == "mit short"
     assert [found[i]["labels"] for i in (3, 4, 5)] == ["", "", ""]
+    assert sql_differences(spark, texts) == []
+
+
+def edited(text, rng, cut=0.02, put=0.02):
+    """Words left out and put in at random, at least ten words apart."""
+    out, last = [], 0
+    for i, word in enumerate(text.split()):
+        draw = rng.random()
+        if i - last >= 10 and draw < cut + put:
+            last = i
+            out += [] if draw < cut else ["very", word]
+        else:
+            out.append(word)
+    return " ".join(out)
+
+
+def test_whole_licences(spark):
+    rng = random.Random(9)
+    shuffled = WHOLE.split()
+    rng.shuffle(shuffled)
+    halves = " ".join(WHOLE.split()[80:] + WHOLE.split()[:80])
+    texts = [
+        f"Copyright 2020 X. {WHOLE.capitalize()} more words here", *[edited(WHOLE, rng) for _ in range(5)], " ".join(shuffled),
+        halves, " ".join(WHOLE.split()[:60]), f"{WHOLE} {' filler' * 40} {L.NOTICES['isc text']}",
+    ]
+    found = {r["doc_id"]: r for r in L.scan(documents(spark, texts)).collect()}
+    (whole,) = [m for m in found[0]["matches"] if m["label"] == "mit text"]
+    assert (whole["first"], whole["last"], whole["covered"]) == (3, 2 + len(WHOLE.split()), 1.0)
+    shift = len(WHOLE.split()) // 10
+    for i, text in enumerate(texts):
+        spans = [m for m in found[i]["matches"] or [] if m["label"] == "mit text"]
+        cover = chain_cover(text.lower().replace(".", "").split(), WHOLE, shift)
+        assert bool(spans) == (cover >= L.COVER), (i, cover)
+        assert len(spans) <= 1 and all(m["covered"] == cover for m in spans)
+    assert all(any(m["label"] == "mit text" for m in found[i]["matches"] or []) for i in (0, 1, 2, 3, 4, 5, 9))
+    assert all("mit text" not in found[i]["labels"].split(",") for i in (6, 7, 8))
+    assert "isc text" in found[9]["labels"].split(",")
+    assert sql_differences(spark, texts) == []
+
+
+def test_order_and_letters(spark):
+    notice = L.NOTICES["isc"].split()
+    backwards = " ".join(w for i in range(len(notice) - 2, -1, -2) for w in notice[i : i + 2])
+    texts = [
+        backwards, "general publi\u00e7 license", "RELEASED UNDER THE MIT LICENSE", "all rights re\u017ferved",
+        "thi\u017f wor\u212a is licensed under the gnu general public license version 3", *TEXTS, *["general public license"] * 30,
+    ]
+    found = {r["doc_id"]: r for r in L.scan(documents(spark, texts)).collect()}
+    assert found[0]["labels"] == "" and found[1]["labels"] == "" and found[3]["labels"] == ""
+    assert found[2]["labels"] == "mit short"
+    assert sql_differences(spark, texts) == []
