@@ -1,18 +1,20 @@
 """Information-theoretic sanitisation of personal data, in DataFrame expressions only.
 
 Patterns find the protected entities (mail and IP addresses, card and phone
-numbers). A term near an entity discloses it if the corpus shows that who reads
-the term can guess the entity: the pointwise mutual information of the two
-falls short of the entity's whole information by at most ``slack_bits``, that
-is P(entity | term) >= 2 ** -slack_bits. Such terms are generalised, and removed
-if they occur with the entity alone.
+numbers) and the groups they belong to (domain, network, issuer, phone range).
+The co-occurrence of terms and entities in whole texts tells how strongly a term
+reveals one. It discloses the entity if who reads the term can guess it, that is
+P(entity | term) >= 2 ** -slack_bits, and learns it from the term: their pointwise
+mutual information, log2(P(entity | term) / P(entity)), is at least ``lift_bits``.
+Such terms are generalised in all documents, and removed if they occur with the
+entity alone.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duskveil.plans.scratch import stash
@@ -41,14 +43,15 @@ _SPAN = "struct<kind:string,start:bigint,stop:bigint,value:string>"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``window``: terms on either side of an entity that count as near it.
-    ``support``: distinct texts that must show term and entity together.
+    """``support``: distinct texts with term and entity from which their share is taken
+    as it is; with fewer, n, it is shrunk by n / (n + 2).
     ``slack_bits``: whole bits of the entity's information that may stay hidden.
+    ``lift_bits``: whole bits that the term must tell about the entity.
     ``shortest``: characters of a term."""
 
-    window: int = 30
     support: int = 3
     slack_bits: int = 1
+    lift_bits: int = 2
     shortest: int = 4
 
 
@@ -170,130 +173,174 @@ def _blanked(text: Column, base: Column) -> Column:
     return F.aggregate(base, text, blank)
 
 
-def disclosing_spans(docs: DataFrame, found: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
-    """``key, terms``: for each text with disclosing terms, their spans by start.
+def _group(span: Column) -> Column:
+    """What entities share: the domain of an address, the network, the issuer of a
+    card, the number of a phone without its last four digits."""
+    value, digits = span["value"], _digits(span["value"])
+    shared = (
+        F.when(span["kind"] == "email", F.lower(F.substring_index(value, "@", -1)))
+        .when(span["kind"] == "ip", F.substring_index(value, ".", 3))
+        .when(span["kind"] == "card", F.substr(digits, F.lit(1), F.lit(6)))
+        .otherwise(F.substr(digits, F.lit(1), F.length(digits) - 4))
+    )
+    return F.concat_ws(":", F.lit("group"), span["kind"], shared)
+
+
+def _posting() -> list[Column]:
+    """128 bits of the set of texts (``key``) that a group of rows names, each once."""
+    return [
+        F.bit_xor(F.xxhash64("key")).alias("p0"),
+        F.bit_xor(F.xxhash64(F.lit("posting"), "key")).alias("p1"),
+    ]
+
+
+def telltale_terms(docs: DataFrame, found: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
+    """``term, alone``: terms that disclose an entity or group, judged by whole texts.
 
-    Joins are by text, by entity or by term, and an entity meets only the
-    ``window`` terms on either side of each mention.
+    P(entity | term) is the share of the term's documents that name the entity, shrunk
+    below ``support`` distinct texts; one text alone never reaches a half. Entities that
+    the same texts name are one row, and so are terms that stand in the same of these
+    texts and in equally many documents, so a long directory and its copies do not pair
+    each address with each word. Terms too frequent to tell are left out before the join.
     """
+    everyone = found.count()
     copies = found.where(F.size("base") > 0).groupBy("key").agg(
         F.count("*").alias("copies"), F.first("base").alias("base"), F.first("text").alias("text")
     )
-    mentions = copies.select("key", "copies", F.explode("base").alias("span")).select(
-        "key", "copies", _entity(F.col("span")).alias("entity"), F.col("span.start").alias("start")
-    )
-    enough = (
-        mentions.select("key", "entity")
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count("*").alias("texts"))
-        .where(F.col("texts") >= rules.support)
-    )
-    shared = stash(mentions.join(enough.select("entity"), "entity", "left_semi"))
-
-    # the places of all terms of the texts that mention a shared entity
-    telling = copies.join(shared.select("key").distinct(), "key", "left_semi").select(
-        "key", _blanked(F.col("text"), F.col("base")).alias("text")
-    )
-    pieces = telling.select(
-        "key",
-        F.posexplode(
-            F.arrays_zip(
-                F.split("text", TERM, -1).alias("gap"),
-                F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("found"),
-            )
-        ).alias("place", "piece"),
+    named = F.array_distinct(F.concat(F.transform("base", _entity), F.transform("base", _group)))
+    mentions = stash(copies.select("key", "copies", F.explode(named).alias("entity")))
+    # what a single text names cannot reach the estimate with any term
+    entities = stash(
+        mentions.groupBy("entity")
+        .agg(F.count("*").alias("texts"), F.sum("copies").alias("named"), *_posting())
+        .where("texts > 1")
+        .groupBy("p0", "p1", "texts", "named")
+        .agg(F.min("entity").alias("entity"))
+        .select("entity", "named")
     )
-    running = Window.partitionBy("key").orderBy("place")
-    stop = F.sum(
-        F.length("piece.gap") + F.coalesce(F.length("piece.found"), F.lit(0))
-    ).over(running)
-    tokens = stash(
-        pieces.select("key", "place", F.col("piece.found").alias("word"), stop.alias("stop"))
-        .where("word is not null")
-        .select(
+    mentions = stash(mentions.join(entities, "entity"))
+    words = stash(
+        copies.join(mentions.select("key").distinct(), "key", "left_semi").select(
             "key",
-            "place",
-            (F.col("stop") - F.length("word")).alias("start"),
-            "stop",
-            F.lower("word").alias("term"),
+            "copies",
+            F.explode(
+                F.array_distinct(_terms(_blanked(F.col("text"), F.col("base")), rules.shortest))
+            ).alias("term"),
         )
     )
-
-    # a mention stands before the first term that starts after it
-    rows = tokens.select("key", "start", F.lit(None).cast("string").alias("entity"), F.lit(None).cast("bigint").alias("copies")).unionByName(
-        shared.select("key", "start", "entity", "copies")
+    near = (
+        words.groupBy("term")
+        .agg(F.count("*").alias("texts"), F.sum("copies").alias("with_any"), *_posting())
+        .where("texts > 1")
+    )
+    everywhere = (
+        docs.select(F.explode(F.array_distinct(_terms(F.col("text"), rules.shortest))).alias("term"))
+        .groupBy("term")
+        .agg(F.count("*").alias("documents"))
     )
-    order = Window.partitionBy("key").orderBy("start", F.col("entity").isNotNull())
-    terms_before = F.count(F.when(F.col("entity").isNull(), 1)).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    guess, lift = F.lit(2**rules.slack_bits), F.lit(2**rules.lift_bits)
+    able = stash(near.join(everywhere, "term").where(F.col("with_any") * guess >= F.col("documents")))
+    alike = ["p0", "p1", "documents"]
+    first_terms = stash(able.groupBy(*alike).agg(F.min("term").alias("first_term")))
+    by_text = words.join(first_terms, F.col("term") == F.col("first_term")).select(
+        F.col("key").alias("word_key"), "first_term", "documents"
     )
-    placed = rows.withColumn("before", terms_before).where("entity is not null")
-    # terms and mentions meet in blocks of ``window`` places
-    block = F.floor(F.col("before") / rules.window)
-    near = placed.select(
-        "key",
-        "entity",
-        "copies",
-        "before",
-        F.explode(F.array(block - 1, block, block + 1)).alias("block"),
+    # no more documents hold both than name the entity
+    meet = (F.col("key") == F.col("word_key")) & (F.col("named") * guess >= F.col("documents"))
+    joint = (
+        mentions.join(by_text, meet)
+        .groupBy("entity", "named", "first_term", "documents")
+        .agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
+        .where("texts > 1")
     )
-    long_terms = tokens.where(F.length("term") >= rules.shortest).withColumn(
-        "block", F.floor(F.col("place") / rules.window)
+    scaled = F.col("with_entity") * guess
+    enough = (F.col("texts") >= rules.support) & (scaled >= F.col("documents"))
+    shrunk = scaled * F.col("texts") >= F.col("documents") * (F.col("texts") + 2)
+    telling = F.col("with_entity") * F.lit(float(everyone)) >= (
+        F.col("documents").cast("double") * F.col("named") * lift
     )
-    together = near.join(long_terms.select("key", "block", "place", "term"), ["key", "block"]).where(
-        (F.col("place") >= F.col("before") - rules.window)
-        & (F.col("place") < F.col("before") + rules.window)
+    verdicts = (
+        joint.where((enough | shrunk) & telling)
+        .groupBy("first_term")
+        .agg(F.max(F.col("with_entity") >= F.col("documents")).alias("alone"))
     )
-    pairs = stash(together.select("key", "copies", "entity", "term").distinct())
+    return first_terms.join(verdicts, "first_term").join(able, alike).select("term", "alone")
 
-    joint = (
-        pairs.groupBy("entity", "term")
-        .agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
-        .where(F.col("texts") >= rules.support)
+
+def disclosing_terms(docs: DataFrame, found: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
+    """``key, removed, generalised``: the disclosing terms of each text that has any."""
+    telltale = stash(telltale_terms(docs, found, rules))
+    # equal texts give equal rows, so the set of a key holds each term once
+    words = docs.select(
+        F.md5("text").alias("key"),
+        F.explode(F.array_distinct(_terms(F.col("text"), rules.shortest))).alias("term"),
     )
-    # in how many documents each term occurs: all documents, whole texts
-    everywhere = (
-        docs.select(F.explode(F.array_distinct(_terms(F.col("text"), rules.shortest))).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("documents"))
+    return stash(
+        words.join(telltale, "term")
+        .groupBy("key")
+        .agg(
+            F.collect_set(F.when(F.col("alone"), F.col("term"))).alias("removed"),
+            F.collect_set(F.when(~F.col("alone"), F.col("term"))).alias("generalised"),
+        )
     )
-    guess = F.col("with_entity") * F.lit(2**rules.slack_bits) >= F.col("documents")
-    telltale = (
-        joint.join(everywhere, "term")
-        .where(guess)
-        .select("entity", "term", (F.col("with_entity") >= F.col("documents")).alias("alone"))
+
+
+_TERMS = "array<struct<start:bigint,stop:bigint,how:string>>"
+
+
+def _term_spans(text: Column, removed: Column, generalised: Column) -> Column:
+    """Spans of the given terms in a text whose entities are blanked out, by start."""
+    pieces = F.arrays_zip(
+        F.split(text, TERM, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("found"),
     )
-    by_text = (
-        pairs.join(telltale, ["entity", "term"])
-        .groupBy("key", "term")
-        .agg(F.max("alone").alias("alone"))
+
+    def step(state: Column, piece: Column) -> Column:
+        start = state["at"] + F.length(piece["gap"])
+        stop = start + F.coalesce(F.length(piece["found"]), F.lit(0))
+        term = F.lower(piece["found"])
+        how = F.when(F.array_contains(removed, term), "removed").when(
+            F.array_contains(generalised, term), "generalised"
+        )
+        span = F.struct(
+            start.cast("bigint").alias("start"), stop.cast("bigint").alias("stop"), how.alias("how")
+        )
+        more = F.when(how.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(span)))
+        return F.struct(stop.cast("bigint").alias("at"), more.alias("out"))
+
+    none = F.expr(f"cast(array() as {_TERMS})")
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
+    return F.aggregate(pieces, start, step, lambda state: state["out"])
+
+
+def disclosing_spans(docs: DataFrame, found: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
+    """``key, terms``: for each text with disclosing terms, their spans by start."""
+    extra = disclosing_terms(docs, found, rules)
+    texts = docs.select(F.md5("text").alias("key"), "text").join(extra, "key")
+    once = texts.groupBy("key").agg(
+        *[F.first(c).alias(c) for c in ("text", "removed", "generalised")]
     )
-    spans = tokens.join(by_text, ["key", "term"]).select(
-        "key",
-        F.struct(
-            F.col("start").cast("bigint").alias("start"),
-            F.col("stop").cast("bigint").alias("stop"),
-            F.when(F.col("alone"), "removed").otherwise("generalised").alias("how"),
-        ).alias("span"),
+    blanked = _blanked(F.col("text"), base_spans(F.col("text")))
+    spans = once.withColumn("text", blanked).select(
+        "key", _term_spans(F.col("text"), F.col("removed"), F.col("generalised")).alias("terms")
     )
-    return spans.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("terms"))
+    return stash(spans)
 
 
 def personal_spans(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
     """One row per document: ``doc_id``, the count of each kind, ``n_term``,
     ``base_sha256`` of the written base spans and ``spans``, all written spans.
 
-    A null text is an empty one, with no spans. Equal texts get equal spans and
-    count once for ``support``; repeated rows and null ids are documents of
-    their own. No documents give no rows. Other columns are not read.
+    A disclosing term is marked in all documents. A null text is an empty one, with
+    no spans. Equal texts get equal spans and count once for ``support``; repeated
+    rows and null ids are documents of their own. No documents give no rows. Other
+    columns are not read.
     """
     found = find_entities(docs)
     extra = disclosing_spans(docs, found, rules)
-    no_terms = F.expr("cast(array() as array<struct<start:bigint,stop:bigint,how:string>>)")
-    telling = found.where(F.size("base") > 0).join(extra, "key", "left")
-    plain = found.where(F.size("base") == 0).withColumn("terms", F.lit(None).cast("array<struct<start:bigint,stop:bigint,how:string>>"))
-    both = telling.unionByName(plain).withColumn("terms", F.coalesce("terms", no_terms))
+    # a written table right under the join lets Spark split the rows of a hot text
+    joined = found.select("doc_id", "key", "base").join(extra, "key", "left")
+    both = joined.withColumn("terms", F.coalesce("terms", F.expr(f"cast(array() as {_TERMS})")))
     as_spans = F.transform(
         "terms",
         lambda s: F.struct(
@@ -316,83 +363,17 @@ def personal_spans(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFra
     )
 
 
-def _group(span: Column) -> Column:
-    """What entities share: the domain of an address, the network, the issuer of a
-    card, the number of a phone without its last four digits."""
-    value, digits = span["value"], _digits(span["value"])
-    shared = (
-        F.when(span["kind"] == "email", F.lower(F.substring_index(value, "@", -1)))
-        .when(span["kind"] == "ip", F.substring_index(value, ".", 3))
-        .when(span["kind"] == "card", F.substr(digits, F.lit(1), F.lit(6)))
-        .otherwise(F.substr(digits, F.lit(1), F.length(digits) - 4))
-    )
-    return F.concat_ws(":", F.lit("group"), span["kind"], shared)
-
-
-def telltale_terms(docs: DataFrame, found: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
-    """``term, alone``: terms that disclose an entity, or the group of entities that it
-    belongs to, judged by whole texts.
-
-    P(entity | term) is the share of the term's documents that name the entity. Below
-    ``support`` distinct texts it is shrunk by n / (n + 2), n being the distinct texts
-    with both; one text alone never reaches a half.
-    """
-    copies = found.where(F.size("base") > 0).groupBy("key").agg(
-        F.count("*").alias("copies"), F.first("base").alias("base"), F.first("text").alias("text")
-    )
-    named = F.array_distinct(F.concat(F.transform("base", _entity), F.transform("base", _group)))
-    mentions = stash(copies.select("key", "copies", F.explode(named).alias("entity")))
-    # what a single text names cannot reach the estimate with any term
-    shared = mentions.groupBy("entity").count().where("count > 1").select("entity")
-    mentions = stash(mentions.join(shared, "entity", "left_semi"))
-    words = copies.join(mentions.select("key").distinct(), "key", "left_semi").select(
-        "key",
-        F.explode(
-            F.array_distinct(_terms(_blanked(F.col("text"), F.col("base")), rules.shortest))
-        ).alias("term"),
-    )
-    joint = (
-        mentions.join(words, "key")
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
-        .where("texts > 1")
-    )
-    everywhere = (
-        docs.select(F.explode(F.array_distinct(_terms(F.col("text"), rules.shortest))).alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("documents"))
-    )
-    scaled = F.col("with_entity") * F.lit(2**rules.slack_bits)
-    enough = (F.col("texts") >= rules.support) & (scaled >= F.col("documents"))
-    shrunk = scaled * F.col("texts") >= F.col("documents") * (F.col("texts") + 2)
-    return (
-        joint.join(everywhere, "term")
-        .where(enough | shrunk)
-        .groupBy("term")
-        .agg(F.max(F.col("with_entity") >= F.col("documents")).alias("alone"))
-    )
-
-
 def sanitise_documents(docs: DataFrame, rules: Disclosure = Disclosure()) -> DataFrame:
     """The documents with entities replaced by their kind, disclosing terms by
-    ``[TERM]`` or nothing, in all documents. All columns stay; ``n_chars`` follows a
-    new text. A text without entities and such terms, or null, is left as it is."""
+    ``[TERM]`` or nothing, in all documents; the spans are those of ``personal_spans``.
+
+    All columns stay, whatever their names; ``n_chars`` follows a new text. A text
+    without entities and such terms, empty or null, is left as it is. Repeated rows and
+    null ids stay rows of their own. No documents give no rows.
+    """
     names = docs.columns
     found = find_entities(docs.select("doc_id", "text"))
-    telltale = stash(telltale_terms(docs.select("text"), found, rules))
-    # equal texts give equal rows, so the set of a key holds each term once
-    words = docs.select(
-        F.md5("text").alias("key"),
-        F.explode(F.array_distinct(_terms(F.col("text"), rules.shortest))).alias("term"),
-    )
-    extra = stash(
-        words.join(telltale, "term")
-        .groupBy("key")
-        .agg(
-            F.collect_set(F.when(F.col("alone"), F.col("term"))).alias("removed"),
-            F.collect_set(F.when(~F.col("alone"), F.col("term"))).alias("generalised"),
-        )
-    )
+    extra = disclosing_terms(docs.select("text"), found, rules)
     renamed = docs.toDF(*[f"__{i}" for i in range(len(names))])
     text = f"__{names.index('text')}"
     joined = (

@@ -95,7 +95,6 @@ def personal_sql(rules: Disclosure = Disclosure()) -> str:
         f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _KINDS
     )
     zeros = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _KINDS)
-    w = rules.window
     return rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, md5(coalesce(text, '')) AS key
@@ -109,7 +108,10 @@ WITH d AS (
   SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS n FROM placed
 ), base AS (
   SELECT r, kind_at, kind, CAST(start AS BIGINT) AS start, CAST(start + length(value) AS BIGINT) AS stop,
-         kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN n ELSE lower(value) END AS entity
+         kind || ':' || CASE WHEN kind IN ('card', 'phone') THEN n ELSE lower(value) END AS entity,
+         'group:' || kind || ':' || CASE kind WHEN 'email' THEN lower(split_part(value, '@', 2))
+           WHEN 'ip' THEN array_to_string(string_split(value, '.')[1:3], '.')
+           WHEN 'card' THEN left(n, 6) ELSE left(n, length(n) - 4) END AS shared
   FROM digits
   WHERE kind = 'email'
      OR (kind = 'ip' AND len(list_filter(string_split(value, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0)
@@ -120,42 +122,44 @@ WITH d AS (
                 ELSE CAST(reverse(n)[i] AS INT) * 2 END)) % 10 = 0)
 ), texts AS (
   SELECT key, min(r) AS r, count(*) AS copies FROM d GROUP BY key
-), shared AS (
-  SELECT key, r, copies, entity, start FROM texts JOIN base USING (r)
-  WHERE entity IN (
-    SELECT entity FROM texts JOIN base USING (r) GROUP BY entity HAVING count(DISTINCT key) >= {rules.support})
-), cut AS (
-  SELECT key, d.r AS r, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') AS f, string_split_regex(t, '[\p{{L}}\p{{N}}]+') AS g
-  FROM d WHERE r IN (SELECT r FROM shared)
-), words AS (
-  SELECT key, r, f[i] AS word,
-         list_sum(list_transform(g[1:i], lambda x: length(x)))
-         + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS start
-  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM cut)
-), tokens AS (
-  SELECT key, lower(word) AS term, CAST(start AS BIGINT) AS start, CAST(start + length(word) AS BIGINT) AS stop,
-         row_number() OVER (PARTITION BY key ORDER BY start) - 1 AS place
-  FROM words WHERE NOT EXISTS (
-    SELECT 1 FROM base WHERE base.r = words.r AND base.start <= words.start AND words.start < base.stop)
 ), mentions AS (
-  SELECT s.key, s.copies, s.entity, s.start, count(t.place) AS before
-  FROM shared s LEFT JOIN tokens t ON t.key = s.key AND t.start < s.start
-  GROUP BY ALL
-), pairs AS (
-  SELECT DISTINCT key, copies, entity, term FROM mentions JOIN tokens USING (key)
-  WHERE place >= before - {w} AND place < before + {w} AND length(term) >= {rules.shortest}
+  SELECT DISTINCT key, copies, unnest([entity, shared]) AS entity FROM texts JOIN base USING (r)
+), entities AS (
+  SELECT entity, sum(copies) AS named FROM mentions GROUP BY entity HAVING count(*) > 1
+), covers AS (
+  SELECT r, list({{'start': start, 'stop': stop}}) AS spans FROM base WHERE r IN (SELECT r FROM texts) GROUP BY r
+), blanked AS (
+  SELECT key, r, array_to_string(list_transform(regexp_extract_all(t, '(?s).'), lambda c, i:
+           CASE WHEN len(list_filter(spans, lambda s: s.start < i AND i <= s.stop)) > 0 THEN ' ' ELSE c END), '') AS t
+  FROM covers JOIN d USING (r)
+  UNION ALL
+  SELECT key, r, t FROM d WHERE r IN (SELECT r FROM texts) AND r NOT IN (SELECT r FROM covers)
+), words AS (
+  SELECT key, unnest(list_distinct(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+'))) AS term
+  FROM blanked WHERE r IN (SELECT r FROM covers)
 ), joint AS (
-  SELECT entity, term, sum(copies) AS with_entity FROM pairs GROUP BY ALL HAVING count(*) >= {rules.support}
+  SELECT entity, term, count(*) AS n, sum(copies) AS with_entity FROM mentions JOIN words USING (key)
+  WHERE length(term) >= {rules.shortest} GROUP BY ALL
 ), everywhere AS (
   SELECT term, count(*) AS documents FROM (
     SELECT unnest(list_distinct(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+'))) AS term FROM d) GROUP BY term
 ), telltale AS (
-  SELECT entity, term FROM joint JOIN everywhere USING (term) WHERE with_entity * {2**rules.slack_bits} >= documents
+  SELECT DISTINCT term FROM joint JOIN everywhere USING (term) JOIN entities USING (entity)
+  WHERE n > 1
+    AND with_entity * {2**rules.slack_bits} * CASE WHEN n >= {rules.support} THEN 1 ELSE n / (n + 2) END >= documents
+    AND with_entity * (SELECT count(*) FROM d) >= documents * named * {2**rules.lift_bits}
+), cut AS (
+  SELECT key, regexp_extract_all(t, '[\p{{L}}\p{{N}}]+') AS f, string_split_regex(t, '[\p{{L}}\p{{N}}]+') AS g
+  FROM blanked
+  WHERE list_has_any(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+'), (SELECT coalesce(list(term), []) FROM telltale))
 ), spans AS (
-  SELECT DISTINCT key, start, stop FROM tokens
-  WHERE (key, term) IN (SELECT (key, term) FROM pairs JOIN telltale USING (entity, term))
+  SELECT key, f[i] AS word,
+         list_sum(list_transform(g[1:i], lambda x: length(x)))
+         + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM cut)
 ), extra AS (
-  SELECT key, string_agg('term:' || start || ':' || stop, ',' ORDER BY start) AS s FROM spans GROUP BY key
+  SELECT key, string_agg('term:' || CAST(start AS BIGINT) || ':' || CAST(start + length(word) AS BIGINT), ',' ORDER BY start) AS s
+  FROM spans WHERE lower(word) IN (SELECT term FROM telltale) GROUP BY key
 ), by_document AS (
   SELECT r, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY kind_at, start) AS s
   FROM base GROUP BY r

@@ -2,11 +2,15 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
+import duckdb
 import pytest
 from helpers import AWKWARD, clashing, documents, rows
+from oracle import differences
 
 from duskveil.llm import disclosure as D
+from duskveil.llm.sql import personal_sql
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -37,45 +41,68 @@ def brute_spans(text):
     return found
 
 
+def digits_of(value):
+    return re.sub("[^0-9]", "", value)
+
+
+def named(kind, value):
+    """The entity of a mention and the group it belongs to."""
+    if kind == "email":
+        return {(kind, value.lower()), ("group", kind, value.lower().split("@")[1])}
+    if kind == "ip":
+        return {(kind, value), ("group", kind, tuple(value.split(".")[:3]))}
+    digits = digits_of(value)
+    return {(kind, digits), ("group", kind, digits[:6] if kind == "card" else digits[:-4])}
+
+
+def brute_words(text, own):
+    blank = text or ""
+    for _, a, b, _ in own:
+        blank = blank[:a] + " " * (b - a) + blank[b:]
+    return [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", blank)]
+
+
+def brute_telltale(texts, rules=D.Disclosure()):
+    """Disclosing terms, the whole rule over all pairs: term to whether it is alone."""
+    base = [brute_spans(t) for t in texts]
+    who = [set().union(*[named(k, v) for k, _, _, v in own]) for own in base]
+    docs_with = Counter(w for t in texts for w in set(re.findall(r"[^\W_]+", (t or "").lower())))
+    docs_naming = Counter(e for entities in who for e in entities)
+    where, together = defaultdict(set), Counter()
+    for text, own, entities in zip(texts, base, who):
+        for term in {w for _, _, w in brute_words(text, own) if len(w) >= rules.shortest}:
+            for e in entities:
+                where[e, term].add(text)
+                together[e, term] += 1
+    telltale = {}
+    for (e, term), found in where.items():
+        n, both = len(found), together[e, term]
+        share = Fraction(both, docs_with[term]) * (1 if n >= rules.support else Fraction(n, n + 2))
+        lift = Fraction(both, docs_with[term]) / Fraction(docs_naming[e], len(texts))
+        if n > 1 and share * 2**rules.slack_bits >= 1 and lift >= 2**rules.lift_bits:
+            telltale[term] = telltale.get(term, False) or both >= docs_with[term]
+    return telltale
+
+
 def brute(texts, rules=D.Disclosure()):
     """Spans of every text, the whole method."""
-    base = [brute_spans(t) for t in texts]
-    tokens, near = [], []
-    for text, own in zip(texts, base):
-        blank = text or ""
-        for _, a, b, _ in own:
-            blank = blank[:a] + " " * (b - a) + blank[b:]
-        words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", blank)]
-        tokens.append(words)
-        pairs = set()
-        for kind, a, _, value in own:
-            entity = kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()
-            before = sum(w[0] < a for w in words)
-            for _, _, term in words[max(0, before - rules.window) : before + rules.window]:
-                if len(term) >= rules.shortest:
-                    pairs.add((entity, term))
-        near.append(pairs)
-    docs_with = Counter(w for t in texts for w in {x.lower() for x in re.findall(r"[^\W_]+", (t or "").lower())})
-    entity_texts, joint_texts, joint_docs = defaultdict(set), defaultdict(set), Counter()
-    for text, own, pairs in zip(texts, base, near):
-        for kind, _, _, value in own:
-            entity_texts[kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()].add(text)
-        for pair in pairs:
-            joint_texts[pair].add(text)
-            joint_docs[pair] += 1
-    telltale = {
-        (e, t) for (e, t), where in joint_texts.items()
-        if len(where) >= rules.support and len(entity_texts[e]) >= rules.support
-        and joint_docs[e, t] * 2**rules.slack_bits >= docs_with[t]
-    }
+    telltale = brute_telltale(texts, rules)
     out = []
-    for own, words, pairs in zip(base, tokens, near):
-        bad = {t for e, t in pairs if (e, t) in telltale}
-        spans = [f"{k}:{a}:{b}" for k, a, b, _ in own]
-        out.append((spans, [f"term:{a}:{b}" for a, b, w in words if w in bad]))
+    for text in texts:
+        own = brute_spans(text)
+        terms = [f"term:{a}:{b}" for a, b, w in brute_words(text, own) if w in telltale]
+        out.append(([f"{k}:{a}:{b}" for k, a, b, _ in own], terms))
     return out
 
 
+def sql_differences(spark, texts):
+    docs = documents(spark, texts)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    return differences(D.personal_spans(docs).drop("n_term"), con, personal_sql())
+
+
 ODD = [
     "a@b.c_d@e.f x@y x@y.z. a.b+c%d@E-f.g.h@i.j", "1.2.3.4.5.6.7.8 256.1.1.1 01.002.3.4 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112",
     "4111111111111111 4111111111111111", "41111111111111110000000 4111  1111 1111 1111", "+1 (736) 555-2678, +49.30.1234567 +1 2 +12345678901234567 + 1",
@@ -101,7 +128,7 @@ def corpus():
     for i in range(12):
         around = " ".join(random.choices(filler, k=40))
         texts.append(f"{around} Zanzibarian contact bob@corp.example or 10.0.0.9 nickname Rumpel, {around}")
-    for i in range(30):
+    for i in range(50):
         texts.append(" ".join(random.choices(filler, k=50)) + (" contact" if i % 2 else ""))
     texts += ["carol@corp.example meets Oncely", "carol@corp.example meets Oncely", texts[0], None, "", "+1 555 123 4567"]
     return texts
@@ -119,6 +146,7 @@ def test_whole_method(spark, corpus, partitions):
             assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
             assert [r[f"n_{k}"] for k in PLAIN] == [sum(s.startswith(k) for s in base) for k in PLAIN]
     assert D.personal_spans(docs.limit(0)).count() == 0
+    assert sql_differences(spark, corpus) == []
 
 
 def test_sanitised_texts(spark, corpus):
@@ -133,7 +161,7 @@ def test_sanitised_texts(spark, corpus):
     none = corpus.index(None)
     assert texts[none] == (None, None) and texts[none + 1][0] == ""
     # a pair of texts is too little to tell
-    assert texts[42][0] == "[EMAIL] meets Oncely"
+    assert texts[62][0] == "[EMAIL] meets Oncely"
     assert not any(brute_spans(t) for t, _ in texts.values())
 
 
@@ -154,3 +182,48 @@ def test_sanitised_by_whole_texts_everywhere(spark):
     assert not any("farawayname" in s or "rarename" in s or "groupname" in s for s in said)
     assert said[9] == "[term] and nothing else" and said[11] == texts[11] and out[9]["n_chars"] == len(said[9])
     assert "own0own" in said[3] and "mine2" in said[7] and "word7" in said[0]
+    telling = [terms for _, terms in brute(texts)]
+    for r in D.personal_spans(documents(spark, texts)).collect():
+        assert [x for x in r["spans"].split(",") if x.startswith("term")] == telling[r["doc_id"]]
+    assert sql_differences(spark, texts) == []
+
+
+def test_names_are_marked_and_common_words_stay(spark):
+    # one address in some texts with a name; one sentence around all addresses of a domain
+    texts = [f"please contact our office today at user{i}@firm.example" for i in range(40)]
+    texts += [f"Ask Rumpelstilz {i} please, at rump@firm.example" for i in range(6)]
+    texts += [f"please come to the office today number {i}" for i in range(30)]
+    found = D.find_entities(documents(spark, texts))
+    got = {r["term"]: r["alone"] for r in D.telltale_terms(documents(spark, texts), found).collect()}
+    assert got == brute_telltale(texts)
+    assert "rumpelstilz" in got and not {"please", "contact", "office", "today"} & set(got)
+    # nothing else in the corpus: whom all texts name is no secret
+    own = texts[:40]
+    assert D.telltale_terms(documents(spark, own), D.find_entities(documents(spark, own))).count() == 0
+    out = {r["doc_id"]: r["text"] for r in D.sanitise_documents(documents(spark, own)).collect()}
+    assert out[0] == "please contact our office today at [EMAIL]"
+    assert sql_differences(spark, texts) == []
+
+
+def test_directories_do_not_pair_addresses_with_words(spark):
+    page = " ".join(f"person{i}@mail{i}.example surname{i}" for i in range(3000))
+    texts = [page, page + " second print", page + " third print", *[f"plain text {i}" for i in range(40)]]
+    docs = documents(spark, texts)
+    found = D.find_entities(docs)
+    assert {r["term"] for r in D.telltale_terms(docs, found).collect()} >= {"surname0", "surname2999"}
+    assert D.personal_spans(docs).where("n_term >= 3000").count() == 3
+
+
+def test_random_corpora(spark):
+    rng = random.Random(31)
+    for _ in range(3):
+        names = [f"p{i}@h{i % 3}.example" for i in range(5)] + ["10.0.0.7", "10.0.0.8", "+1 555 123 4567"]
+        words = [f"word{i}" for i in range(25)]
+        texts = [
+            " ".join(rng.sample(words, rng.randint(1, 6)) + rng.sample(names, rng.choice([0, 0, 0, 1, 2])))
+            for _ in range(60)
+        ]
+        texts += rng.choices(texts, k=15) + [None, ""]
+        docs = documents(spark, texts)
+        got = {r["term"]: r["alone"] for r in D.telltale_terms(docs, D.find_entities(docs)).collect()}
+        assert got == brute_telltale(texts)
