@@ -149,3 +149,19 @@ def test_order_and_letters(spark):
     assert found[0]["labels"] == "" and found[1]["labels"] == "" and found[3]["labels"] == ""
     assert found[2]["labels"] == "mit short"
     assert sql_differences(spark, texts) == []
+
+
+def test_texts_are_cut_once(spark):
+    texts = ["", None, "one", "a  b", "-Über STRASSE\u212a- É.é 1\ufffd2 ", "𝒳 YZ"]
+    grams = L._grams(documents(spark, texts))
+    plan = grams._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "Filter" not in plan, plan
+    found = sorted((r["key"], r["place"], r["gram"]) for r in grams.where("gram is not null").collect())
+    wanted = []
+    for text in texts:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        wanted += [(text, i, pair) for i, pair in enumerate(zip(words, words[1:]))]
+    pairs = spark.createDataFrame([(t, i, *p) for t, i, p in wanted], "t string, i int, a string, b string")
+    hashed = pairs.selectExpr("md5(t) AS key", "i", "xxhash64(a, b) AS gram").collect()
+    assert found == sorted(tuple(r) for r in hashed)
