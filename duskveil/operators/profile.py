@@ -196,8 +196,9 @@ def top_values(
     A summary of frequent values picks candidates with a proven error, and only
     those are counted. Where it cannot tell the ``rows``-th value from the rest, the
     distinct values of the column are counted. Texts longer than ``HEAD_CHARS``
-    count under their digest; the whole texts of the winners, and of values that
-    tie with them in count and first characters, are looked up afterwards.
+    count under their digest; values that share count and first characters are one
+    row until the rows are known that hold the winners, and whole texts are looked up
+    for those alone.
     """
     sure, codes = _candidates(df, rows, held, most)
     named = {c: i for i, c in enumerate(df.columns)}
@@ -213,26 +214,10 @@ def top_values(
     others = [c for c, i in named.items() if i not in sure]
     if others:
         counts.append(_cells(df, others).groupBy(*counted).agg(F.count("*").alias("n")))
-    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("head"))
-    best = reduce(DataFrame.unionByName, counts).withColumn("rank", F.rank().over(by_count))
-    best = best.where(F.col("rank") <= rows)
+    best = _leading_groups(reduce(DataFrame.unionByName, counts), rows)
     texts = [c for c in df.columns if is_text(df, c)]
     if texts:
-        best = stash(best)
-        # the winners of a column begin in ``rows`` ways at most
-        heads = best.where("digest is not null").select("column_name", "head").distinct().collect()
-        begins = [(F.col("column_name") == r[0]) & (F.col("head") == r[1]) for r in heads]
-        if begins:
-            whole = (
-                _cells(df, texts)
-                .where(F.col("digest").isNotNull() & reduce(lambda a, b: a | b, begins))
-                .join(best.select("column_name", "digest"), ["column_name", "digest"], "left_semi")
-                .groupBy("column_name", "digest")
-                .agg(F.min("value").alias("whole"))
-            )
-            best = best.join(whole, ["column_name", "digest"], "left").withColumn(
-                "head", F.coalesce("whole", "head")
-            )
+        best = _whole_texts(df, stash(best), texts, most)
     by_value = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("head"))
     return (
         best.select("column_name", F.col("head").alias("value"), "n", F.row_number().over(by_value).alias("rank"))
@@ -240,6 +225,48 @@ def top_values(
     )
 
 
+def _leading_groups(counts: DataFrame, rows: int) -> DataFrame:
+    """``(column_name, n, head, long, size)``: the values of one column that share count
+    and first characters as one row, as many rows as it takes to hold the first
+    ``rows`` values. No two rows of a column tie, so none but those reach the window."""
+    groups = counts.groupBy("column_name", "n", "head", F.col("digest").isNotNull().alias("long")).agg(
+        F.count("*").alias("size")
+    )
+    # a whole value comes before those that go on behind it
+    by_count = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc("head"), F.asc("long"))
+    before = F.sum("size").over(by_count.rowsBetween(Window.unboundedPreceding, -1))
+    first = groups.withColumn("rank", F.row_number().over(by_count)).where(F.col("rank") <= rows)
+    return first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < rows).drop("rank", "before")
+
+
+def _whole_texts(df: DataFrame, best: DataFrame, texts: Sequence[str], most: int) -> DataFrame:
+    """``(column_name, head, n)`` of the values of the groups ``best``, long ones in
+    full. Only texts that begin as a group does are read again, and of those only
+    the digests are exchanged first if the groups hold ``most`` values or fewer."""
+    # ``rows`` groups of a column at most
+    groups = best.where("long").select("column_name", "head", "size").collect()
+    if not groups:
+        return best.select("column_name", "head", "n")
+    begins = [
+        (F.col("column_name") == c) & (F.col("head") == h)
+        for c, h in dict.fromkeys((r["column_name"], r["head"]) for r in groups)
+    ]
+    long = _cells(df, texts).where(F.col("digest").isNotNull() & reduce(lambda a, b: a | b, begins))
+    chosen = F.broadcast(best.where("long").select("column_name", "head", "n"))
+    if sum(r["size"] for r in groups) <= most:
+        told = long.groupBy("column_name", "head", "digest").agg(F.count("*").alias("n"))
+        told = told.join(chosen, ["column_name", "head", "n"], "left_semi").select("column_name", "digest")
+        long = long.join(F.broadcast(told), ["column_name", "digest"], "left_semi")
+    # equal texts meet in their task before they are exchanged
+    whole = long.groupBy("column_name", "head", "digest").agg(
+        F.count("*").alias("n"), F.min("value").alias("whole")
+    )
+    whole = whole.join(chosen, ["column_name", "head", "n"], "left_semi").select(
+        "column_name", F.col("whole").alias("head"), "n"
+    )
+    return best.where("not long").select("column_name", "head", "n").unionByName(whole)
+
+
 def changed_columns(df: DataFrame, original: DataFrame, key: Sequence[str]) -> DataFrame:
     """``column_name`` of columns of which type or any cell differs, nulls being equal."""
     require(df, *key)

@@ -1,5 +1,6 @@
 """Shapes, profiles, chart data, sources, joins and streams."""
 
+import collections
 import datetime
 import json
 import pathlib
@@ -408,3 +409,19 @@ def test_sketch_boxes_and_scatter_sample(spark):
     assert sorted(other.collect()) != sorted(one.collect())
     flat = spark.createDataFrame([(1.0, 2.0, 1), (1.0, 2.0, 2), (float("inf"), 1.0, 3)], "x double, y double, id int")
     assert charts.scatter_sample(flat, "x", "y", ["id"], per_cell=1).count() == 1
+
+
+@pytest.mark.parametrize("most", [0, 8192])
+def test_top_values_send_no_ties_to_one_task(spark, most):
+    head = "h" * 64
+    texts = [f"{head}{i:05d}" for i in range(3000)] + [head, "i" * 64] + [f"{head}x"] * 2 + ["short"] * 3
+    df = spark.createDataFrame([(t, t[::-1]) for t in texts], "a string, b string").repartition(5)
+    counts = profile._value_counts(df)
+    groups = profile._leading_groups(counts, 10)
+    assert groups.count() <= 20 and groups.agg(F.sum("size")).first()[0] > 3000
+    # what the window's exchange moves is at most ten rows per column and partition
+    assert groups._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    found = {(r.column_name, r["rank"]): (r.value, r.n) for r in profile.top_values(df, 10, 4, most).collect()}
+    for name, values in (("a", texts), ("b", [t[::-1] for t in texts])):
+        wanted = sorted(collections.Counter(values).items(), key=lambda x: (-x[1], x[0]))[:10]
+        assert [found[name, i + 1] for i in range(10)] == wanted
