@@ -5,8 +5,8 @@ median at every size: a sketch bounds it from both sides, and only the values
 between the bounds are counted one by one. The cuts of a level are a small written
 table; the rows follow the cuts of several levels while they are read, and are
 written again only then, without the classes that are no longer open. A class of
-``local_rows`` or fewer leaves the levels and is finished inside one task, by
-the same rule, beside the others of its kind; a class that is too big for that but
+``local_rows`` or fewer (more in large tables) leaves the levels and is finished
+inside one task, by the same rule, beside the others of its kind; a class that is too big for that but
 impossible to cut (for example many equal rows) is final and never gathered.
 """
 
@@ -31,6 +31,9 @@ from duskveil.plans.scratch import stash
 #: Rows of a class that one task finishes. A matter of speed: the classes are
 #: the same whatever it is.
 LOCAL_ROWS = 50_000
+#: Of large tables a task finishes classes of one part in so many of all rows, up to
+#: ``MOST_LOCAL`` rows: the number of levels does not grow with the table until then.
+LOCAL_SHARE, MOST_LOCAL = 100, 1 << 19
 #: Levels of cuts that rows follow before they are written again.
 LEVELS = 3
 _MEDIAN_ACCURACY = 10_000
@@ -228,7 +231,8 @@ def _finish_locally(dims: int, scales: list[float], k: int, key: Sequence[str]):
         while open_:
             members = open_.pop()
             part = codes[members]
-            middles = np.sort(part, axis=0)[(len(members) - 1) // 2]
+            middle = (len(members) - 1) // 2
+            middles = np.partition(part, middle, axis=0)[middle]
             low = part <= middles
             sizes = low.sum(axis=0)
             fits = (sizes >= k) & (len(members) - sizes >= k)
@@ -259,6 +263,7 @@ def mondrian_classes(
     seen = coded.agg(*ranges).first()
     if seen["n"] < k:
         raise ValueError(f"{seen['n']} rows cannot be made {k}-anonymous")
+    local_rows = max(local_rows, min(seen["n"] // LOCAL_SHARE, MOST_LOCAL))
     scales = [((seen[f"hi{i}"] or 0.0) - (seen[f"lo{i}"] or 0.0)) or 1.0 for i in range(dims)]
     codes = [f"__c{i}" for i in range(dims)]
     # a missing value is cut as if it were the column minimum

@@ -142,6 +142,20 @@ def test_mondrian_writes_rows_once_for_several_levels(spark, monkeypatch):
     assert len(written) == 1 + 2 * levels + len(moved)
 
 
+def test_mondrian_levels_do_not_grow_with_the_table(spark, monkeypatch):
+    from duskveil.operators import mondrian as module
+
+    monkeypatch.setattr(module, "LOCAL_SHARE", 6, raising=False)
+    points = [(i * 7919 % 2000, i % 37) for i in range(2000)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(points)], "id int, a int, b int")
+    found = mondrian_classes(df, ["a", "b"], 7, ["id"], local_rows=20).collect()
+    assert max(r["__level"] for r in found) <= 3
+    classes = {}
+    for r in found:
+        classes.setdefault((r["__level"], r["__class"], r["__part"]), set()).add(r["id"])
+    assert {frozenset(c) for c in classes.values()} == median_cuts(points, 7)
+
+
 def test_mondrian_hot_tuple_never_reaches_one_task(spark):
     df = spark.range(600).select(
         "id",
