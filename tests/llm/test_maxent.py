@@ -118,3 +118,72 @@ def test_the_model_predicts_held_out_documents_better(spark, partitions):
     assert sum(r.score for r in held) / tokens > sum(r.base_score for r in held) / tokens + 0.03
     again = {r.doc_id: r.score for r in M.score(docs).collect()}
     assert all(again[r.doc_id] == pytest.approx(r.score, rel=1e-5) for r in found)
+
+
+@pytest.mark.parametrize("block_chars, word_blocks", [(1, 100), (300, 1), (1 << 21, 100)])
+def test_every_word_has_a_leaf_of_its_own(spark, block_chars, word_blocks):
+    """Words of many frequencies: the probabilities of all of them and of the unknown one."""
+    random = np.random.default_rng(3)
+    texts = [" ".join(f"w{int(x)}" for x in random.zipf(1.3, 60) % 400) for _ in range(40)] + [None, "", "w0 w0"]
+    known = Counter(w for i, t in enumerate(texts) if not outside(i) for w in words(t))
+    asked = [*sorted(known), "never", "seen"]
+    ids = [*range(len(texts)), next(i for i in range(1000, 2000) if outside(i))]
+    docs = documents(spark, [*texts, " ".join(asked)], ids=ids).repartition(3)
+    coded, model, tokens = M._coded(M.words_of_blocks(docs, block_chars), TINY, word_blocks)
+    assert tokens == sum(known.values())
+    found = coded.where(coded.doc_id == ids[-1]).first().words
+    code = dict(zip(words(" ".join(asked)), found))
+    assert code["never"] == code["seen"]
+    assert len({code[w] for w in known}) == len(known) and code["never"] not in {code[w] for w in known}
+    each = np.array([*(code[w] for w in known), code["never"]])
+    # no weights: the add-one distribution, but within a stratum
+    plain = 10 ** model.log10(model.codes(each), np.arange(len(each)), each)
+    expected = np.array([*(n + 1 for n in known.values()), 1]) / (tokens + len(known) + 1)
+    assert plain == pytest.approx(expected, rel=0.25) and plain.sum() == pytest.approx(1, abs=1e-5)
+    model.class_weights[:] = random.normal(0, 0.5, model.class_weights.shape)
+    model.member_weights[:] = random.normal(0, 0.5, model.member_weights.shape)
+    model.leaf_weights[:] = random.normal(0, 0.5, model.leaf_weights.shape)
+    for before in (each[:0], each[:1], each[[5, -1, 17]]):
+        size = len(before) + 1
+        texts = np.concatenate([np.append(before, w) for w in each])
+        starts = np.repeat(np.arange(len(each)) * size, size)
+        chances = 10 ** model.log10(model.codes(texts), starts, texts)[size - 1 :: size]
+        assert chances.sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_rare_words_are_learnt(spark):
+    """What follows a word outside the classes: before, the words of a tier scored alike."""
+    many = " ".join(f"often{i}" for i in range(TINY.frequent)) + " "
+    inside = [i for i in range(3000) if not outside(i)][:440]
+    held = [i for i in range(3000, 6000) if outside(i)][:80]
+    pairs = [f"left{i % 40} right{i % 40}" for i in range(400)]
+    right = [f"left{i} right{i}" for i in range(40)]
+    wrong = [f"left{i} right{(i + 7) % 40}" for i in range(40)]
+    docs = documents(spark, [*pairs, *[many * 10] * 40, *right, *wrong], ids=[*inside, *held])
+    found = {r.doc_id: r for r in M.score(docs, TINY).collect()}
+    gains = [found[a].score - found[b].score for a, b in zip(held[:40], held[40:])]
+    assert found[held[0]].base_score == pytest.approx(found[held[40]].base_score)
+    assert min(gains) > 0 and sum(gains) / 40 > 0.2
+
+
+def test_sums_of_leaves_are_the_gradient():
+    random = np.random.default_rng(4)
+    sizes, mass = np.zeros(M.STRATA, np.int64), np.zeros(M.STRATA)
+    for stratum, size in ((0, 1), (1, 37), (5, 5), (7, 16), (9, 1), (14, 3), (20, 9)):
+        sizes[stratum] = size
+        mass[stratum] = size * (1 + stratum)
+    leaves = M.Leaves(TINY, sizes, mass)
+    model = M.Model(TINY, np.arange(20, 8, -1), leaves.tier_mass, leaves)
+    each = np.array([*range(TINY.frequent), *(TINY.frequent + (n << M.STRATUM_BITS) + s for s in range(M.STRATA) for n in range(sizes[s]))])
+    words, starts = random.choice(each, 80), np.repeat([0, 25], [25, 55])
+    model.leaf_weights[:] = random.normal(0, 0.5, model.leaf_weights.shape)
+    sums = model.empty_sums()
+    model.add(sums, model.codes(words), starts, words)
+    first = model.class_weights.size + model.member_weights.size
+    for cell in random.choice(np.flatnonzero(sums[1][first:]), 25):
+        held, values = model.leaf_weights.flat[cell], []
+        for step in (0.05, -0.05):
+            model.leaf_weights.flat[cell] = held + step
+            values.append(model.log10(model.codes(words), starts, words).sum() * math.log(10))
+        model.leaf_weights.flat[cell] = held
+        assert (values[0] - values[1]) / 0.1 == pytest.approx(sums[0][first + cell], abs=0.02)
